@@ -133,3 +133,9 @@ def filing_identifiers(cik="cik", accession="accession_number", document="primar
                                F.lit("/"), F.col(document)),
         "year": F.substring(F.col(filing_date).cast("string"), 1, 4),
     }
+
+
+def lookup_listed(df: DataFrame, listed: DataFrame, company, year: Column, listed_year) -> DataFrame:
+    """Rows of the listed (company, year) pairs; the list may be long."""
+    pairs = listed.select(F.col(company), F.col(listed_year).alias("_y")).distinct()
+    return df.withColumn("_y", year).join(pairs, [company, "_y"], "left_semi").drop("_y")

@@ -14,7 +14,7 @@ ARTIFACT_PATTERNS = {
     "urls": rf"https?://{tx.NON_SPACE}+|www\.{tx.NON_SPACE}+",
     "markdown_links": r"\[[^\]]+\]\([^)]+\)",
     "markdown_headers": rf"(?m)^{tx.SPACE}*#{{1,6}}{tx.SPACE}+",
-    "possible_logs": r"(?i)\b(?:error|exception|traceback|stack trace)\b",
+    "possible_logs": r"(?iU)\b(?:error|exception|traceback|stack trace)\b",
     "mojibake": r"(?:Ã.|Â.|â€|â€™|â€œ|â€|ï¿½)",
     "replacement_character": "�",
 }
@@ -111,7 +111,7 @@ def leakage_report(df: DataFrame, text, label="fraudulent", terms=None) -> DataF
     y = F.col(label).try_cast("double")
     # every pattern is matched once per document, then counted under three conditions
     flagged = df.select(y.alias("_y"), *[
-        F.coalesce(F.col(text).rlike("(?i)" + p), F.lit(False)).alias(f"_m{i}") for i, p in enumerate(terms.values())])
+        F.coalesce(F.col(text).rlike("(?iU)" + p), F.lit(False)).alias(f"_m{i}") for i, p in enumerate(terms.values())])
     aggs = []
     for i in range(len(terms)):
         m = F.col(f"_m{i}")
@@ -143,8 +143,8 @@ def yearly_labels(df: DataFrame, date, label="fraudulent", digits=None) -> DataF
                  (F.round(rate, digits) if digits is not None else rate).alias("fraud_rate")))
 
 
-def audit_summary(df: DataFrame, text, label, filing_date, is_train: Column, is_test: Column,
-                  short=200, long=20000, markers=tx.ENGLISH_MARKERS) -> DataFrame:
+def audit_summary(df: DataFrame, text, label, is_train: Column, is_test: Column,
+                  short=200, long=20000, markers=tx.ENGLISH_MARKERS, columns=None) -> DataFrame:
     """Twelve checks of one corpus.
 
     Two aggregations cover them: one scan for the per-row checks, and the identity hashes grouped
@@ -155,9 +155,9 @@ def audit_summary(df: DataFrame, text, label, filing_date, is_train: Column, is_
     words = tx.word_count(text)
     indicator = tx.english_indicator(text, markers)
     y = F.col(label).try_cast("double")
-    columns = len(df.columns)
+    columns = list(columns or df.columns)
     slim = with_text_key(df, text).select(
-        row_key(*df.columns).alias("row_key"), "text_key", F.col(label).alias("_label"), y.alias("_y"),
+        row_key(*columns).alias("row_key"), "text_key", F.col(label).alias("_label"), y.alias("_y"),
         F.col(text).isNull().alias("_missing"), words.alias("_words"),
         (is_train).alias("_train"), (is_test).alias("_test"),
         ((words >= 50) & (indicator < 0.005)).alias("_suspect"))
@@ -165,7 +165,7 @@ def audit_summary(df: DataFrame, text, label, filing_date, is_train: Column, is_
     slim = materialize(slim, "audit")
     w = F.col("_words")
     rows = slim.agg(
-        F.count(F.lit(1)).alias("dataset_rows"), F.lit(columns).cast("bigint").alias("dataset_columns"),
+        F.count(F.lit(1)).alias("dataset_rows"), F.lit(len(columns)).cast("bigint").alias("dataset_columns"),
         F.count_if("_missing").alias("missing_mda"),
         F.count_if(F.col("_y") == 1).alias("fraud_count"), F.count_if(F.col("_y") == 0).alias("nonfraud_count"),
         F.count_if((w > 0) & (w < short)).alias("short_documents"),

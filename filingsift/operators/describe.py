@@ -1,9 +1,10 @@
 """Descriptive statistics of a labelled corpus."""
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingsift.operators.audit import unfold
 from filingsift.operators.ranks import beside, exact_quantiles, null_safe_join
+from filingsift.session import materialize
 
 
 def value_counts(df: DataFrame, col) -> DataFrame:
@@ -31,19 +32,37 @@ def summary_stats(df: DataFrame, col, by=()) -> DataFrame:
     return joined.select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-def distinct_companies(df: DataFrame, dimension, company="cik") -> DataFrame:
-    return (df.filter(F.col(dimension).isNotNull()).groupBy(dimension)
+def by_dimension(df: DataFrame, dimensions, keep=()) -> DataFrame:
+    """One row per row and non-null dimension: (dimension, value, kept columns).
+
+    Several reports over several dimensions then need one scan and one shuffle of partial sums.
+    """
+    items = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
+    long = df.select(*keep, F.explode(items).alias("_d"))
+    return long.select("_d.dimension", "_d.value", *keep).filter("value is not null")
+
+
+def top_per_dimension(df: DataFrame, by, k) -> DataFrame:
+    """The k largest per dimension, ties by value; tasks pass on k rows per dimension."""
+    order = Window.partitionBy("dimension").orderBy(F.col(by).desc(), F.col("value").asc())
+    return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
+def distinct_companies(df: DataFrame, dimensions, company="cik") -> DataFrame:
+    """Companies per value of every dimension."""
+    return (by_dimension(df, dimensions, [company]).groupBy("dimension", "value")
             .agg(F.countDistinct(company).alias("companies")))
 
 
-def group_size_summary(df: DataFrame, dimension, measure: Column | None = None) -> DataFrame:
-    """Summary of the group sizes of a dimension (or of a measure per group)."""
-    sizes = (df.filter(F.col(dimension).isNotNull()).groupBy(dimension)
-             .agg((F.count(F.lit(1)) if measure is None else measure).alias("size")))
-    quarts = exact_quantiles(sizes, "size", (0.5,), names=["median"]).drop("n")
-    base = sizes.agg(F.count("size").alias("groups"), F.max("size").alias("max"), F.min("size").alias("min"),
-                     F.avg("size").alias("mean"), F.stddev_samp("size").alias("std"))
-    return beside(base, quarts)
+def group_size_summary(df: DataFrame, dimensions) -> DataFrame:
+    """Summary of the group sizes of every dimension: groups, max, min, mean, std, median."""
+    sizes = by_dimension(df, dimensions).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialize(sizes, "sizes")
+    medians = exact_quantiles(sizes, "size", (0.5,), ["dimension"], ["median"]).drop("n")
+    base = sizes.groupBy("dimension").agg(
+        F.count("size").alias("groups"), F.max("size").alias("max"), F.min("size").alias("min"),
+        F.avg("size").alias("mean"), F.stddev_samp("size").alias("std"))
+    return base.join(medians, "dimension")
 
 
 def distinct_counts(df: DataFrame, cols) -> DataFrame:
@@ -51,11 +70,11 @@ def distinct_counts(df: DataFrame, cols) -> DataFrame:
     return df.agg(*[F.countDistinct(c).alias(f"n_{c}") for c in cols])
 
 
-def label_rate(df: DataFrame, dimension, label="fraudulent", min_total=0) -> DataFrame:
-    """Positives, labelled rows and rate per value of a dimension, with a minimum support."""
-    rates = (df.filter(F.col(dimension).isNotNull()).groupBy(dimension)
+def label_rates(df: DataFrame, dimensions, label="fraudulent", min_total=0) -> DataFrame:
+    """Positives, labelled rows and rate per value of every dimension, with a minimum support."""
+    rates = (by_dimension(df, dimensions, [label]).groupBy("dimension", "value")
              .agg(F.sum(label).alias("fraud_count"), F.count(label).alias("total_count"))
-             .withColumn("fraud_rate", F.col("fraud_count") / F.col("total_count")))
+             .withColumn("fraud_rate", F.try_divide("fraud_count", "total_count")))
     return rates.filter(F.col("total_count") >= min_total)
 
 

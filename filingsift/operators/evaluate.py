@@ -160,3 +160,8 @@ def metrics_record(df: DataFrame, label, score, id_col, experiment, ks=(50, 100,
     wide = at_k.agg(*[F.max(F.when(F.col("k") == k, F.col(src))).alias(f"{name}_at_{k}")
                       for k in ks for src, name in (("precision", "precision"), ("recall", "recall"), ("hits", "fraud_found"))])
     return beside(base, areas, wide)
+
+
+def descending(df: DataFrame, score, id_col) -> DataFrame:
+    """All rows from the highest score down: a range-partitioned sort, one range per task."""
+    return df.orderBy(F.col(score).desc(), F.col(id_col).asc())

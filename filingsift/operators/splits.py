@@ -161,3 +161,8 @@ def shuffled_split(df: DataFrame, id_col, seed=42, exact=True, train_part=2.0 /
 def split_summary(df: DataFrame, label, split="split") -> DataFrame:
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"),
                                  F.avg(label).alias("positive_ratio"))
+
+
+def sample_fraction(df: DataFrame, id_col, fraction, seed=42) -> DataFrame:
+    """A reproducible share of the rows, chosen by draw key without a shuffle."""
+    return df.filter(draw_fraction(seed, id_col) < fraction)
