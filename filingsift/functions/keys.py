@@ -1,5 +1,5 @@
-"""Identity hashes and keyed pseudo-random order."""
-from pyspark.sql import Column
+"""Identity hashes, keyed pseudo-random order, and unrolling of arrays."""
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,13 @@ def draw_fraction(seed, id_col) -> Column:
     """The draw key as a number in [0, 1), from its first 13 hex digits."""
     digits = F.substring(draw_key(seed, id_col), 1, 13)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16 ** 13))
+
+
+def unroll(df: DataFrame, keep, array: Column, value, position=None) -> DataFrame:
+    """One row per array element, with its 0-based position if asked for.
+
+    The outer form with a filter behind it is used on purpose: for the inner form the optimiser derives a
+    size filter from the array expression and pushes it down, which evaluates that expression twice.
+    """
+    out = df.select(*keep, F.posexplode_outer(array).alias("_at", value)).filter(F.col("_at").isNotNull())
+    return out.withColumnRenamed("_at", position) if position else out.drop("_at")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingsift.functions import text as tx
+from filingsift.functions.keys import unroll
 from filingsift.operators.joins import previous_filings
 from filingsift.operators.vocab import idf
 from filingsift.session import materialize
@@ -36,7 +37,7 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
 
 def _term_table(texts: DataFrame) -> DataFrame:
     tokens = texts.withColumn("_tokens", tx.term_tokens("chunk_text"))
-    return (tokens.select("filing_id", "rep", "copies", F.explode(tx.unigrams_and_bigrams("_tokens")).alias("term"))
+    return (unroll(tokens, ["filing_id", "rep", "copies"], tx.unigrams_and_bigrams("_tokens"), "term")
             .groupBy("filing_id", "rep", "copies", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

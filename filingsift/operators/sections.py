@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingsift.functions import text as tx
+from filingsift.functions.keys import unroll
 
 # The headings that open and close a section, and what disqualifies them.
 START_LINE = r"(?i)^item\s*1\s*a\s*[.\-:–—]?\s*(.*)$"
@@ -31,7 +32,7 @@ def document_lines(content) -> Column:
 
 
 def line_table(docs: DataFrame, id_col, lines="lines") -> DataFrame:
-    return docs.select(id_col, F.posexplode(lines).alias("line_no", "line"))
+    return unroll(docs, [id_col], F.col(lines), "line", "line_no")
 
 
 def _letters(c) -> Column:
@@ -89,7 +90,7 @@ def heading_table(docs: DataFrame, id_col) -> DataFrame:
                                                  s["body_start"].alias("body_start"))),
         F.transform("ends", lambda s: F.struct(F.lit("end").alias("kind"), s["line"].alias("line"),
                                                s["body_start"].alias("body_start"))))
-    return docs.select(id_col, F.explode(kinds).alias("h")).select(id_col, "h.*")
+    return unroll(docs, [id_col], kinds, "h").select(id_col, "h.*")
 
 
 def with_candidates(docs: DataFrame, lines="lines") -> DataFrame:
@@ -109,7 +110,7 @@ def with_candidates(docs: DataFrame, lines="lines") -> DataFrame:
 
 
 def candidate_table(docs: DataFrame, id_cols) -> DataFrame:
-    return (docs.select(*id_cols, F.posexplode("candidates").alias("_p", "c"))
+    return (unroll(docs, id_cols, F.col("candidates"), "c", "_p")
             .select(*id_cols, (F.col("_p") + 1).alias("candidate_number"), "c.*"))
 
 
@@ -172,7 +173,7 @@ def heading_diagnostics(docs: DataFrame, id_cols, lines="lines", pattern=REFEREN
     """Every line that refers to the section, with its neighbours, shortened for reading."""
     c = F.col(lines)
     i = F.col("line_number")
-    return (docs.select(*id_cols, lines, F.explode(_matching(c, pattern)).alias("line_number"))
+    return (unroll(docs, [*id_cols, lines], _matching(c, pattern), "line_number")
             .select(*id_cols, "line_number", F.substring(F.get(c, i), 1, width).alias("matched_line"),
                     F.when(i > 0, F.substring(F.get(c, F.greatest(i - 1, F.lit(0))), 1, around)).otherwise("")
                     .alias("previous_line"),
@@ -183,7 +184,7 @@ def line_context(docs: DataFrame, id_cols, lines="lines", pattern=ITEM_LINE, bef
                  width=180) -> DataFrame:
     """Lines around every match: one row per match and offset."""
     c = F.col(lines)
-    hits = docs.select(*id_cols, lines, F.explode(_matching(c, pattern, longest)).alias("line_number"))
+    hits = unroll(docs, [*id_cols, lines], _matching(c, pattern, longest), "line_number")
     n = F.size(c)
     offsets = F.sequence(F.greatest(-F.col("line_number"), F.lit(-before)),
                          F.least(n - 1 - F.col("line_number"), F.lit(after)))
@@ -196,7 +197,7 @@ def numbered_pieces(docs: DataFrame, id_col, pieces: Column, prefix, number, tex
     """One row per array element with a stable 1-based number and an id such as ``<doc>_c0001``."""
     pos = F.col("_pos") + 1
     digits = F.greatest(F.lit(4), F.length(pos.cast("string")))
-    return (docs.select(id_col, *keep, F.posexplode(pieces).alias("_pos", text))
+    return (unroll(docs, [id_col, *keep], pieces, text, "_pos")
             .withColumn(f"{number}_id", F.concat(F.col(id_col).cast("string"), F.lit(f"_{prefix}"),
                                                  F.lpad(pos.cast("string"), digits, F.lit("0"))))
             .withColumn(f"{number}_number", pos).drop("_pos"))
