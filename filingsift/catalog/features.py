@@ -131,7 +131,7 @@ def h16(spark, sf):
     def total(side, rows):
         return (rows.join(copies, "rep").groupBy("ref").agg(F.sum("copies").alias("terms"), F.round(F.sum(F.col("w") * F.col("copies")), 5).alias("total"))
                 .select(F.lit(side).alias("side"), "ref", "terms", "total"))
-    return total("past", past).unionByName(total("now", now))
+    return total("past", novelty.unit(past)).unionByName(total("now", novelty.unit(now)))
 
 
 @query("c11_best_match", SCORES + """
@@ -139,8 +139,7 @@ select chunk_id, match as matched_chunk_id, round(s, 6) as similarity from best
 def c11(spark, sf):
     chunks = view(spark, sf, "v5")
     texts, _, past, now = novelty.reference_weights(chunks)
-    order = texts.select(F.col("rep").alias("match"), F.col("rep_number").alias("match_number"))
-    matches = novelty.best_matches(past, now, order)
+    matches = novelty.best_matches(past, now)
     members = chunks.select("filing_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_key")).join(
         texts.select("filing_id", "text_key", "rep"), ["filing_id", "text_key"])
     return members.join(matches, "rep").select(

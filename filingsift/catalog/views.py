@@ -2,6 +2,8 @@
 chunks. The same SQL runs on Spark and on DuckDB."""
 import os
 
+from filingsift.sources.tables import spread
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations"]
 
@@ -68,8 +70,12 @@ from u
 }
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    scan = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(scan, TEXT_KEYS[name]) if name in TEXT_KEYS else scan
 
 
 def view(spark, sf_dir, name):

@@ -8,11 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# White space and word characters as Unicode text handling defines them. The escapes
-# are understood by Java regular expressions and by RE2 alike.
+# White space and word characters as Unicode text handling defines them. SPACE_CHARS
+# spells the class out for RE2 as well; the (?U) forms mean the same and are several times faster in Java.
 SPACE_CHARS = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 SPACE = f"[{SPACE_CHARS}]"
 NON_SPACE = f"[^{SPACE_CHARS}]"
+GAPS = r"(?U)[\s\x1c-\x1f]+"
+WORDS = r"(?U)[^\s\x1c-\x1f]+"
 WORD_CHARS = r"\p{L}\p{N}_"
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 URL = f"https?://{NON_SPACE}+"
@@ -44,12 +46,12 @@ def decode_entities(c) -> Column:
 
 def collapse(c) -> Column:
     """White-space runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(_c(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(_c(c), GAPS, " "))
 
 
 def word_count(c) -> Column:
     """Number of white-space separated words; null counts 0."""
-    return F.coalesce(F.regexp_count(_c(c), F.lit(f"{NON_SPACE}+")), F.lit(0))
+    return F.coalesce(F.regexp_count(_c(c), F.lit(WORDS)), F.lit(0))
 
 
 def char_count(c) -> Column:
@@ -81,10 +83,10 @@ def normalize_mda(c, fixed_order=False) -> Column:
     if fixed_order:
         text = remove_urls(text)
     text = F.regexp_replace(text, r"[\n\t\\'\"]+", " ")
-    text = F.regexp_replace(text, f"[^{WORD_CHARS}{SPACE_CHARS}]", " ")
+    text = F.regexp_replace(text, rf"(?U)[^{WORD_CHARS}\s\x1c-\x1f]", " ")
     if not fixed_order:
         text = remove_urls(text)
-    return F.regexp_replace(text, f"{SPACE}+", " ")
+    return F.regexp_replace(text, GAPS, " ")
 
 
 def normalize_for_duplicates(c) -> Column:
@@ -104,13 +106,14 @@ def collapsed_preview(c, length=300) -> Column:
 
 def non_ascii_ratio(c) -> Column:
     c = _c(c)
-    return F.when(F.length(c) > 0, F.regexp_count(c, F.lit(r"[^\x00-\x7F]")) / F.length(c)).otherwise(F.lit(0.0))
+    odd = F.length(F.regexp_replace(c, r"[\x00-\x7F]+", ""))
+    return F.when(F.length(c) > 0, odd / F.length(c)).otherwise(F.lit(0.0))
 
 
 def uppercase_ratio(c) -> Column:
     c = _c(c)
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(c, F.lit(r"\p{Lu}")) / letters).otherwise(F.lit(0.0))
+    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))
+    return F.when(letters > 0, F.length(F.regexp_replace(c, r"\P{Lu}+", "")) / letters).otherwise(F.lit(0.0))
 
 
 # Frequent words of English filings.
@@ -120,15 +123,11 @@ ENGLISH_MARKERS = ["the", "and", "of", "to", "in", "for", "our", "we", "company"
 
 def english_indicator(c, markers=ENGLISH_MARKERS, max_words=None) -> Column:
     """Share of marker words among the ASCII words; over the first ``max_words`` only if given."""
-    low = F.lower(_c(c))
-    if max_words is None:
-        hits = F.regexp_count(low, F.lit(f"(?<![a-z])(?:{'|'.join(markers)})(?![a-z])"))
-        words = F.regexp_count(low, F.lit("[a-z]+"))
-    else:
-        kept = F.slice(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), 1, max_words)
-        hits = F.size(F.filter(kept, lambda w: w.isin(markers)))
-        words = F.size(kept)
-    return F.when(words > 0, hits / words).otherwise(F.lit(0.0))
+    kept = F.regexp_extract_all(F.lower(_c(c)), F.lit("[a-z]+"), F.lit(0))
+    if max_words is not None:
+        kept = F.slice(kept, 1, max_words)
+    words = F.size(kept)
+    return F.when(words > 0, F.size(F.filter(kept, lambda w: w.isin(list(markers)))) / words).otherwise(F.lit(0.0))
 
 
 def split_sentences(c) -> Column:

@@ -4,12 +4,13 @@ Every chunk is compared with all chunks of the previous filing by the cosine of
 are fitted on that previous filing alone. All models are fitted in one grouped job keyed by the
 reference filing.
 
-The best match is found without scoring all pairs. Identical texts of a filing are searched once. A
-first match, taken from the strongest holder of each term, gives a lower bound; frequent terms
-whose joint contribution cannot reach that bound are left out of the candidate join, because a better
-match must share one of the other terms. Candidates that cannot reach the bound even with the full
-contribution of the left-out terms are dropped, and the rest are scored exactly. The bound is proven,
-so the result equals the exhaustive comparison.
+Similarities are sums over shared terms, so only chunks that share a term ever meet, and identical texts
+of a filing are searched once. In a very large filing frequent terms would still pair almost everything.
+Texts with such a term therefore take a second path: a first match, taken from the strongest holder of
+each term, gives a lower bound; frequent terms whose joint contribution cannot reach that bound are left
+out of the join, because a better match must share one of the other terms; candidates that cannot reach
+the bound even with the full contribution of the left-out terms are dropped, and the rest are completed
+with those terms. The bound is proven, so the result equals the exhaustive comparison.
 """
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from filingsift.session import materialize
 SCORED_CATEGORIES = ["potential_boilerplate", "modified_disclosure", "potential_novel_disclosure"]
 CATEGORIES = ["no_history"] + SCORED_CATEGORIES
 SLACK = 1e-9
+# a term held by more texts of one filing than this is joined only where the bound demands it
+FREQUENT = 512
 
 
 def distinct_texts(chunks: DataFrame) -> DataFrame:
@@ -37,21 +40,17 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
 
 def _term_table(texts: DataFrame) -> DataFrame:
     tokens = texts.withColumn("_tokens", tx.term_tokens("chunk_text"))
-    return (unroll(tokens, ["filing_id", "rep", "copies"], tx.unigrams_and_bigrams("_tokens"), "term")
-            .groupBy("filing_id", "rep", "copies", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def _unit(weights: DataFrame, keys) -> DataFrame:
-    """Scale the weights of every vector to length one; a vector is at most one text."""
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
-    return weights.withColumn("w", F.col("w") / norm)
+    return (unroll(tokens, ["filing_id", "rep", "rep_number", "copies"], tx.unigrams_and_bigrams("_tokens"), "term")
+            .groupBy("filing_id", "rep", "rep_number", "copies", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def reference_weights(chunks: DataFrame):
-    """Unit TF-IDF vectors of reference texts and of the texts compared with them.
+    """TF-IDF weights of reference texts and of the texts compared with them, not yet scaled.
 
-    Returns (past, now): past = (ref, rep, term, w, df), now = (ref, filing_id, rep, term, w, df).
-    Terms the reference filing does not know are absent from ``now``.
+    Returns (texts, filing references, past, now): past = (ref, rep, rep_number, term, w), now = (ref,
+    filing_id, rep, term, w, df). Terms the reference filing does not know are absent from ``now``. Both
+    come out distributed by (ref, term), so pairing them needs no further shuffle; lengths are divided
+    out later, see :func:`lengths`.
     """
     texts = materialize(distinct_texts(chunks), "texts")
     refs = previous_filings(chunks.select("company", "filing_id", "filing_date"))
@@ -65,51 +64,88 @@ def reference_weights(chunks: DataFrame):
     used = pairs.select("ref").distinct()
     weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
     past = (terms.withColumnRenamed("filing_id", "ref").join(used, "ref", "left_semi")
-            .join(idfs, ["ref", "term"]).select("ref", "rep", "term", weight.alias("w"), "df"))
+            .join(idfs, ["ref", "term"]).select("ref", "rep", "rep_number", "term", weight.alias("w")))
     now = (terms.join(pairs, "filing_id").join(idfs, ["ref", "term"])
            .select("ref", "filing_id", "rep", "term", weight.alias("w"), "df"))
-    return texts, refs, _unit(past, ["ref", "rep"]), _unit(now, ["ref", "rep"])
+    return texts, refs, past, now
+
+
+def lengths(weights: DataFrame, **extra) -> DataFrame:
+    """Length of every vector: (ref, rep, length) and further aggregates."""
+    return weights.groupBy("ref", "rep").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *[c.alias(n) for n, c in extra.items()])
 
 
-def best_matches(past: DataFrame, now: DataFrame, order: DataFrame) -> DataFrame:
+def unit(weights: DataFrame) -> DataFrame:
+    """Weights divided by the length of their vector."""
+    return (weights.join(lengths(weights), ["ref", "rep"])
+            .withColumn("w", F.col("w") / F.col("length")).drop("length"))
+
+
+def best_matches(past: DataFrame, now: DataFrame, frequent=FREQUENT) -> DataFrame:
     """Exact best match of every ``now`` vector: (ref, rep, match, similarity).
 
-    ``order`` gives (match, match_number): on equal similarity (to 12 decimals) the earlier text wins.
+    On equal similarity (to 12 decimals) the text that comes first in its filing wins.
     """
-    past = materialize(past.select("ref", F.col("rep").alias("match"), "term", F.col("w").alias("p")), "past")
-    champions = past.groupBy("ref", "term").agg(F.max(F.struct("p", "match")).alias("_top"))
-    champions = champions.select("ref", "term", F.col("_top.p").alias("pmax"), F.col("_top.match").alias("champion"))
-    now = materialize(now.join(champions, ["ref", "term"])
-                      .select("ref", "rep", "term", "w", "df", "champion", (F.col("w") * F.col("pmax")).alias("ub")), "now")
+    now = materialize(now, "now")
+    sizes = materialize(lengths(now, peak=F.max("df")), "lengths")
+    hard = sizes.filter(F.col("peak") > frequent).select("ref", "rep")
+    if hard.isEmpty():
+        scored = _sums(now, past, sizes)
+    else:
+        past = materialize(past, "past")
+        easy = now.join(hard, ["ref", "rep"], "left_anti")
+        scored = _sums(easy, past, sizes).unionByName(
+            _bounded_sums(unit(now.join(hard, ["ref", "rep"], "left_semi")), unit(past), frequent))
+    best = scored.groupBy("ref", "rep").agg(
+        F.min_by(F.struct("match", "dot"), F.struct((-F.round("dot", 12)).alias("neg"), "match_number", "match")).alias("b"))
+    return best.select("ref", "rep", F.col("b.match").alias("match"), F.col("b.dot").alias("similarity"))
 
-    # lower bound: the candidate that leads on most of the weight, scored on all shared terms
+
+def _sums(now: DataFrame, past: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Cosine of every pair that shares a term: (ref, rep, match, match_number, dot)."""
+    held = past.select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("match_number"), "term",
+                       F.col("w").alias("p"))
+    products = (now.select("ref", "rep", "term", "w").join(held, ["ref", "term"])
+                .groupBy("ref", "rep", "match", "match_number").agg(F.sum(F.col("w") * F.col("p")).alias("product")))
+    past_sizes = lengths(past).select("ref", F.col("rep").alias("match"), F.col("length").alias("past_length"))
+    return (products.join(sizes.select("ref", "rep", "length"), ["ref", "rep"]).join(past_sizes, ["ref", "match"])
+            .select("ref", "rep", "match", "match_number",
+                    (F.col("product") / (F.col("length") * F.col("past_length"))).alias("dot")))
+
+
+def _bounded_sums(now: DataFrame, past: DataFrame, frequent) -> DataFrame:
+    """The same for unit vectors and pairs that may be a best match; pairs proven not to be are missing."""
+    past = materialize(past.select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("match_number"), "term",
+                                   F.col("w").alias("p")), "unit-past")
+    top = past.groupBy("ref", "term").agg(F.max(F.struct("p", "match")).alias("_top"))
+    top = top.select("ref", "term", F.col("_top.p").alias("pmax"), F.col("_top.match").alias("champion"))
+    now = materialize(now.join(top, ["ref", "term"])
+                      .select("ref", "rep", "term", "w", "df", "champion", (F.col("w") * F.col("pmax")).alias("ub")), "bounds")
+    # lower bound: the text that leads on most of the weight, scored on all shared terms
     led = now.groupBy("ref", "rep", "champion").agg(F.sum("ub").alias("s"))
     lead = led.groupBy("ref", "rep").agg(F.max_by("champion", F.struct("s", "champion")).alias("match"))
-    first = _dots(now, past, lead)
-    bound = first.select("ref", "rep", F.col("dot").alias("bound"))
-
-    # frequent terms first; leave them out while together they stay below the bound
-    costly = Window.partitionBy("ref", "rep").orderBy(F.col("df").desc(), "term")
-    spent = F.sum("ub").over(costly.rowsBetween(Window.unboundedPreceding, 0))
+    bound = _dots(now, past, lead).select("ref", "rep", F.col("dot").alias("bound"))
+    # the most frequent terms first; leave them out while together they stay below the bound
+    vector = Window.partitionBy("ref", "rep")
+    spent = F.sum("ub").over(vector.orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0))
     split = (now.join(bound, ["ref", "rep"]).withColumn("_spent", spent)
-             .withColumn("left_out", F.col("_spent") < F.col("bound") - SLACK))
-    rest = F.sum(F.when(F.col("left_out"), F.col("ub"))).over(Window.partitionBy("ref", "rep"))
-    split = split.withColumn("rest", F.coalesce(rest, F.lit(0.0)))
-    probes = split.filter(~F.col("left_out")).select("ref", "rep", "term", "w", "bound", "rest")
-    partial = (probes.join(past, ["ref", "term"]).groupBy("ref", "rep", "match")
-               .agg(F.sum(F.col("w") * F.col("p")).alias("part"), F.first("bound").alias("bound"),
-                    F.first("rest").alias("rest")))
-    able = partial.filter(F.col("part") + F.col("rest") >= F.col("bound") - SLACK).select("ref", "rep", "match")
-    scored = _dots(now, past, able).join(order, ["match"])
-    best = scored.groupBy("ref", "rep").agg(
-        F.min_by(F.struct("match", "dot"), F.struct((-F.round("dot", 12)).alias("neg"), "match_number", "match")).alias("b"))
-    return best.select("ref", "rep", F.col("b.match").alias("match"), F.col("b.dot").alias("similarity"))
+             .withColumn("left_out", (F.col("_spent") < F.col("bound") - SLACK) & (F.col("df") > frequent))
+             .withColumn("rest", F.coalesce(F.sum(F.when(F.col("left_out"), F.col("ub"))).over(vector), F.lit(0.0))))
+    split = materialize(split.select("ref", "rep", "term", "w", "bound", "rest", "left_out"), "split")
+    partial = (split.filter("not left_out").join(past, ["ref", "term"]).groupBy("ref", "rep", "match", "match_number")
+               .agg(F.sum(F.col("w") * F.col("p")).alias("part"), F.first("bound").alias("bound"), F.first("rest").alias("rest")))
+    able = materialize(partial.filter(F.col("part") + F.col("rest") >= F.col("bound") - SLACK)
+                       .select("ref", "rep", "match", "match_number", "part"), "able")
+    completed = _dots(split.filter("left_out"), past, able.select("ref", "rep", "match"))
+    return (able.join(completed, ["ref", "rep", "match"], "left")
+            .select("ref", "rep", "match", "match_number", (F.col("part") + F.coalesce("dot", F.lit(0.0))).alias("dot")))
 
 
 def _dots(now: DataFrame, past: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Cosine of given (ref, rep, match) pairs over all their shared terms."""
+    """Sum over shared terms for given (ref, rep, match) pairs."""
     return (pairs.join(now.select("ref", "rep", "term", "w"), ["ref", "rep"])
-            .join(past, ["ref", "match", "term"])
+            .join(past.drop("match_number"), ["ref", "match", "term"])
             .groupBy("ref", "rep", "match").agg(F.sum(F.col("w") * F.col("p")).alias("dot")))
 
 
@@ -121,13 +157,12 @@ def category(similarity, high=0.80, low=0.40) -> Column:
             .otherwise("potential_novel_disclosure"))
 
 
-def score_chunks(chunks: DataFrame, high=0.80, low=0.40) -> DataFrame:
+def score_chunks(chunks: DataFrame, high=0.80, low=0.40, frequent=FREQUENT) -> DataFrame:
     """Every chunk with its reference filing, best match, similarity, novelty and category."""
     if not 0 <= low < high <= 1:
         raise ValueError("Invalid similarity thresholds.")
     texts, refs, past, now = reference_weights(chunks)
-    order = texts.select(F.col("rep").alias("match"), F.col("rep_number").alias("match_number"))
-    matches = best_matches(past, now, order)
+    matches = best_matches(past, now, frequent)
     by_text = (texts.select("filing_id", "text_key", "rep")
                .join(matches.select("rep", "match", F.least(F.greatest("similarity", F.lit(0.0)), F.lit(1.0)).alias("s")),
                      "rep", "left")
