@@ -2,11 +2,12 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from filingsift.catalog.joining import labelled
 from filingsift.catalog.registry import query
 from filingsift.catalog.views import table, view
 from filingsift.functions import text as tx
 from filingsift.operators import classify, describe, evaluate, forest, novelty, splits, svd, topics, vectors, vocab
-from filingsift.plans import anomaly_job
+from filingsift.plans import anomaly_job, supervised_job
 from filingsift.session import materialize
 
 # frequent words of the fixture languages in the role of a stop list
@@ -386,3 +387,22 @@ def i15(spark, sf):
     rows = materialize(encoded(spark, sf), "encoded")
     windows = splits.expanding_windows(rows, "filing_date")
     return classify.expanding_evaluation(windows, "embedding", "fraudulent", trees=10, depth=4)
+
+
+@query("supervised_topic_job")
+def supervised_topics(spark, sf):
+    docs = view(spark, sf, "v3").withColumn("word_count", tx.word_count("mda"))
+    train, validation, test = supervised_job.delayed_parts(docs, "doc_id", "filing_date", "fraudulent", words="word_count")
+    parts = supervised_job.topic_features(train, [validation, test], "doc_id", "mda", k=8, passes=2, rate=0.25, keep=["fraudulent"])
+    return supervised_job.compare_classifiers(*parts, "topics", "fraudulent", trees=20, rounds=10, depth=4)
+
+
+@query("supervised_tabular_job")
+def supervised_tabular(spark, sf):
+    rows = labelled(spark, sf).select("filing_id", "cik", "name", "city", "incorp_state", "filing_type", "reporting_date", "filing_date", "amount",
+                                      "fraudulent")
+    rows = materialize(rows.withColumn("year", F.year("reporting_date")), "rows")
+    made = supervised_job.tabular_features(rows, ["filing_id", "fraudulent", "year"], ["city", "incorp_state", "filing_type"], ["reporting_date", "filing_date"])
+    later = made.filter("year >= 2000")
+    early = materialize(splits.stratified_split(made.filter("year < 1999"), "filing_id", "fraudulent", 0.2), "early")
+    return supervised_job.compare_classifiers(part(early, "train"), part(early, "validation"), later, "features", "fraudulent", trees=20, rounds=10, depth=4)

@@ -3,11 +3,11 @@ import os
 
 from pyspark.sql import functions as F
 
+from filingsift.catalog.features import TFIDF, tfidf
 from filingsift.catalog.registry import query
 from filingsift.catalog.views import table, view
 from filingsift.functions import text as tx
 from filingsift.operators import vocab
-from filingsift.operators.ranks import beside
 from filingsift.session import scratch_path
 from filingsift.sources import tables as src
 
@@ -79,14 +79,14 @@ def a6(spark, sf):
     return src.document_manifest(table(spark, sf, "pages"), "page_id", "html")
 
 
-@query("a7_saved_model_state")
+@query("a7_saved_model_state", TFIDF + "select cast(idx as int) as idx, term, df, cf, round(idf, 6) as idf, (select n from n) as n_docs from voc",
+       ["v3"])
 def a7(spark, sf):
-    docs = view(spark, sf, "v3").filter(F.year("filing_date") <= 2017)
-    model = vocab.fit_tfidf(docs, "doc_id", "mda", stop_words=["the", "and", "of"])
+    _, model = tfidf(spark, sf)
     path = scratch_path(spark, "model")
     model.save(path)
     back = vocab.TfidfModel.load(spark, path)
-    return back.vocabulary.withColumn("n_docs", F.lit(back.n_docs))
+    return back.vocabulary.withColumn("idf", F.round("idf", 6)).withColumn("n_docs", F.lit(back.n_docs))
 
 
 @query("a8_cached_features", "select doc_id, n_chars, cast(len(regexp_extract_all(text, '[^\\s]+')) as int) as words from documents")

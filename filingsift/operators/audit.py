@@ -75,8 +75,12 @@ def class_distribution(df: DataFrame, label="fraudulent", warn_at=10.0) -> DataF
             .withColumn("strong_imbalance", F.coalesce(ratio >= warn_at, F.lit(False)).cast("int")))
 
 
-def length_percentiles(df: DataFrame, words, probs=(0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)) -> DataFrame:
+def length_percentiles(df: DataFrame, words, probs=(0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99), approximate=False) -> DataFrame:
+    """Percentiles of the non-empty lengths; exact, or from a sketch in a single pass."""
     names = [f"p{int(round(p * 100))}" for p in probs]
+    if approximate:
+        row = df.filter(F.col(words) > 0).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(words, list(probs), 10000).alias("p"))
+        return row.select("n", *[F.col("p")[i].cast("double").alias(n) for i, n in enumerate(names)])
     return exact_quantiles(df.filter(F.col(words) > 0), words, probs, names=names)
 
 

@@ -48,10 +48,10 @@ def top_per_dimension(df: DataFrame, by, k) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
-def distinct_companies(df: DataFrame, dimensions, company="cik") -> DataFrame:
-    """Companies per value of every dimension."""
-    return (by_dimension(df, dimensions, [company]).groupBy("dimension", "value")
-            .agg(F.countDistinct(company).alias("companies")))
+def distinct_companies(df: DataFrame, dimensions, company="cik", approximate=False) -> DataFrame:
+    """Companies per value of every dimension; exact, or from a sketch."""
+    count = F.approx_count_distinct(company, 0.01) if approximate else F.countDistinct(company)
+    return by_dimension(df, dimensions, [company]).groupBy("dimension", "value").agg(count.alias("companies"))
 
 
 def group_size_summary(df: DataFrame, dimensions) -> DataFrame:

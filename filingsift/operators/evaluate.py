@@ -27,6 +27,11 @@ def _areas(curve: DataFrame, by) -> DataFrame:
         F.try_divide(steps, F.max(tp)).alias("pr_auc"))
 
 
+def areas(df: DataFrame, label, score, by=()) -> DataFrame:
+    """Both areas in one pass, per group; null where a group lacks a class."""
+    return _areas(score_counts(df, label, score, by), list(by))
+
+
 def require_two_classes(df: DataFrame, label) -> DataFrame:
     row = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).first()
     if not row["p"] or not row["n"]:

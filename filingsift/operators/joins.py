@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from filingsift.functions.fields import add_year
 from filingsift.functions.keys import row_key
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(df: DataFrame, most_rows=BROADCAST_ROWS) -> DataFrame:

@@ -117,7 +117,7 @@ def exact_quantiles(df: DataFrame, value, probs, by=(), names=None) -> DataFrame
     return row.select(*by, "n", *out)
 
 
-def rank_by_draw(df: DataFrame, id_col, seed, strata=(), digits=2, rank="draw_rank", size="stratum_size"):
+def rank_by_draw(df: DataFrame, id_col, seed, strata=(), digits=3, rank="draw_rank", size="stratum_size"):
     """Exact 1-based rank of every row in the pseudo-random order of its stratum.
 
     The draw key is uniform, so its leading hex digits are balanced ranges: no sampling pass is

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir = None
+_paths = []
 
 
 def build_session(app="filingsift", master=None, **conf):
@@ -34,11 +35,13 @@ def build_session(app="filingsift", master=None, **conf):
 
 
 def shared_dir(spark):
-    """Root of the shared scratch folder."""
+    """Root of the shared scratch folder; a cluster without one is an error."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if _own_dir is None:
         _own_dir = tempfile.TemporaryDirectory(prefix="filingsift-")
     return _own_dir.name
@@ -46,7 +49,17 @@ def shared_dir(spark):
 
 def scratch_path(spark, name):
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _paths.append(path)
+    return path
+
+
+def release_scratch(spark):
+    """Delete what this process wrote below the shared folder, once no result reads it any more."""
+    jvm = spark._jvm
+    while _paths:
+        target = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name="table", partition_by=()) -> DataFrame:

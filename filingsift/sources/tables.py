@@ -56,6 +56,11 @@ def write_record(spark, record: dict, path, fmt="json"):
     df.coalesce(1).write.mode("overwrite").option("header", True).format(fmt).save(path)
 
 
+def read_documents(spark: SparkSession, path) -> DataFrame:
+    """Raw document files as (path, content)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
 # What a complete filing document must start with, and what an access refusal says.
 MARKUP_OPENINGS = ["<html", "<!doctype", "<?xml", "<document"]
 REFUSALS = ["access denied", "request rate threshold exceeded"]
