@@ -121,11 +121,16 @@ result as (select *, 1 - max_similarity as novelty_score, case when reference_fi
 """
 
 
+def chunk_table(spark, sf):
+    """The chunk view as the written table the novelty job expects."""
+    return materialize(view(spark, sf, "v5"), "chunks")
+
+
 @query("h16_reference_weights", NOVELTY.rstrip().rstrip(",") + """
 select 'past' as side, ref, count(*) as terms, round(sum(p), 5) as total from past where ref in (select ref from ref where ref is not null) group by ref
 union all select 'now' as side, ref, count(*) as terms, round(sum(w), 5) as total from now group by ref""", ["v5"])
 def h16(spark, sf):
-    texts, _, past, now = novelty.reference_weights(view(spark, sf, "v5"))
+    texts, _, past, now = novelty.reference_weights(chunk_table(spark, sf))
     # identical texts of a filing share one vector; the copies are counted back in
     copies = texts.select("rep", "copies")
 
@@ -138,7 +143,7 @@ def h16(spark, sf):
 @query("c11_best_match", SCORES + """
 select chunk_id, match as matched_chunk_id, round(s, 6) as similarity from best where r = 1""", ["v5"])
 def c11(spark, sf):
-    chunks = view(spark, sf, "v5")
+    chunks = chunk_table(spark, sf)
     texts, _, past, now = novelty.reference_weights(chunks)
     matches = novelty.best_matches(past, now)
     members = chunks.select("filing_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_key")).join(
@@ -151,7 +156,7 @@ def c11(spark, sf):
 select chunk_id, filing_id, reference_filing_id, reference_filing_date, matched_chunk_id, round(max_similarity, 6) as max_similarity,
   round(novelty_score, 6) as novelty_score, boilerplate_category, scoring_status from result""", ["v5"])
 def h17(spark, sf):
-    out = novelty.score_chunks(view(spark, sf, "v5")).select(
+    out = novelty.score_chunks(chunk_table(spark, sf)).select(
         "chunk_id", "filing_id", "reference_filing_id", "reference_filing_date", "matched_chunk_id", "max_similarity", "novelty_score",
         "boilerplate_category", "scoring_status")
     return rounded(out, "max_similarity", "novelty_score")
@@ -162,7 +167,7 @@ select company, filing_id, filing_date, count(*) as total_chunks, count(max_simi
   round(avg(novelty_score), 6) as mean_novelty, """ + ", ".join(
     f"count(*) filter (boilerplate_category = '{c}') as {c}" for c in novelty.CATEGORIES) + " from result group by 1, 2, 3", ["v5"])
 def e26(spark, sf):
-    scores = materialize(novelty.score_chunks(view(spark, sf, "v5")), "scores")
+    scores = materialize(novelty.score_chunks(chunk_table(spark, sf)), "scores")
     return rounded(describe.novelty_summary(scores), "mean_similarity", "mean_novelty")
 
 

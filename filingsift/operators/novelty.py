@@ -20,6 +20,7 @@ from filingsift.functions.keys import unroll
 from filingsift.operators.joins import previous_filings
 from filingsift.operators.vocab import idf
 from filingsift.session import materialize
+from filingsift.sources.tables import spread
 
 SCORED_CATEGORIES = ["potential_boilerplate", "modified_disclosure", "potential_novel_disclosure"]
 CATEGORIES = ["no_history"] + SCORED_CATEGORIES
@@ -53,10 +54,10 @@ def reference_weights(chunks: DataFrame):
     out later, see :func:`lengths`.
     """
     texts = materialize(distinct_texts(chunks), "texts")
-    refs = previous_filings(chunks.select("company", "filing_id", "filing_date"))
+    refs = materialize(previous_filings(chunks.select("company", "filing_id", "filing_date")), "references")
     pairs = refs.filter("reference_filing_id is not null").select(
         "filing_id", F.col("reference_filing_id").alias("ref"))
-    terms = materialize(_term_table(texts), "terms")
+    terms = materialize(_term_table(spread(texts, "rep")), "terms")
     sizes = texts.groupBy("filing_id").agg(F.sum("copies").alias("n_chunks"))
     stats = terms.groupBy("filing_id", "term").agg(F.sum("copies").alias("df"))
     idfs = (stats.join(sizes, "filing_id")

@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(scan: DataFrame, key) -> DataFrame:
+def spread(scan: DataFrame, *key) -> DataFrame:
     """Distribute a scan over the cores when its files give fewer splits than there are cores.
 
     Text work is bound by the processor, and one small file is one task. A table of cluster size has far
@@ -12,7 +12,7 @@ def spread(scan: DataFrame, key) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(cores, key)
+    return scan.repartition(cores, *key)
 
 
 def read_delimited(spark: SparkSession, path, schema, sep=";", columns=None) -> DataFrame:
