@@ -6,6 +6,7 @@ from filingsift.catalog.views import view
 from filingsift.functions import fields, text as tx
 from filingsift.operators import dedup, describe, evaluate, joins, sections
 from filingsift.plans import corpus
+from filingsift.session import materialize
 
 # the filing id stands for the address of the filing
 IDENTITY = ["filing_id", "cik", "name", "city", "state", "sic", "incorp_state", "filing_type", "filing_date", "reporting_date"]
@@ -37,7 +38,9 @@ TEXT_SQL = """
 
 
 def keyed(spark, sf):
-    return dedup.with_text_key(view(spark, sf, "v3"), "mda").withColumn("y", F.year("filing_date"))
+    """Text hashes without the texts, written once: the checks below read them more than once."""
+    rows = dedup.with_text_key(view(spark, sf, "v3"), "mda")
+    return materialize(rows.select("doc_id", "cik", "fraudulent", F.year("filing_date").alias("y"), "text_key"), "keys")
 
 
 def is_train():

@@ -18,6 +18,10 @@ WORDS = r"(?U)[^\s\x1c-\x1f]+"
 WORD_CHARS = r"\p{L}\p{N}_"
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 URL = f"https?://{NON_SPACE}+"
+# What may start a character reference, and characters NFKC may change. ASCII and the rest of
+# Latin-1 are stable, also next to each other.
+REFERENCE = "&[#A-Za-z]"
+UNSTABLE = r"[^\x00-\x7F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\xFF]"
 COMMENT = r"(?s)<!--.*?-->"
 SILENT_ELEMENT = r"(?is)<(script|style|template)\b[^>]*+>.*?</\1\s*+>"
 UNSEEN_ELEMENT = r"(?is)<(script|style|noscript)\b[^>]*+>.*?</\1\s*+>"
@@ -39,9 +43,9 @@ def _unescape_nfkc(texts: pd.Series) -> pd.Series:
 
 
 def decode_entities(c) -> Column:
-    """Character references to characters. Texts without ``&`` never leave the JVM."""
+    """Character references to characters. Texts without any never leave the JVM."""
     c = _c(c)
-    return F.coalesce(_unescape(F.when(F.contains(c, F.lit("&")), c)), c)
+    return F.coalesce(_unescape(F.when(c.rlike(REFERENCE), c)), c)
 
 
 def collapse(c) -> Column:
@@ -92,7 +96,7 @@ def normalize_mda(c, fixed_order=False) -> Column:
 def normalize_for_duplicates(c) -> Column:
     """Entities decoded, NFKC, lower case, white space collapsed; null becomes the empty text."""
     c = _c(c)
-    special = F.when(c.rlike(r"[&]|[^\x00-\x7F]"), c)
+    special = F.when(c.rlike(f"{REFERENCE}|{UNSTABLE}"), c)
     return F.coalesce(collapse(F.lower(F.coalesce(_unescape_nfkc(special), c))), F.lit(""))
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingsift.operators.audit import unfold
-from filingsift.operators.ranks import beside, exact_quantiles, null_safe_join
+from filingsift.operators.ranks import beside, exact_quantiles, null_safe_join, table_quantiles, value_table
 from filingsift.session import materialize
 
 
@@ -24,11 +24,18 @@ def extreme(df: DataFrame, by, k, tie, bottom=False) -> DataFrame:
 def summary_stats(df: DataFrame, col, by=()) -> DataFrame:
     """count, mean, sample std, min, quartiles, max."""
     by = list(by)
-    quarts = exact_quantiles(df, col, (0.25, 0.5, 0.75), by, ["q25", "q50", "q75"]).drop("n")
-    x = F.col(col).cast("double")
-    base = df.groupBy(*by).agg(F.count(col).alias("count"), F.avg(x).alias("mean"),
-                               F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-    joined = null_safe_join(base, quarts, by, "inner") if by else beside(base, quarts)
+    own = value_table(df, col, {"n": F.lit(1)}, by)
+    quarts = table_quantiles(own, (0.25, 0.5, 0.75), by, ["q25", "q50", "q75"]).drop("n")
+    n, v = F.col("n"), F.col("value")
+    base = own.groupBy(*by).agg(F.sum(n).alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"),
+                                F.max(v).alias("max"))
+
+    def join(left, right):
+        return null_safe_join(left, right, by, "inner") if by else beside(left, right)
+    off = v - F.col("mean")
+    spread = join(own, base.select(*by, "mean")).groupBy(*by).agg(
+        F.when(F.sum(n) > 1, F.sqrt(F.sum(off * off * n) / (F.sum(n) - 1))).alias("std"))
+    joined = join(join(base, spread), quarts)
     return joined.select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 

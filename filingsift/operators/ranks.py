@@ -37,10 +37,10 @@ def scalar_row(row: DataFrame) -> Column:
 
 def beside(base: DataFrame, *rows: DataFrame) -> DataFrame:
     """Append the columns of one-row tables as constants."""
-    for row in rows:
-        one = scalar_row(row)
-        base = base.select("*", *[one.getField(c).alias(c) for c in row.columns])
-    return base
+    for i, row in enumerate(rows):
+        base = base.withColumn(f"_one{i}", scalar_row(row))
+    taken = [F.col(f"_one{i}").getField(c).alias(c) for i, row in enumerate(rows) for c in row.columns]
+    return base.select("*", *taken).drop(*[f"_one{i}" for i in range(len(rows))])
 
 
 def _range_column(values: DataFrame, col) -> DataFrame:
@@ -59,17 +59,25 @@ def _range_column(values: DataFrame, col) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=col, outputCol="_range", handleInvalid="keep").transform(values)
 
 
+def value_table(df: DataFrame, value, sums: dict[str, Column], by=()) -> DataFrame:
+    """Sums per distinct non-null ``value`` (and group), written once: the source is read a single time."""
+    own = (df.filter(F.col(value).isNotNull())
+           .groupBy(*by, F.col(value).cast("double").alias("value"))
+           .agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
+    return materialize(own, "values")
+
+
 def prefix_counts(df: DataFrame, value, sums: dict[str, Column], by=(), descending=False) -> DataFrame:
     """Per distinct value: own sums, and the same sums over this value and all before it.
 
     Output: by columns, ``value``, and per sum ``name`` (own), ``cum_name`` (inclusive) and
     ``total_name``; plus ``next_name`` (own sum of the following value, null at the end).
     """
-    by = list(by)
-    own = (df.filter(F.col(value).isNotNull())
-           .groupBy(*by, F.col(value).cast("double").alias("value"))
-           .agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
-    own = _range_column(materialize(own, "values"), "value")
+    return _running(value_table(df, value, sums, by), list(sums), list(by), descending)
+
+
+def _running(own: DataFrame, sums, by, descending=False) -> DataFrame:
+    own = _range_column(own, "value")
     if descending:
         own = own.withColumn("_range", -F.col("_range"))
     order = F.col("value").desc() if descending else F.col("value").asc()
@@ -101,9 +109,14 @@ def exact_quantiles(df: DataFrame, value, probs, by=(), names=None) -> DataFrame
 
     Also returns ``n``, the count of non-null values.
     """
+    return table_quantiles(value_table(df, value, {"n": F.lit(1)}, by), probs, by, names)
+
+
+def table_quantiles(own: DataFrame, probs, by=(), names=None) -> DataFrame:
+    """:func:`exact_quantiles` from a value table with counts ``n``."""
     by = list(by)
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    curve = prefix_counts(df, value, {"n": F.lit(1)}, by)
+    curve = _running(own, ["n"], by)
     first = F.col("cum_n") - F.col("n")
     picks = []
     for i, p in enumerate(probs):

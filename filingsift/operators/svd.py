@@ -71,7 +71,7 @@ def _gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     blocks = halfway.groupBy("block").applyInPandas(lambda k, f: _sum_blocks(k, f), schema)
     result = np.zeros((n_terms, width))
     # terms x rank numbers in all, the size of the basis itself
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():
         part = np.frombuffer(r["values"], dtype="float64").reshape(-1, width)
         result[r["block"]:r["block"] + len(part)] = part
     shared.unpersist()
