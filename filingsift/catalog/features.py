@@ -34,7 +34,7 @@ def h12(spark, sf):
 VOCAB = TOKENS + """
 , tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(tokens) as term from tk) group by 1, 2),
 voc as (select term, count(*) as df, cast(sum(tf) as bigint) as cf from tf group by 1
-  having count(*) >= 2 and count(*) <= floor(0.25 * (select count(*) from v3)))
+  having count(*) >= 2 and count(*) <= floor(0.25 * (select count(*) from v3)) order by 2 desc, 1 limit 100000)
 """
 
 

@@ -83,3 +83,38 @@ def test_a_hot_company_keeps_every_filing(spark):
     plain = rows.withColumn("p", F.lag("filing_id").over(Window.partitionBy("company").orderBy("filing_date", "filing_id")))
     got = joins.previous_filings(rows).select("filing_id", "reference_filing_id")
     assert got.exceptAll(plain.select("filing_id", "p")).count() == 0 and got.count() == 3000
+
+
+def test_hot_copies_are_kept_whole(spark):
+    """A third of all rows are copies of one text: counts, rows and leaks equal a plain count."""
+    rows = spark.range(3000).select(
+        "id", F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("text "), (F.col("id") % 900).cast("string"))).alias("mda"),
+        (F.col("id") % 5 == 0).cast("int").alias("fraudulent"), (F.lit(2010) + F.col("id") % 14).alias("y"))
+    local = [tuple(r) for r in rows.collect()]
+    count, labels, seen = {}, {}, set()
+    for _, t, label, y in local:
+        count[t] = count.get(t, 0) + 1
+        labels.setdefault(t, set()).add(label)
+        if y <= 2017:
+            seen.add(t)
+    keyed = dedup.with_text_key(rows, "mda")
+    ids = {r["id"] for r in dedup.duplicate_text_rows(keyed).collect()}
+    assert ids == {i for i, t, _, _ in local if count[t] > 1}
+    ids = {r["id"] for r in dedup.conflicting_label_rows(keyed).collect()}
+    assert ids == {i for i, t, _, _ in local if len(labels[t]) > 1}
+    train, test = F.col("y") <= 2017, F.col("y") > 2017
+    ids = {r["id"] for r in dedup.leaked_rows(keyed, train, test).collect()}
+    assert ids == {i for i, t, _, y in local if y > 2017 and t in seen}
+    kept = {r["id"] for r in dedup.drop_repeated_negatives(rows, ["mda"]).collect()}
+    assert kept == {i for i, t, label, _ in local if label == 1 or count[t] == 1}
+
+
+def test_a_hot_stratum_is_drawn_exactly(spark):
+    from pyspark.sql import Window
+
+    from filingsift.functions.keys import draw_key
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 200).cast("string")).alias("s"))
+    got = ranks.rank_by_draw(rows, "id", 1, ["s"]).select("id", "draw_rank", "stratum_size")
+    plain = rows.select("id", F.row_number().over(Window.partitionBy("s").orderBy(draw_key(1, "id"), "id")).cast("bigint"),
+                        F.count("*").over(Window.partitionBy("s")))
+    assert got.exceptAll(plain).count() == 0 and got.count() == 5000
