@@ -17,8 +17,6 @@ Defined results: a null or empty text has no words and no hits and is kept; a be
 never found; a null item id counts as the empty string; repeated rows are judged one by one; an empty
 benchmark finds nothing; other columns of either table play no part.
 """
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F

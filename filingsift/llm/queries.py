@@ -1,5 +1,15 @@
 """The registered queries of this subpackage and, where SQL can say the same, their DuckDB statements."""
-from filingsift.llm import decontaminate
+from filingsift.llm import decontaminate, near_dedup, substring_dedup, url_filter
 
-QUERIES = {"op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination}
-ORACLES = {"op3_benchmark_decontamination": decontaminate.OP3_SQL}
+QUERIES = {
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+}
+ORACLES = {
+    "op2_url_filter": url_filter.OP2_SQL,
+    "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+    "op9_minhash_near_dedup": near_dedup.OP9_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
+}
