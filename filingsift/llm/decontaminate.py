@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filingsift.llm import words as W
+from filingsift.llm.tables import packed, unpacked
 
 WINDOW = 13
 PHRASE_BYTES = 16 << 20
@@ -296,12 +297,9 @@ def _cut(batches):
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text="text") -> DataFrame:
     """Documents without the contaminated ones, and with the remaining hits cut from the others' texts."""
-    names = documents.columns
-    found = scan(documents, benchmark, names, text)
-    kept = found.filter(~is_contaminated())
+    kept = scan(packed(documents, text), benchmark, ["row"]).filter(~is_contaminated())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    cut = kept.mapInArrow(_cut, schema)
-    return cut.select(*[F.col("text").alias(text) if c == text else F.col(c) for c in names])
+    return unpacked(kept.mapInArrow(_cut, schema), documents.columns, text)
 
 
 def op3_benchmark_decontamination(spark, sf_dir):

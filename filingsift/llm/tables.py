@@ -1,7 +1,7 @@
 """Intermediate tables of one job, in the shared folder, deleted as soon as nothing reads them."""
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from filingsift.session import scratch_path
 
@@ -31,3 +31,14 @@ class Tables:
     def _delete(self, path):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def packed(df: DataFrame, text):
+    """(row, text): the text and a struct of all other columns, so that no name can clash with a result's."""
+    other = [F.col(f"`{c}`") for c in df.columns if c != text]
+    return df.select(F.struct(*(other or [F.lit(0).alias("none")])).alias("row"), F.col(f"`{text}`").alias("text"))
+
+
+def unpacked(df: DataFrame, names, text):
+    """The columns ``names`` of a packed table, in order."""
+    return df.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names])

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 TEXTS = 1 << 23
-_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_BASE, _BASE2, _LENGTH = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
 def byte_table(is_word, lower=True):
@@ -72,11 +72,12 @@ def text_buffer(texts):
     return data, offsets - offsets[0]
 
 
-def split_words(data, offsets, table, second=False):
+def split_words(data, offsets, table, prefixes=()):
     """All words of a column of texts, in order.
 
-    Returns starts, ends (byte positions in ``data``), 64-bit hashes, the index of the first word of each
-    text (one more entry than texts), and with ``second`` an independent second hash.
+    Returns starts, ends (byte positions in ``data``), 64-bit hashes, for each length in ``prefixes`` the hashes
+    of the words' first bytes (0 for shorter words), and the index of the first word of each text (one more
+    entry than texts).
     """
     n = len(data)
     inside = (table != 0)[data]
@@ -91,20 +92,22 @@ def split_words(data, offsets, table, second=False):
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     first = np.searchsorted(starts, offsets)
-    bases = (_BASE, _BASE2) if second else (_BASE,)
-    hashes = [np.empty(len(starts), np.uint64) for _ in bases]
+    up_to = (None, *prefixes)
+    hashes = [np.zeros(len(starts), np.uint64) for _ in up_to]
     at = 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
         a, b = starts[at], ends[upto - 1]
         values = table[data[a:b]]
         s, e = starts[at:upto] - a, ends[at:upto] - a
-        for base, out in zip(bases, hashes):
-            up = powers(base, b - a + 1)
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(values * up[:b - a], out=sums[1:])
-            down = powers(pow(base, -1, 1 << 64), b - a + 1)
-            out[at:upto] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(values * powers(_BASE, b - a + 1)[:b - a], out=sums[1:])
+        down = powers(pow(_BASE, -1, 1 << 64), b - a + 1)[s]
+        for size, out in zip(up_to, hashes):
+            last = np.minimum(s + size, e) if size else e
+            marked = np.uint64(size * _LENGTH % (1 << 64)) if size else (e - s).astype(np.uint64) * np.uint64(_LENGTH)
+            h = mix((sums[last] - sums[s]) * down + marked)
+            out[at:upto] = np.where(e - s >= size, h + np.uint64(size), 0) if size else h
         at = upto
     return (starts, ends, *hashes, first)
 
