@@ -151,7 +151,8 @@ def learn(documents: DataFrame, id="doc_id", text="text", lang="lang", per_langu
     rows = rows.filter("lang is not null and text is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.lit("language"), F.coalesce("id", F.lit(""))), F.lit(1 << 30)) / F.lit(1 << 30)
-    chosen = rows.join(counts, "lang").filter(draw * F.col("n") < per_language).select("text", "lang")
+    # one row per language, as the prototypes that reach the driver; the texts are not shuffled
+    chosen = rows.join(F.broadcast(counts), "lang").filter(draw * F.col("n") < per_language).select("text", "lang")
     found = (chosen.mapInArrow(_bundle, "lang string, sums array<double>").groupBy("lang")
              .applyInPandas(_add, "lang string, sums array<double>").collect())
     found = sorted(found, key=lambda r: r.lang)
