@@ -18,12 +18,15 @@ def _toward_smallest(edges, larger):
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = (edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))))
-    return moved.filter("u > v").distinct()
+    return moved.filter("u > v").distinct() if not larger else moved.filter("u > v")
 
 
-def _mark(edges):
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row.n, row.x
+def _unfinished(edges):
+    """Whether some vertex has two edges downwards, or one both upwards and downwards."""
+    ends = (edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+            .unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))))
+    found = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not found.filter((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
 
 
 def components(edges: DataFrame, tables: Tables, name="links") -> DataFrame:
@@ -33,11 +36,6 @@ def components(edges: DataFrame, tables: Tables, name="links") -> DataFrame:
     """
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = tables.write(name, edges)
-    mark = _mark(edges)
-    while mark[0]:
+    while _unfinished(edges):
         edges = tables.write(name, _toward_smallest(_toward_smallest(edges, True), False))
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
