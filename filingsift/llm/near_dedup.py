@@ -7,10 +7,11 @@ candidates, and a link is confirmed on the full sets. With 32 bands a pair at si
 with probability (1 - 0.85**4)**32, about 5e-11.
 
 Equal sets are one class from the start, so copies cost a partial aggregate. A bucket of candidates is never
-expanded into all its pairs: first each member is compared with the bucket's smallest id, then, while buckets
-hold more than one component, members outside the component of a pivot drawn by hash are compared with that
-pivot. Buckets still undivided among few members, and those left after ``PIVOT_ROUNDS``, are finished exactly:
-every pair of members in different components whose sizes allow the similarity is compared.
+expanded into all its pairs. First each document is compared with the smallest id it shares a bucket with, which
+settles most links. Buckets that still hold more than one component are then finished exactly: a small one by
+comparing its members of different components, a large one in blocks. A task takes two blocks with their full
+sets, counts all intersections as a matrix product, and returns no more links than join its components. Blocks of
+the component that most of a bucket belongs to are never compared with each other.
 
 Defined results: a null text, an empty one and one without words have no shingles and are linked with nothing;
 a text of fewer words than a shingle is one shingle; repeated rows each get a result; rows that share a
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from filingsift.llm import words as W
 from filingsift.llm.components import components
-from filingsift.llm.tables import Tables
+from filingsift.llm.tables import Tables, packed, unpacked
 
 SHINGLE = 5
 PERMUTATIONS = 64
 BAND = 2  # permutations in a band, each with its minimum and maximum
-PIVOT_ROUNDS = 4
 SMALL_BUCKET = 24
+BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+COLUMNS = 4096
 _SEEDS = W.mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -107,6 +109,87 @@ def _confirmed(pairs, sets, percent):
             .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
 
+def _small_pairs(placed, percent):
+    """Members of one bucket in different components, whose sizes allow the similarity."""
+    left = placed.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    right = placed.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    able = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return left.join(right, "bucket").filter((F.col("ca") < F.col("cb")) & able).select("a", "b").distinct()
+
+
+def _block_links(placed, sets, percent):
+    """Links (u, v) between components in large buckets, from blocks of about BLOCK_SETS members.
+
+    The members of a bucket outside the component of its smallest id are cut into blocks, and so is that component;
+    each outer block meets every other block.
+    """
+    outer = F.col("c") != F.col("low")
+
+    def blocks(side):
+        count, volume = F.count_if(side), F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0))
+        return F.greatest(F.lit(1), F.ceil(count / BLOCK_SETS), F.ceil(volume / BLOCK_SHINGLES)).cast("int")
+
+    cuts = placed.groupBy("bucket").agg(blocks(outer).alias("outer_blocks"), blocks(~outer).alias("inner_blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.when(outer, F.col("outer_blocks")).otherwise(F.col("inner_blocks"))).cast("int")
+
+    def unit(i, j, kind):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+
+    b, others = F.col("b"), F.sequence(F.lit(0), F.col("outer_blocks") - 1)
+    with_inner = F.transform(F.sequence(F.lit(0), F.col("inner_blocks") - 1), lambda j: unit(b, j, 1))
+    among = F.transform(others, lambda j: unit(F.least(b, j), F.greatest(b, j), 0))
+    units = (F.when(~outer, F.transform(others, lambda i: unit(i, b, 1)))
+             .when(F.col("outer_blocks") > 1, F.concat(with_inner, among)).otherwise(with_inner))
+    sent = (placed.join(cuts, "bucket").withColumn("b", mine).select("bucket", "id", "c", F.explode(units).alias("unit"))
+            .select("bucket", "unit.*", "id", "c").join(sets, "id").drop("id"))
+    kind = placed.schema["c"].dataType.simpleString()
+    return sent.groupBy("bucket", "i", "j", "kind").applyInArrow(_solve(percent), f"u {kind}, v {kind}")
+
+
+def _solve(percent):
+    def run(table):
+        table = table.combine_chunks()
+        names = table.column("c").to_pylist()
+        labels = sorted(set(names))
+        number = {c: i for i, c in enumerate(labels)}
+        of = np.array([number[c] for c in names])
+        lists = table.column("shingles").combine_chunks() if isinstance(table.column("shingles"), pa.ChunkedArray) else table.column("shingles")
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        _, column, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        row, (_, column) = row[shared], np.unique(column[shared], return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(size), len(size)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [first, first + COLUMNS])
+            some, at = np.unique(row[a:b], return_inverse=True)
+            part = np.zeros((len(some), COLUMNS), np.float32)
+            part[at, column[a:b] - first] = 1
+            both[np.ix_(some, some)] += part @ part.T
+        linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+        x, y = np.nonzero(linked & (of[:, None] < of[None]))
+        root = list(range(len(labels)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+        kept = []
+        for key in np.unique(of[x] * len(labels) + of[y]).tolist():
+            i, j = find(key // len(labels)), find(key % len(labels))
+            if i != j:
+                root[max(i, j)] = min(i, j)
+                kept.append((key // len(labels), key % len(labels)))
+        kind = table.schema.field("c").type
+        return pa.table({"u": pa.array([labels[i] for i, _ in kept], kind), "v": pa.array([labels[j] for _, j in kept], kind)})
+    return run
+
+
 def near_duplicates(documents: DataFrame, tables: Tables, id="doc_id", text="text", percent=85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable over links) and kept."""
     rows = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
@@ -125,33 +208,18 @@ def near_duplicates(documents: DataFrame, tables: Tables, id="doc_id", text="tex
     one_each = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])  # needs no further shuffle
     sets = tables.write("sets", one_each.mapInArrow(_sets, f"id {kind}, shingles array<long>"))
     pairs = members.filter("id <> pivot").groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
-    links = tables.write("confirmed", _confirmed(pairs, sets, percent))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), tables, "found0")
-    for turn in range(1, PIVOT_ROUNDS + 2):
-        placed = (members.drop("pivot").join(found, "id", "left")
-                  .select("bucket", "id", "n", F.coalesce("component", "id").alias("c")))
-        split = (placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"),
-                                              F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(turn))).alias("p"))
-                 .filter("low < high"))
-        placed = tables.write("split", placed.join(split.select("bucket", "size", "p"), "bucket"))
-        last = turn > PIVOT_ROUNDS or placed.filter(F.col("size") > SMALL_BUCKET).isEmpty()
-        if last:
-            left = placed.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            right = placed.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = left.join(right, "bucket").filter("ca < cb")
-        else:
-            pairs = placed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("p.id").alias("b"),
-                                  F.col("p.n").alias("nb"), F.col("p.c").alias("cb")).filter("ca <> cb")
-        able = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = pairs.filter(able).select("a", "b").distinct()
-        fresh = tables.write(f"confirmed{turn}", _confirmed(pairs, sets, percent))
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), tables, f"found{turn}")
-            tables.drop(f"found{turn - 1}")
-        if last:
-            break
-    tables.drop("crowded", "sets", "split")
+    found = components(_confirmed(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), tables, "found0")
+    placed = tables.write("placed", members.drop("pivot").join(found, "id", "left")
+                          .select("bucket", "id", "n", F.coalesce("component", "id").alias("c")))
+    split = (placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"))
+             .filter("low < high").select("bucket", "low", "size"))
+    placed = tables.write("split", placed.join(split, "bucket"))
+    small = _confirmed(_small_pairs(placed.filter(F.col("size") <= SMALL_BUCKET), percent), sets, percent)
+    large = _block_links(placed.filter(F.col("size") > SMALL_BUCKET), sets, percent)
+    fresh = tables.write("fresh", small.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(large))
+    stars = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    found = components(stars.unionByName(fresh), tables, "found1")
+    tables.drop("crowded", "sets", "placed", "split", "fresh", "found0")
     joined = (signed.join(classes, ["k1", "k2", "n"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left"))
     component = F.coalesce("component", "rep", "id")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -161,9 +229,9 @@ def near_duplicates(documents: DataFrame, tables: Tables, id="doc_id", text="tex
 def keep_one(documents: DataFrame, id="doc_id", text="text", percent=85) -> DataFrame:
     """One document of each group: the row of its smallest id (rows that repeat an id stay as they are)."""
     tables = Tables(documents.sparkSession, "neardedup")
-    gone = near_duplicates(documents, tables, id, text, percent).filter("not kept").select("doc_id", "component_id")
-    dropped = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(dropped, documents[id] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(documents, tables, id, text, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rows = packed(documents, text)
+    return unpacked(rows.join(gone, F.col(f"row.`{id}`") == F.col("_gone"), "left_anti"), documents.columns, text)
 
 
 def op9_minhash_near_dedup(spark, sf_dir):
