@@ -1,7 +1,7 @@
 """Toxicity scores by a counterfactual-regularised classifier.
 
 A logistic regression over the presence of words and word beginnings. Besides the labelled texts it sees, for
-each labelled text that mentions a group, the same text with the mentions swapped for other groups, and pays
+each labelled text that mentions a group, the same text with the mentions swapped for each other group, and pays
 ``FAIRNESS`` times the mean squared change of its score. Weights that tell groups apart cost more than they
 gain, so a neutral mention of a group does not raise a score.
 
@@ -48,6 +48,9 @@ _GROUP_OF = {term: (g, i) for g, terms in enumerate(GROUPS) for i, term in enume
 _MENTION = re.compile(r"(?<![^\W_])(" + "|".join(sorted(_GROUP_OF, key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
 
 
+TURNS = max(map(len, GROUPS)) - 1
+
+
 def swap(text, turn=1):
     """The text with each mention of a group replaced by the ``turn``-th next term of its list."""
     def other(match):
@@ -126,30 +129,38 @@ def _present(model):
     def run(batches):
         for whole in batches:
             for batch in W.pieces(whole, "text"):
-                plain = batch.column("text")
-                swapped = pa.array([t if t is None else swap(t) for t in plain.to_pylist()], pa.string())
-                lists = []
-                for texts in (plain, swapped):
-                    row, number = model.present(texts)
-                    cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                    lists.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(number, pa.int64())))
-                yield pa.RecordBatch.from_arrays([batch.column("label"), *lists], ["label", "plain", "swapped"])
+                texts = batch.column("text").to_pylist()
+                row, number = model.present(batch.column("text"))
+                cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                plain = [number[a:b] for a, b in zip(cut[:-1], cut[1:])]
+                gained, lost = [[] for _ in texts], [[] for _ in texts]
+                for i, text in enumerate(texts):
+                    if text and _MENTION.search(text):
+                        row, number = model.present(pa.array([swap(text, turn) for turn in range(1, TURNS + 1)], pa.string()))
+                        for turn in range(TURNS):
+                            other = number[row == turn]
+                            gained[i].append(np.setdiff1d(other, plain[i]).tolist())
+                            lost[i].append(np.setdiff1d(plain[i], other).tolist())
+                nested = pa.list_(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([p.tolist() for p in plain], pa.list_(pa.int64())),
+                                                  pa.array(gained, nested), pa.array(lost, nested)], ["label", "plain", "gained", "lost"])
     return run
 
 
-def fit(x, other, label, weight, fairness=FAIRNESS, ridge=RIDGE, rounds=ROUNDS):
-    """Accelerated gradient descent on the weighted log loss, the ridge, and the squared score change of swaps."""
+def fit(x, change, columns, label, weight, fairness=FAIRNESS, ridge=RIDGE, rounds=ROUNDS):
+    """Accelerated gradient descent on the weighted log loss, the ridge, and the mean squared score change of swaps.
+
+    ``change`` holds what each swap changes in the features ``columns``.
+    """
     n, width = x.shape
     x = np.column_stack([x, np.ones(n, np.float32)]).astype(np.float32)
-    change = x[:, :-1] - other
-    change = change[np.abs(change).sum(1) > 0]
+    pay = 2 * fairness / max(1, len(change))
     share = (weight / weight.sum()).astype(np.float32)
     pull = np.append(np.full(width, ridge / n), 0).astype(np.float32)
 
     def curved(v, scale):
         slope = x.T @ (scale * (x @ v)) + pull * v
-        if len(change):
-            slope[:-1] += 2 * fairness / n * (change.T @ (change @ v[:-1]))
+        slope[columns] += pay * (change.T @ (change @ v[columns]))
         return slope
 
     v, steep = np.full(width + 1, 1, np.float32), 1.0
@@ -160,8 +171,7 @@ def fit(x, other, label, weight, fairness=FAIRNESS, ridge=RIDGE, rounds=ROUNDS):
     for turn in range(rounds):
         error = share * (1 / (1 + np.exp(-(x @ v))) - label).astype(np.float32)
         slope = x.T @ error + pull * v
-        if len(change):
-            slope[:-1] += 2 * fairness / n * (change.T @ (change @ v[:-1]))
+        slope[columns] += pay * (change.T @ (change @ v[columns]))
         new = v - slope / (1.1 * steep)
         v, w = new + turn / (turn + 3) * (new - w), new
     return w[:-1].astype(np.float64), float(w[-1])
@@ -192,16 +202,20 @@ def learn(documents: DataFrame, labels: DataFrame, id="doc_id", text="text", lab
     mentions = np.concatenate([h for _, h in text_features(pa.array(sorted(_GROUP_OF)))])
     names = np.unique(np.concatenate([np.array([r.feature for r in found], np.int64).view(np.uint64), mentions]))
     model = Model(names)
-    sample = chosen.mapInArrow(_present(model), "label int, plain array<long>, swapped array<long>").toPandas()
+    sample = chosen.mapInArrow(_present(model), "label int, plain array<long>, gained array<array<long>>, lost array<array<long>>").toPandas()
     tables.drop("sample")
-    x, other = (np.zeros((len(sample), len(names)), np.float32) for _ in range(2))
-    for matrix, lists in ((x, sample["plain"]), (other, sample["swapped"])):
-        at = np.repeat(np.arange(len(sample)), [len(l) for l in lists])
-        if len(at):
-            matrix[at, np.concatenate(list(lists)).astype(np.int64)] = 1
+    x = np.zeros((len(sample), len(names)), np.float32)
+    for i, present in enumerate(sample["plain"]):
+        x[i, np.asarray(present, np.int64)] = 1
+    swaps = [(np.asarray(a, np.int64), np.asarray(b, np.int64)) for gained, lost in zip(sample["gained"], sample["lost"])
+             for a, b in zip(gained, lost) if len(a) or len(b)]
+    columns = np.unique(np.concatenate([np.zeros(0, np.int64), *[c for pair in swaps for c in pair]]))
+    change = np.zeros((len(swaps), len(columns)), np.float32)
+    for i, (gained, lost) in enumerate(swaps):
+        change[i, np.searchsorted(columns, gained)], change[i, np.searchsorted(columns, lost)] = -1, 1
     label_of = sample["label"].to_numpy()
     weight = np.where(label_of == 1, counts[1] / max(1, (label_of == 1).sum()), counts[0] / max(1, (label_of == 0).sum()))
-    model.weights, model.base = fit(x, other, label_of, weight, fairness)
+    model.weights, model.base = fit(x, change, columns, label_of, weight, fairness)
     return model
 
 
