@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from filingsift.catalog.registry import query
-from filingsift.catalog.views import view
+from filingsift.catalog.views import table, view
 from filingsift.functions import fields, text as tx
 from filingsift.operators import dedup, describe, evaluate, joins, sections
 from filingsift.plans import corpus
@@ -107,6 +107,33 @@ def corpus_build(spark, sf):
     return rows.select("filing_id", "sic", "amend_filing", "fraudulent")
 
 
+@query("corpus_build_with_texts", """
+, f as (select v1.*, d.text as mda from v1 join documents d on v1.filing_id = d.doc_id),
+joined as (select f.*, case when f.reporting_date >= e.fraud_start and f.reporting_date <= cast(e.fraud_end + interval '1' year as date)
+  then 1 else 0 end as fraudulent from f join v2 e on f.cik = e.cik),
+counted as (select *, count(*) over (partition by cik, name, city, state, sic, incorp_state, filing_type, filing_date, reporting_date, mda) as copies from joined),
+lab as (select * from counted where not (fraudulent = 0 and copies > 1)),
+general as (select f.* from f where not exists (select 1 from lab l where l.cik = f.cik and l.name = f.name and l.sic is not distinct from f.sic
+  and l.filing_type = f.filing_type and l.filing_date = f.filing_date and l.reporting_date = f.reporting_date and l.mda = f.mda)),
+whole as (select filing_id, sic, filing_type, mda, fraudulent from lab union all select filing_id, sic, filing_type, mda, 0 from general),
+""" + r"""
+a as (select *, regexp_replace(trim_text, '[\n\t\\''"]+', ' ', 'g') as t from (select *, lower(mda) as trim_text from whole)),
+b as (select *, regexp_replace(t, '[^\p{L}\p{N}_{sp}]', ' ', 'g') as u from a),
+n as (select *, regexp_replace(u, '[{sp}]+', ' ', 'g') as clean from b),
+m as (select *, length(clean) as c, len(regexp_extract_all(clean, '[^{sp}]+')) as w from n)
+select filing_id, case when sic = '0097' then '0079' else sic end as sic, cast(fraudulent as int) as fraudulent, c as char_count, w as word_count,
+  round(c / w, 6) as word_density, md5(clean) as digest from m where w > 200 and not filing_type like '%/A'
+""".replace("{sp}", tx.SPACE_CHARS), ["v1", "v2"])
+def corpus_build_with_texts(spark, sf):
+    """The whole build: labels, appended general filings, clean texts, length measures, industry rewrites, analysis filter."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("filing_id"), F.col("text").alias("mda"))
+    filings, enforcement = view(spark, sf, "v1").join(texts, "filing_id"), view(spark, sf, "v2")
+    firms = enforcement.select("cik").distinct()
+    _, analysis = corpus.build_corpus(filings.join(firms, "cik", "left_semi"), filings, enforcement, {"0097": "0079"})
+    return analysis.select("filing_id", "sic", "fraudulent", "char_count", "word_count", F.round("word_density", 6).alias("word_density"),
+                           F.md5("mda").alias("digest"))
+
+
 @query("c5_accepted_sections", """
 , cand as (select doc_id as filing_id, text as section_text from documents),
 rev as (select doc_id as filing_id, case when doc_id % 4 = 0 then 'reject' else ' Accept ' end as review_decision,
@@ -117,7 +144,6 @@ where lower(trim(r.review_decision)) = 'accept' and lower(trim(r.correct_start))
   and lower(trim(r.correct_end)) = 'yes' and lower(trim(r.toc_contamination)) = 'no' and trim(c.section_text) <> ''
 """.replace(", cand as", "with cand as", 1))
 def c5(spark, sf):
-    from filingsift.catalog.views import table
     docs = table(spark, sf, "documents")
     cand = docs.select(F.col("doc_id").alias("filing_id"), F.col("text").alias("section_text"))
     d = F.col("doc_id")
@@ -213,7 +239,6 @@ def d1(spark, sf):
 select lang as state, source as cik, n_chars, md5(text) as digest, count(*) over (partition by lang, source, n_chars, text) as copies
 from documents qualify copies > 1""")
 def d2(spark, sf):
-    from filingsift.catalog.views import table
     docs = table(spark, sf, "documents").select(F.col("lang").alias("state"), F.col("source").alias("cik"), "n_chars", "text")
     return dedup.duplicate_rows(docs).withColumn("digest", F.md5("text")).drop("text")
 
@@ -223,13 +248,11 @@ with n as (select text, count(*) as n from documents group by text)
 select cast(sum(case when n > 1 then n else 0 end) as bigint) as duplicate_rows, cast(sum(n) as bigint) as rows,
   round(sum(case when n > 1 then n else 0 end) * 100.0 / sum(n), 6) as percent from n""")
 def d2_share(spark, sf):
-    from filingsift.catalog.views import table
     return dedup.duplicate_share(table(spark, sf, "documents"), ["text"]).withColumn("percent", F.round("percent", 6))
 
 
 @query("d3_drop_exact_duplicates", "select distinct lang, source, n_chars, md5(text) as digest from documents")
 def d3(spark, sf):
-    from filingsift.catalog.views import table
     docs = table(spark, sf, "documents").select("lang", "source", "n_chars", "text")
     return dedup.drop_exact_duplicates(docs).withColumn("digest", F.md5("text")).drop("text")
 
@@ -267,7 +290,6 @@ def d7(spark, sf):
 select n as input_keys, n - empty as output_keys, empty as missing_keys, w as input_words, w as output_words,
   cast(0 as bigint) as words_lost from words""".replace(", words as", "with words as", 1))
 def d8(spark, sf):
-    from filingsift.catalog.views import table
     docs = table(spark, sf, "documents").select("doc_id", "text")
     pieces = sections.chunks(docs, "doc_id", "text")
     return dedup.conservation_report(docs, pieces, "doc_id", tx.word_count("text"), F.col("word_count")).drop("output_rows")

@@ -151,7 +151,34 @@ def h10(spark, sf):
     return docs.select("doc_id", (F.col("p") + 1).alias("sentence_number"), "sentence")
 
 
-@query("h11_chunks")
+# one sentence a step, as the operator folds them; then chunks of under 50 words join their neighbours
+CHUNKS = r"""
+with recursive d as (select doc_id, source as company, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
+  '([.!?])\s+([A-Z])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as p from documents),
+g as (select doc_id, p, 0 as i, cast([] as varchar[]) as done, '' as o, cast(0 as bigint) as n from d
+  union all
+  select doc_id, p, i + 1, case when huge then list_concat(closed, list_transform(range(0, cast(floor((c - 1) / 220) as bigint) + 1),
+      lambda k: array_to_string(string_split(s, ' ')[k * 220 + 1 : (k + 1) * 220], ' '))) when n1 >= 150 then list_append(closed, o1) else closed end,
+    case when n1 >= 150 then '' else o1 end, case when n1 >= 150 then 0 else n1 end
+  from (select *, case when (huge or whole) and n > 0 then list_append(done, o) else done end as closed,
+      case when huge then '' when whole or n = 0 then s else o || ' ' || s end as o1, case when huge then 0 when whole then c else n + c end as n1
+    from (select *, c > 220 as huge, n > 0 and n + c > 220 as whole
+      from (select *, p[i + 1] as s, len(regexp_extract_all(p[i + 1], '[^ ]+')) as c from g where i < len(p))))),
+grown as (select doc_id, case when n > 0 then list_append(done, o) else done end as q from g where i = len(p)),
+j as (select doc_id, q, 0 as i, cast([] as varchar[]) as acc from grown
+  union all
+  select doc_id, q, i + 1, case when len(acc) > 0 and len(string_split(q[i + 1], ' ')) < 50
+    then list_append(acc[1 : len(acc) - 1], acc[len(acc)] || ' ' || q[i + 1]) else list_append(acc, q[i + 1]) end from j where i < len(q)),
+f as (select doc_id, case when len(acc) > 1 and len(string_split(acc[1], ' ')) < 50 then list_concat([acc[1] || ' ' || acc[2]], acc[3 : len(acc)]) else acc end as acc
+  from j where i = len(q)),
+u as (select doc_id, unnest(acc) as t, generate_subscripts(acc, 1) as n from f)
+select u.doc_id, company, cast(u.doc_id as varchar) || '_c' || lpad(cast(n as varchar), cast(greatest(4, length(cast(n as varchar))) as int), '0') as chunk_id,
+  cast(n as int) as chunk_number, t as chunk_text, len(regexp_extract_all(t, '[^\s]+')) as word_count, 'heuristic_sentence_chunking_v2' as segmentation_method
+from u join d on d.doc_id = u.doc_id
+"""
+
+
+@query("h11_chunks", CHUNKS)
 def h11(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("company"), "text")
     return sections.chunks(docs, "doc_id", "text", ["company"])

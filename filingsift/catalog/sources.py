@@ -72,11 +72,13 @@ f as (select page_id, raw, octet_length(raw) < 1000 or not (contains(head, '<htm
 select page_id, case when small or refused then 'failed' else 'downloaded' end as status,
   cast(case when small or refused then 0 else octet_length(raw) end as bigint) as bytes,
   case when small or refused then '' else sha256(raw) end as sha256,
+  case when small or refused then '' else 'raw/' || cast(page_id as varchar) || '.html' end as raw_path,
   case when small then 'Unexpected or suspiciously small filing document'
     when refused then 'Access restriction in response body' else '' end as error from f
 """.replace(", m as", "with m as", 1))
 def a6(spark, sf):
-    return src.document_manifest(table(spark, sf, "pages"), "page_id", "html")
+    pages = table(spark, sf, "pages").withColumn("place", F.format_string("raw/%d.html", "page_id"))
+    return src.document_manifest(pages, "page_id", "html", "place")
 
 
 @query("a7_saved_model_state", TFIDF + "select cast(idx as int) as idx, term, df, cf, round(idf, 6) as idf, (select n from n) as n_docs from voc",

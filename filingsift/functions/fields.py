@@ -70,12 +70,14 @@ def add_year(c) -> Column:
 def correct_industry(df: DataFrame, rewrites: dict, overrides: DataFrame, key, sic="sic") -> DataFrame:
     """Rewrite wrong industry codes by value, then by row key.
 
-    ``overrides`` holds (key, sic) for single rows; it wins over the rewrite. It is a curated list
+    ``overrides`` (None for none) holds (key, sic) for single rows; it wins over the rewrite. It is a curated list
     of corrections, yet nothing here assumes its size.
     """
     fixed = F.col(sic)
     for old, new in rewrites.items():
         fixed = F.when(F.col(sic) == old, F.lit(new)).otherwise(fixed)
+    if overrides is None:
+        return df.withColumn(sic, fixed)
     fix = overrides.select(F.col(key), F.col(sic).alias("_fix"))
     return (df.withColumn(sic, fixed).join(fix, key, "left")
             .withColumn(sic, F.coalesce("_fix", sic)).drop("_fix"))

@@ -40,7 +40,8 @@ def duplicate_share(df: DataFrame, cols=None) -> DataFrame:
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
-    return df.withColumn("_key", row_key(*df.columns)).dropDuplicates(["_key"]).drop("_key")
+    """One row of each set of equal rows; null equals null. Grouped by the columns themselves, with nothing carried."""
+    return df.dropDuplicates()
 
 
 def with_text_key(df: DataFrame, text, key="text_key") -> DataFrame:

@@ -211,14 +211,14 @@ def attach_one_to_one(summary: DataFrame, counts: DataFrame, key) -> DataFrame:
 
 def chunk_quality(chunks: DataFrame, low=50, high=220) -> DataFrame:
     """Short and long chunks, missing text, repeated ids and the spread over companies and filings."""
-    repeats = (chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    slim = materialize(chunks.select("company", "filing_id", "chunk_id", "word_count", F.col("chunk_text").isNull().alias("missing")),
+                       "chunk-quality")
+    repeats = (slim.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
                .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_ids")))
-    filings = (chunks.groupBy("company", "filing_id").agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.count(F.lit(1)).alias("filings"), F.max("n").alias("most_per_filing"),
-                    F.avg("n").alias("mean_per_filing")))
-    companies = (chunks.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+    per_filing = slim.groupBy("company", "filing_id").agg(F.count(F.lit(1)).alias("n"))
+    filings = per_filing.agg(F.count(F.lit(1)).alias("filings"), F.max("n").alias("most_per_filing"), F.avg("n").alias("mean_per_filing"))
+    companies = (per_filing.groupBy("company").agg(F.sum("n").alias("n"))
                  .agg(F.count(F.lit(1)).alias("companies"), F.max("n").alias("most_per_company")))
-    base = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("word_count") < low).alias("under_low"),
-                      F.count_if(F.col("word_count") > high).alias("over_high"),
-                      F.count_if(F.col("chunk_text").isNull()).alias("missing_text"))
+    base = slim.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("word_count") < low).alias("under_low"),
+                    F.count_if(F.col("word_count") > high).alias("over_high"), F.count_if("missing").alias("missing_text"))
     return beside(base, repeats, filings, companies)

@@ -82,7 +82,8 @@ def fit_forest(df: DataFrame, id_col, vector, trees=300, sample=256, seed=42) ->
         raise ValueError("at least two rows are needed")
     size = min(sample, n)
     pool_size = min(n, trees * sample)
-    share = min(1.0, 1.1 * pool_size / n + 1e-4)
+    # six standard deviations of slack: the pool stays small however large the table is
+    share = min(1.0, (pool_size + 6 * pool_size ** 0.5) / n)
     pool = slim.filter(draw_fraction(f"{seed}:pool", id_col) < share) if share < 1.0 else slim
     pool = materialize(pool, "forest-pool")
     in_pool = pool.count()

@@ -4,23 +4,19 @@ from pyspark.sql import functions as F
 
 from filingsift.functions.fields import add_year
 from filingsift.functions.keys import row_key
+from filingsift.operators.ranks import null_safe_join
 
-BROADCAST_ROWS = 500_000
 
-
-def broadcast_if_small(df: DataFrame, most_rows=BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the table is counted to be small; else leave the choice to AQE."""
-    if df.limit(most_rows + 1).count() <= most_rows:
-        return F.broadcast(df)
-    return df
+FILINGS_PER_RANGE = 10_000
 
 
 def attach_enforcement(filings: DataFrame, enforcement: DataFrame, key="cik") -> DataFrame:
     """Left join: a filing appears once per release of its firm, or once without any.
 
-    Beyond the checked size the join shuffles, and AQE splits the partitions of hot firms.
+    Adaptive execution broadcasts the records while their bytes are below its threshold; beyond it the join
+    shuffles, and the partitions of hot firms are split.
     """
-    return filings.join(broadcast_if_small(enforcement), key, "left")
+    return filings.join(enforcement, key, "left")
 
 
 def label_filings(joined: DataFrame, reported="reporting_date", start="fraud_start", end="fraud_end") -> DataFrame:
@@ -74,23 +70,32 @@ def company_overlap(df: DataFrame, company, is_train, is_test) -> DataFrame:
 def previous_filings(filings: DataFrame, company="company", filing_id="filing_id", filing_date="filing_date") -> DataFrame:
     """Each filing with the one of its company just before it by (date, id); null for the first.
 
-    Two steps, so a company holding a large share of all filings is spread over its dates: order
-    within one (company, date), and hand over the last filing of the previous date. The second
-    window sees one row per company and day.
+    Three steps, so a company holding a large share of all filings is spread over its dates and a crowded day
+    over ranges of ids: order within one (company, date, range), hand over the last filing of the range before,
+    and at the start of a day the last filing of the day before. The later windows see one row per range and one
+    per day. A day of up to ``FILINGS_PER_RANGE`` filings is one range.
     """
     distinct = filings.select(company, filing_id, filing_date).distinct()
-    days = distinct.groupBy(company, filing_date).agg(F.max(filing_id).alias("_last"))
-    days = days.select(
-        F.col(company).alias("_c"), F.col(filing_date).alias("_d"),
-        F.lag(F.struct("_last", filing_date)).over(Window.partitionBy(company).orderBy(filing_date)).alias("_prev"))
-    within = Window.partitionBy(company, filing_date).orderBy(filing_id)
-    stepped = distinct.withColumn("_same", F.lag(filing_id).over(within))
-    joined = stepped.join(days, stepped[company].eqNullSafe(days["_c"]) & stepped[filing_date].eqNullSafe(days["_d"]))
+    day = [company, filing_date]
+    # ranges of ids with about FILINGS_PER_RANGE filings each; the cut points of a day are a short array
+    cuts = distinct.groupBy(*day).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = cuts.filter(F.col("_n") > FILINGS_PER_RANGE).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(day)], "_n")
+    marks = (distinct.join(crowded, distinct[company].eqNullSafe(crowded["_0"]) & distinct[filing_date].eqNullSafe(crowded["_1"]))
+             .filter(F.pmod(F.xxhash64(filing_id), F.lit(FILINGS_PER_RANGE)) == 0)
+             .groupBy(*day).agg(F.sort_array(F.collect_set(filing_id)).alias("_marks")))
+    placed = null_safe_join(distinct, marks, day)
+    at = F.when(F.col("_marks").isNull(), 0).otherwise(F.size(F.filter("_marks", lambda m: m <= F.col(filing_id))))
+    placed = placed.withColumn("_range", at).drop("_marks")
+    ranges = placed.groupBy(*day, "_range").agg(F.max(filing_id).alias("_last"))
+    ranges = ranges.withColumn("_before", F.lag("_last").over(Window.partitionBy(*day).orderBy("_range")))
+    days = ranges.groupBy(*day).agg(F.max("_last").alias("_last"))
+    days = days.withColumn("_prev", F.lag(F.struct("_last", filing_date)).over(Window.partitionBy(company).orderBy(filing_date))).drop("_last")
+    stepped = placed.withColumn("_same", F.lag(filing_id).over(Window.partitionBy(*day, "_range").orderBy(filing_id)))
+    joined = null_safe_join(null_safe_join(stepped, ranges.drop("_last"), [*day, "_range"]), days, day)
+    same = F.coalesce("_same", "_before")
     return joined.select(
-        company, filing_id, filing_date,
-        F.coalesce("_same", "_prev._last").alias("reference_filing_id"),
-        F.when(F.col("_same").isNotNull(), F.col(filing_date)).otherwise(F.col(f"_prev.{filing_date}"))
-        .alias("reference_filing_date"))
+        company, filing_id, filing_date, F.coalesce(same, F.col("_prev._last")).alias("reference_filing_id"),
+        F.when(same.isNotNull(), F.col(filing_date)).otherwise(F.col(f"_prev.{filing_date}")).alias("reference_filing_date"))
 
 
 def align_years(left: DataFrame, right: DataFrame, year="year") -> DataFrame:

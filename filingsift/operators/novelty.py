@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from filingsift.functions import text as tx
 from filingsift.functions.keys import unroll
+from filingsift.operators.dedup import require_unique
 from filingsift.operators.joins import previous_filings
 from filingsift.operators.vocab import idf
 from filingsift.session import materialize
@@ -49,9 +50,9 @@ def reference_weights(chunks: DataFrame):
     """TF-IDF weights of reference texts and of the texts compared with them, not yet scaled.
 
     Returns (texts, filing references, past, now): past = (ref, rep, rep_number, term, w), now = (ref,
-    filing_id, rep, term, w, df). Terms the reference filing does not know are absent from ``now``. Both
-    come out distributed by (ref, term), so pairing them needs no further shuffle; lengths are divided
-    out later, see :func:`lengths`.
+    filing_id, rep, term, w, df). Terms the reference filing does not know are absent from ``now``. A filing
+    has one successor, so (ref, rep) names a text on either side; lengths are divided out later, see
+    :func:`lengths`.
     """
     texts = materialize(distinct_texts(chunks), "texts")
     refs = materialize(previous_filings(chunks.select("company", "filing_id", "filing_date")), "references")
@@ -162,20 +163,24 @@ def score_chunks(chunks: DataFrame, high=0.80, low=0.40, frequent=FREQUENT) -> D
     """Every chunk with its reference filing, best match, similarity, novelty and category."""
     if not 0 <= low < high <= 1:
         raise ValueError("Invalid similarity thresholds.")
+    require_unique(chunks, ["filing_id", "chunk_id"])
     texts, refs, past, now = reference_weights(chunks)
     matches = best_matches(past, now, frequent)
+    # a chunk id is unique within its filing only, so every join carries the filing it belongs to
     by_text = (texts.select("filing_id", "text_key", "rep")
-               .join(matches.select("rep", "match", F.least(F.greatest("similarity", F.lit(0.0)), F.lit(1.0)).alias("s")),
-                     "rep", "left")
-               .join(texts.select(F.col("rep").alias("match"), F.col("chunk_text").alias("matched_chunk_text")), "match", "left")
-               .drop("rep"))
+               .join(refs.select("filing_id", F.col("reference_filing_id").alias("ref")), "filing_id")
+               .join(matches.select("ref", "rep", "match", F.least(F.greatest("similarity", F.lit(0.0)), F.lit(1.0)).alias("s")),
+                     ["ref", "rep"], "left")
+               .join(texts.select(F.col("filing_id").alias("ref"), F.col("rep").alias("match"), F.col("chunk_text").alias("matched_chunk_text")),
+                     ["ref", "match"], "left")
+               .drop("rep", "ref"))
     rows = (chunks.withColumn("text_key", F.sha2("chunk_text", 256))
             .join(refs.select("filing_id", "reference_filing_id", "reference_filing_date"), "filing_id")
             .join(by_text, ["filing_id", "text_key"], "left").drop("text_key"))
     known = F.col("reference_filing_id").isNotNull()
     shared = F.coalesce(F.col("s") > 0, F.lit(False))
     scored = rows.withColumn("max_similarity", F.when(known, F.when(shared, F.col("s")).otherwise(0.0)))
-    return (scored.withColumns({
+    result = (scored.withColumns({
         "matched_chunk_id": F.when(known & shared, F.col("match")),
         "matched_chunk_text": F.when(known & shared, F.col("matched_chunk_text")),
         "novelty_score": F.lit(1.0) - F.col("max_similarity"),
@@ -183,3 +188,7 @@ def score_chunks(chunks: DataFrame, high=0.80, low=0.40, frequent=FREQUENT) -> D
         "scoring_status": F.when(~known, "no_history").when(shared, "scored").otherwise("no_shared_terms"),
         "high_threshold": F.lit(high), "low_threshold": F.lit(low),
         "scoring_method": F.lit("historical_tfidf_cosine_v1")}).drop("match", "s"))
+    result = materialize(result, "novelty")
+    if result.count() != chunks.count():
+        raise ValueError("novelty scoring lost or added rows")
+    return result

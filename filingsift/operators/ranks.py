@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filingsift.functions.keys import draw_key
 from filingsift.session import materialize
@@ -56,13 +57,19 @@ def _range_column(values: DataFrame, col) -> DataFrame:
         points = values.agg(F.percentile_approx(col, F.lit(cuts), F.lit(20 * ranges)).alias("p")).first()["p"]
         bounds = sorted({float(p) for p in points or [] if p is not None})
     splits = [float("-inf")] + (bounds or [0.0]) + [float("inf")]
-    return Bucketizer(splits=splits, inputCol=col, outputCol="_range", handleInvalid="keep").transform(values)
+    placed = values.withColumn("_as_double", F.col(col).cast("double"))  # equal doubles share a range, so order is kept
+    return Bucketizer(splits=splits, inputCol="_as_double", outputCol="_range", handleInvalid="keep").transform(placed).drop("_as_double")
 
 
 def value_table(df: DataFrame, value, sums: dict[str, Column], by=()) -> DataFrame:
-    """Sums per distinct non-null ``value`` (and group), written once: the source is read a single time."""
+    """Sums per distinct non-null ``value`` (and group), written once: the source is read a single time.
+
+    Large integers and decimals keep their type, so values that are equal only as doubles stay apart.
+    """
+    kind = df.select(value).schema[0].dataType
+    exact = isinstance(kind, (T.LongType, T.DecimalType))
     own = (df.filter(F.col(value).isNotNull())
-           .groupBy(*by, F.col(value).cast("double").alias("value"))
+           .groupBy(*by, (F.col(value) if exact else F.col(value).cast("double")).alias("value"))
            .agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     return materialize(own, "values")
 
@@ -125,7 +132,7 @@ def table_quantiles(own: DataFrame, probs, by=(), names=None) -> DataFrame:
             picks.append(F.max(F.when((first <= at) & (at < F.col("cum_n")), F.col("value"))).alias(f"_{edge}{i}"))
         picks.append(F.max(pos - F.floor(pos)).alias(f"_w{i}"))
     row = curve.groupBy(*by).agg(F.max("total_n").alias("n"), *picks)
-    out = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(name)
+    out = [(F.col(f"_lo{i}").cast("double") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")).cast("double") * F.col(f"_w{i}")).alias(name)
            for i, name in enumerate(names)]
     return row.select(*by, "n", *out)
 

@@ -139,11 +139,19 @@ def choose_section(docs: DataFrame, content=None, least=200, most=100000) -> Dat
 
 
 def extract_sections(metadata: DataFrame, raw: DataFrame, id_col, content) -> DataFrame:
-    """Metadata with raw documents attached, to one extraction result per filing."""
-    joined = metadata.join(raw.select(id_col, content), id_col, "left")
-    lined = joined.withColumn("lines", document_lines(content))
-    chosen = choose_section(with_candidates(reject_contents(with_headings(lined))), content)
-    return chosen.drop("lines", "starts", "ends", content)
+    """One extraction result per filing; a filing without a raw document was not downloaded.
+
+    Extraction happens where the raw document is read; only its results meet the metadata, never the markup.
+    """
+    lined = raw.select(id_col, content).withColumn("lines", document_lines(content))
+    chosen = choose_section(with_candidates(reject_contents(with_headings(lined))), content).drop("lines", "starts", "ends", content)
+    results = [c for c in chosen.columns if c != id_col]
+    joined = metadata.drop(*results).join(chosen, id_col, "left")
+    # no raw row at all: what the extraction gives for a null document
+    absent = F.col("extraction_status").isNull()
+    nothing = {"extraction_status": F.lit("not_downloaded"), "candidate_count": F.lit(0), "plausible_count": F.lit(0),
+               "word_count": F.lit(0), "section_text": F.lit(""), "candidates": F.array().cast(chosen.schema["candidates"].dataType)}
+    return joined.withColumns({c: F.when(absent, v).otherwise(F.col(c)) for c, v in nothing.items() if c in results})
 
 
 def qa_flag(text="section_text", plausible="plausible_count", words="word_count") -> Column:

@@ -2,7 +2,7 @@
 (Halko, Martinsson and Tropp, 2011).
 
 Documents stay distributed. What a task returns is the product of its rows with a (terms x rank)
-matrix; the vocabulary is capped, so that matrix is bounded (20,000 x 310 doubles are 50 MB). A run
+matrix; the caller bounds the vocabulary and the rank, so that matrix is bounded (20,000 x 310 doubles are 50 MB). A run
 makes a fixed, small number of passes over the documents.
 """
 from dataclasses import dataclass
@@ -13,9 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingsift.session import materialize
-
 BLOCK = 512
+ROWS = 64
 
 
 @dataclass
@@ -54,9 +53,16 @@ def _gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         v = shared.value
         out = np.zeros((n_terms, width))
         for frame in frames:
-            for idx, w in zip(frame["indices"], frame["weights"]):
-                w = np.asarray(w)
-                out[idx] += np.outer(w, w @ v[idx])
+            for first in range(0, len(frame), ROWS):
+                # a block of documents over the terms it has, as one dense matrix
+                idx, w = frame["indices"].iloc[first:first + ROWS], frame["weights"].iloc[first:first + ROWS]
+                size = np.array([len(x) for x in idx])
+                if not size.sum():
+                    continue
+                terms, column = np.unique(np.concatenate(list(idx)), return_inverse=True)
+                block = np.zeros((len(size), len(terms)))
+                block[np.repeat(np.arange(len(size)), size), column] = np.concatenate(list(w))
+                out[terms] += block.T @ (block @ v[terms])
         salt = TaskContext.get().partitionId() % spread
         for start in range(0, n_terms, BLOCK):
             part = out[start:start + BLOCK]
@@ -79,11 +85,12 @@ def _gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
 
 
 def fit_svd(rows: DataFrame, n_terms, n_rows, components=300, passes=5, oversample=10, seed=42) -> SvdModel:
-    """``rows`` holds (indices, weights) per document; fit on training documents only."""
+    """``rows`` holds (indices, weights) per document, best a written table, since each pass reads it; fit on
+    training documents only."""
     k = max(1, min(components, n_terms - 1, n_rows - 1))
     spark = rows.sparkSession
     # every task returns a full block set, so tasks are limited to the cores there are
-    rows = materialize(rows, "svd-rows").coalesce(max(1, spark.sparkContext.defaultParallelism))
+    rows = rows.coalesce(max(1, spark.sparkContext.defaultParallelism))
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_terms, min(n_terms, k + oversample))))[0]
     for _ in range(passes):
         basis = np.linalg.qr(_gram_product(rows, basis))[0]
@@ -116,6 +123,14 @@ def project(rows: DataFrame, model: SvdModel, id_col, out="vector") -> DataFrame
     @F.pandas_udf("array<double>")
     def coordinates(indices: pd.Series, weights: pd.Series) -> pd.Series:
         v = shared.value
-        return pd.Series([np.asarray(w) @ v[i] if i is not None and len(i) else np.zeros(width)
-                          for i, w in zip(indices, weights)])
+        out = np.zeros((len(indices), width))
+        for first in range(0, len(out), ROWS):
+            some = [(r, i, w) for r, (i, w) in enumerate(zip(indices.iloc[first:first + ROWS], weights.iloc[first:first + ROWS]))
+                    if i is not None and len(i)]
+            if some:
+                terms, column = np.unique(np.concatenate([i for _, i, _ in some]), return_inverse=True)
+                block = np.zeros((ROWS, len(terms)))
+                block[np.repeat([r for r, _, _ in some], [len(i) for _, i, _ in some]), column] = np.concatenate([w for _, _, w in some])
+                out[first:first + ROWS] = (block @ v[terms])[:len(out) - first]
+        return pd.Series(list(out))
     return rows.select(id_col, coordinates("indices", "weights").alias(out))

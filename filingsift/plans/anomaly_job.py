@@ -10,13 +10,18 @@ from filingsift.session import materialize
 
 
 def text_vectors(train: DataFrame, rest: DataFrame, id_col, text, components=300, stop_words=None, **vocabulary):
-    """Fit TF-IDF and SVD on ``train``; (train vectors, rest vectors, TF-IDF model, SVD model)."""
-    train_counts = materialize(vocab.tfidf_counts(train, id_col, text, stop_words), "counts")
-    model = vocab.fit_tfidf(train, id_col, text, stop_words, counts=train_counts, **vocabulary)
+    """Fit TF-IDF and SVD on ``train``; (train vectors, rest vectors, TF-IDF model, SVD model).
+
+    The first job keeps only term statistics, the second writes the sparse rows over the chosen vocabulary; the table
+    of all n-grams, several times the corpus, is never written.
+    """
+    def rows_of(docs):
+        return vocab.sparse_rows(vocab.weigh(vocab.tfidf_counts(docs, id_col, text, stop_words), model, id_col), id_col)
+    model = vocab.fit_tfidf(train, id_col, text, stop_words, **vocabulary)
     n_terms = model.vocabulary.count()
-    train_rows = materialize(vocab.sparse_rows(vocab.weigh(train_counts, model, id_col), id_col), "rows")
+    train_rows = materialize(rows_of(train), "rows")
     reduced = svd.fit_svd(train_rows, n_terms, model.n_docs, components)
-    rest_rows = vocab.sparse_rows(vocab.weigh(vocab.tfidf_counts(rest, id_col, text, stop_words), model, id_col), id_col)
+    rest_rows = rows_of(rest)
 
     def whole(docs, rows):
         # a document without known terms still gets its (zero) vector

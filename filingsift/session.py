@@ -6,6 +6,7 @@ laptop) a temporary folder of this process takes its place.
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,7 @@ def shared_dir(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "unknown").startswith("local"):  # a remote session may not name its master
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if _own_dir is None:
         _own_dir = tempfile.TemporaryDirectory(prefix="filingsift-")
@@ -54,10 +55,23 @@ def scratch_path(spark, name):
     return path
 
 
-def release_scratch(spark):
-    """Delete what this process wrote below the shared folder, once no result reads it any more."""
+@contextmanager
+def scratch(spark):
+    """Delete, on leaving, what jobs wrote below the shared folder since entering.
+
+    Write a job's result inside: ``with scratch(spark): score_chunks(chunks).write.parquet(path)``.
+    """
+    before = len(_paths)
+    try:
+        yield
+    finally:
+        release_scratch(spark, before)
+
+
+def release_scratch(spark, keep=0):
+    """Delete what this process wrote below the shared folder (all but the ``keep`` oldest), once no result reads it."""
     jvm = spark._jvm
-    while _paths:
+    while len(_paths) > keep:
         target = jvm.org.apache.hadoop.fs.Path(_paths.pop())
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -15,19 +15,21 @@ def spread(scan: DataFrame, *key) -> DataFrame:
     return scan.repartition(cores, *key)
 
 
-def read_delimited(spark: SparkSession, path, schema, sep=";", columns=None) -> DataFrame:
+def read_delimited(spark: SparkSession, path, schema, sep=";", columns=None, multiline=False) -> DataFrame:
+    """A delimited file with a header. ``multiline`` is for quoted line feeds; such a file cannot be split, so it
+    is one task however large it is."""
     df = spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"') \
-        .option("multiLine", True).csv(path)
+        .option("multiLine", multiline).csv(path)
     return df.select(*columns) if columns else df
 
 
-def read_csv(spark, path, schema, keep_empty=False, columns=None) -> DataFrame:
+def read_csv(spark, path, schema, keep_empty=False, columns=None, multiline=False) -> DataFrame:
     """CSV with one of two null conventions.
 
     By default an empty field is null; with ``keep_empty`` no text is ever null and a missing value
     is the empty string. ``columns`` prunes the scan.
     """
-    df = read_delimited(spark, path, schema, ",", columns)
+    df = read_delimited(spark, path, schema, ",", columns, multiline)
     return df.fillna("") if keep_empty else df
 
 
@@ -39,11 +41,9 @@ def write_table(df: DataFrame, path, fmt="parquet", partition_by=(), sep=","):
     """Write results; Parquet is the format of record, CSV the exchange format."""
     writer = df.write.mode("overwrite")
     if partition_by:
-        # rows of one partition value meet in a few tasks, so a run writes few files per folder;
-        # the second key keeps a dominant value from meeting in one task
-        spread = F.pmod(F.monotonically_increasing_id(), F.lit(32))
-        df = df.withColumn("_spread", spread).repartition(*partition_by, "_spread").drop("_spread")
-        writer = df.write.mode("overwrite").partitionBy(*partition_by)
+        # rows of one value meet in few tasks, so a run writes few files per folder; adaptive execution splits
+        # the partition of a dominant value by its bytes
+        writer = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
         writer.option("header", True).option("sep", sep).option("escape", '"').csv(path)
     else:
@@ -66,12 +66,13 @@ MARKUP_OPENINGS = ["<html", "<!doctype", "<?xml", "<document"]
 REFUSALS = ["access denied", "request rate threshold exceeded"]
 
 
-def document_manifest(docs: DataFrame, id_col, content, min_bytes=1000, head_chars=5000) -> DataFrame:
-    """Id, status, size and SHA-256 of every raw document.
+def document_manifest(docs: DataFrame, id_col, content, path=None, min_bytes=1000, head_chars=5000) -> DataFrame:
+    """Id, status, size and SHA-256 of every raw document, and where it lies if a ``path`` column says so.
 
     ``content`` is a text column or the ``content`` column of the ``binaryFile`` source. A failed
-    document reports size 0, no digest and the reason.
+    document reports size 0, no digest, no path and the reason.
     """
+    place = F.lit("") if path is None else F.coalesce(F.col(path), F.lit(""))
     raw = F.col(content).cast("binary")
     head = F.lower(F.substring(F.decode(F.substring(raw, 1, head_chars), "ISO-8859-1"), 1, head_chars))
     opens = F.lit(False)
@@ -84,11 +85,12 @@ def document_manifest(docs: DataFrame, id_col, content, min_bytes=1000, head_cha
     error = (F.when((size < min_bytes) | ~F.coalesce(opens, F.lit(False)),
                     F.lit("Unexpected or suspiciously small filing document"))
              .when(refused, F.lit("Access restriction in response body")).otherwise(F.lit("")))
-    return (docs.select(F.col(id_col), raw.alias("_raw"), size.alias("_size"), error.alias("error"))
+    return (docs.select(F.col(id_col), raw.alias("_raw"), size.alias("_size"), place.alias("_path"), error.alias("error"))
             .select(id_col,
                     F.when(F.col("error") == "", "downloaded").otherwise("failed").alias("status"),
                     F.when(F.col("error") == "", F.col("_size")).otherwise(0).cast("bigint").alias("bytes"),
                     F.when(F.col("error") == "", F.sha2("_raw", 256)).otherwise("").alias("sha256"),
+                    F.when(F.col("error") == "", F.col("_path")).otherwise("").alias("raw_path"),
                     "error"))
 
 

@@ -17,6 +17,8 @@ def spark():
                             spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from filingsift.session import release_scratch
+    release_scratch(session)
     session.stop()
 
 

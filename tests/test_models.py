@@ -131,6 +131,32 @@ def test_novelty_categories(spark):
         novelty.score_chunks(chunk_rows(spark, rows), high=0.3, low=0.4)
 
 
+def test_chunk_ids_may_repeat_across_filings(spark):
+    """Chunks numbered within each filing: nothing is multiplied, and matches stay in the reference filing."""
+    rows = [("a", "a1", 2004, 1, "interest rates may rise quickly"), ("a", "a1", 2004, 2, "supply chain trouble"),
+            ("a", "a2", 2005, 1, "supply chain trouble again"), ("a", "a2", 2005, 2, "interest rates may rise quickly"),
+            ("b", "b1", 2004, 1, "rates of another firm"), ("b", "b2", 2005, 1, "interest rates may rise quickly"), ("b", "b2", 2005, 2, "rates")]
+    unique = chunk_rows(spark, rows)
+    repeated = unique.withColumn("chunk_id", F.format_string("c%d", "chunk_number"))
+    want = {(r["filing_id"], r["chunk_number"]): (r["matched_chunk_text"], round(r["max_similarity"] or 0, 9)) for r in novelty.score_chunks(unique).collect()}
+    got = novelty.score_chunks(repeated).collect()
+    assert len(got) == 7
+    assert {(r["filing_id"], r["chunk_number"]): (r["matched_chunk_text"], round(r["max_similarity"] or 0, 9)) for r in got} == want
+    with pytest.raises(ValueError):
+        novelty.score_chunks(repeated.unionByName(repeated.limit(1)))
+
+
+def test_a_filing_of_many_chunks(spark):
+    """20,000 chunks in one filing: the frequent words do not pair all of them."""
+    rows = spark.range(20_000).select(
+        F.lit("a").alias("company"), F.lit("a1").alias("filing_id"), F.lit("2004-01-01").cast("date").alias("filing_date"), F.col("id").alias("chunk_id"),
+        F.col("id").cast("int").alias("chunk_number"), F.concat(F.lit("the report of item "), F.md5((F.col("id") % 15_000).cast("string"))).alias("chunk_text"))
+    later = rows.filter("chunk_id % 4 = 0").withColumns({"filing_id": F.lit("a2"), "filing_date": F.lit("2005-01-01").cast("date")})
+    out = novelty.score_chunks(rows.unionByName(later)).filter("filing_id = 'a2'")
+    assert out.count() == 5_000 and out.filter("max_similarity < 0.999999").count() == 0
+    assert out.filter(F.col("matched_chunk_id") != F.col("chunk_id") % 15_000).count() == 0
+
+
 def brute_matches(spark, past, now):
     joined = now.join(past.select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("number"), "term", F.col("w").alias("p")), ["ref", "term"])
     scored = {}
@@ -183,6 +209,25 @@ def test_boosted_selection(parts):
     assert abs(by_hand - values[rounds]) < 1e-12
 
 
+def test_boosting_grows_until_nothing_improves(parts, monkeypatch):
+    """The round count is that of one long fit, however short the first fit is."""
+    train, test = parts
+    split = materialize(splits.stratified_split(train, "id", "y", 0.3, 2), "boost")
+    halves = split.filter("split = 'train'"), split.filter("split = 'validation'")
+    _, long, _ = classify.boosted_with_selection(*halves, "v", "y", rounds=24, depth=3, patience=3, first=24)
+    _, short, _ = classify.boosted_with_selection(*halves, "v", "y", rounds=24, depth=3, patience=3, first=4)
+    assert long == short
+
+
+def test_windows_without_two_classes_keep_their_row(spark):
+    rows = [(2003, "train", i % 2, [float(i % 2), 1.0]) for i in range(20)] + [(2003, "test", i % 2, [float(i % 2), 1.0]) for i in range(4)]
+    rows += [(2004, "train", 0, [0.0, 1.0]), (2004, "test", 1, [0.0, 1.0]), (2005, "train", 1, [0.0, 1.0]), (2005, "train", 0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "window_end int, split string, y int, v array<double>")
+    got = {r["window_end"]: r for r in classify.expanding_evaluation(df, "v", "y", trees=5).collect()}
+    assert set(got) == {2003, 2004, 2005} and got[2003]["macro_f1"] == 1.0 and got[2003]["n"] == 4
+    assert got[2004]["macro_f1"] is None and (got[2004]["train_rows"], got[2004]["test_rows"]) == (1, 1) and got[2005]["test_rows"] == 0
+
+
 def test_best_round_stops_after_patience():
     def curve(*values):
         return [{"round": i + 1, "macro_f1": v} for i, v in enumerate(values)]
@@ -213,7 +258,7 @@ def test_sweep(parts):
 
 def test_topic_vectors_sum_to_one(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.topic_tokens("text").alias("tokens"))
-    terms = topics.fit_vocabulary(docs, "doc_id", "tokens")
+    terms = topics.fit_vocabulary(docs, "doc_id", "tokens", 50_000)
     counted = topics.count_vectors(docs, "tokens", terms)
     model = topics.fit_topics(counted, k=4, passes=1, rate=0.5)
     out = topics.topic_vectors(model, counted, ["doc_id"])
@@ -237,6 +282,18 @@ def test_encoding_and_pooling(spark):
     assert (row["non_finite"], row["missing_keys"], row["min_dim"], row["max_dim"], row["valid"]) == (1, 1, 1, 2, 0)
 
 
+def test_scratch_is_empty_after_a_job(spark, blobs, tmp_path):
+    import os
+
+    from filingsift.session import scratch, shared_dir
+    before = set(os.listdir(shared_dir(spark)))
+    with scratch(spark):
+        model = forest.fit_isolation_forest(blobs, "id", "v", trees=5)
+        forest.anomaly_scores(blobs, model, "v").write.parquet(str(tmp_path / "scores"))
+        assert set(os.listdir(shared_dir(spark))) - before
+    assert set(os.listdir(shared_dir(spark))) == before and spark.read.parquet(str(tmp_path / "scores")).count() == 600
+
+
 def test_text_job_end_to_end(spark, sf_dir):
     from filingsift.catalog.views import view
     docs = view(spark, sf_dir, "v3")

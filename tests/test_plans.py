@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from filingsift import catalog
 from filingsift.catalog.views import table, view
-from filingsift.operators import dedup, joins, ranks, splits
+from filingsift.functions import text as tx
+from filingsift.operators import dedup, describe, joins, ranks, sections, splits, vectors, vocab
+from filingsift.sources import tables
 from filingsift.session import build_session  # noqa: F401
 
 QUERIES, ORACLES = catalog.load()
@@ -20,13 +22,117 @@ def test_no_cross_joins(spark, sf_dir, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_enforcement_is_broadcast_only_below_the_checked_size(spark, sf_dir):
+def jobs_run(spark, make):
+    """How many jobs building a plan starts."""
+    group = "plan-only"
+    spark.sparkContext.setJobGroup(group, group)
+    make()
+    spark.sparkContext.setJobGroup("tests", "tests")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_enforcement_is_left_to_adaptive_execution(spark, sf_dir):
     filings, enforcement = view(spark, sf_dir, "v1"), view(spark, sf_dir, "v2")
-    assert "BroadcastHashJoin" in plan(joins.attach_enforcement(filings, enforcement))
-    large = joins.broadcast_if_small(enforcement, most_rows=3)
-    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
-    small = joins.broadcast_if_small(enforcement)
-    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
+    joined = joins.attach_enforcement(filings, enforcement)
+    assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+    assert jobs_run(spark, lambda: joins.attach_enforcement(filings, enforcement)) == 0
+
+
+def test_term_counts_do_not_shuffle(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.topic_tokens("text").alias("tokens"))
+    counts = vocab.term_counts(docs, "doc_id", F.col("tokens"))
+    assert "Exchange" not in plan(counts)
+    plain = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    assert counts.exceptAll(plain).count() == 0 and plain.exceptAll(counts).count() == 0
+
+
+def test_markup_is_not_shuffled_by_extraction(spark, sf_dir):
+    docs = view(spark, sf_dir, "v4")
+    text = plan(sections.extract_sections(docs.select("doc_id", "company"), docs.select("doc_id", "html"), "doc_id", "html"))
+    below = [line for line in text.split("\n") if "Exchange" in line]
+    assert below and not any("html" in line for line in below)
+    tree = docs.select("doc_id", "html")
+    raw = sections.extract_sections(docs.select("doc_id"), tree, "doc_id", "html")
+    assert "html" not in raw.columns and raw.count() == docs.count()
+
+
+def test_exact_duplicates_carry_nothing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")
+    text = plan(dedup.drop_exact_duplicates(docs))
+    assert "SortAggregate" not in text and "first(" not in text
+
+
+def test_chunk_quality_reads_its_input_once(spark, sf_dir):
+    chunks = view(spark, sf_dir, "v5").withColumn("word_count", F.lit(60))
+    text = plan(describe.chunk_quality(chunks))
+    scans = [line for line in text.split("\n") if "Scan parquet" in line]
+    assert scans and all("chunk_text" not in line and "text:" not in line for line in scans)
+
+
+def test_a_large_csv_is_split_unless_it_has_line_feeds(spark, tmp_path):
+    path = str(tmp_path / "large.csv")
+    with open(path, "w") as f:
+        f.write("a,b\n" + "12345,some words in a row\n" * 200_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        schema = "a int, b string"
+        assert tables.read_csv(spark, path, schema).rdd.getNumPartitions() > 2
+        assert tables.read_csv(spark, path, schema, multiline=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_hot_year_is_written_by_several_tasks(spark, tmp_path):
+    """The rows of one year exceed the advisory partition size several times over."""
+    import os
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 60_000, numPartitions=8).select(
+            F.when(F.col("id") % 3 == 0, 2004).otherwise(F.col("id") % 20 + 1990).alias("year"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        tables.write_table(rows, str(tmp_path / "t"), partition_by=["year"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = [f for f in os.listdir(tmp_path / "t" / "year=2004") if f.endswith(".parquet")]
+    assert len(files) > 1 and spark.read.parquet(str(tmp_path / "t")).count() == 60_000
+
+
+def test_a_crowded_day_is_cut_into_ranges(spark, monkeypatch):
+    """A third of all filings belong to one company on one day; lag over it equals the plain window."""
+    from pyspark.sql import Window
+    monkeypatch.setattr(joins, "FILINGS_PER_RANGE", 20)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 50).cast("string"))).alias("company"),
+        F.format_string("f%06d", (F.col("id") * 7919) % 3001).alias("filing_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("2004-01-05").cast("date")).otherwise(
+            F.date_add(F.lit("2004-01-01").cast("date"), (F.col("id") % 9).cast("int"))).alias("filing_date"))
+    rows = rows.unionByName(rows.limit(0)).unionByName(spark.createDataFrame(
+        [("hot", "g1", None), ("hot", "g2", None)], "company string, filing_id string, day string").select(
+            "company", "filing_id", F.lit("2004-02-01").cast("date").alias("filing_date")))
+    plain = rows.withColumn("p", F.lag("filing_id").over(Window.partitionBy("company").orderBy("filing_date", "filing_id")))
+    got = joins.previous_filings(rows).select("filing_id", "reference_filing_id")
+    assert got.exceptAll(plain.select("filing_id", "p")).count() == 0 and got.count() == 3002
+
+
+def test_forest_pool_does_not_grow_with_the_table():
+    def share(n, pool=76_800):
+        return min(1.0, (pool + 6 * pool ** 0.5) / n)
+    assert share(10 ** 12) * 10 ** 12 == share(10 ** 8) * 10 ** 8 < 80_000
+
+
+def test_quantiles_keep_large_integers_apart(spark):
+    base = 2 ** 53
+    rows = spark.createDataFrame([(base + 1,), (base + 2,), (base + 3,)], "x bigint")
+    values = ranks.value_table(rows, "x", {"n": F.lit(1)})
+    assert sorted(r["value"] for r in values.collect()) == [base + 1, base + 2, base + 3]
+    assert ranks.exact_quantiles(rows, "x", (0.5,), names=["m"]).first()["m"] == float(base + 2)
+
+
+def test_a_level_limit_holds_for_each_column(spark):
+    rows = spark.range(30).select(F.col("id").cast("string").alias("many"), F.lit("one").alias("single"))
+    with pytest.raises(ValueError, match="many"):
+        vectors.one_hot(rows, ["many", "single"], most_levels=20)
+    coded = vectors.one_hot_vector(rows, ["many", "single"], "v")
+    assert coded.columns == ["v"] and coded.first()["v"].size == 29
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):

@@ -272,8 +272,8 @@ def test_csv_null_conventions_and_json_array(spark, tmp_path):
     df = frame(spark, [(1, None, 'say "hi"\nthere'), (2, "a;b", "x")], "id int, s string, t string")
     src.write_table(df, str(tmp_path / "c"), "csv")
     schema = "id int, s string, t string"
-    assert {tuple(r) for r in src.read_csv(spark, str(tmp_path / "c"), schema).collect()} == {(1, None, 'say "hi"\nthere'), (2, "a;b", "x")}
-    assert src.read_csv(spark, str(tmp_path / "c"), schema, keep_empty=True, columns=["s"]).filter("s = ''").count() == 1
+    assert {tuple(r) for r in src.read_csv(spark, str(tmp_path / "c"), schema, multiline=True).collect()} == {(1, None, 'say "hi"\nthere'), (2, "a;b", "x")}
+    assert src.read_csv(spark, str(tmp_path / "c"), schema, keep_empty=True, columns=["s"], multiline=True).filter("s = ''").count() == 1
     (tmp_path / "a.json").write_text('[{"id": 1, "s": "x"}, {"id": 2}]')
     assert src.read_json_records(spark, str(tmp_path / "a.json"), "id int, s string", single_array=True).count() == 2
 
