@@ -30,7 +30,7 @@ FEATURES = 2048
 LEAST_TEXTS = 4
 PREFIXES = (3, 4, 5, 6, 8)
 FAIRNESS = 4.0
-RIDGE = 0.02
+RIDGE = 0.5
 ROUNDS = 400
 
 #: Groups whose mentions are neutral in themselves; terms of one list are swapped for each other.
@@ -150,10 +150,13 @@ def _present(model):
 def fit(x, change, columns, label, weight, fairness=FAIRNESS, ridge=RIDGE, rounds=ROUNDS):
     """Accelerated gradient descent on the weighted log loss, the ridge, and the mean squared score change of swaps.
 
-    ``change`` holds what each swap changes in the features ``columns``.
+    ``change`` holds what each swap changes in the features ``columns``. Rare features are scaled up, so that a word
+    seen in few texts is learned in as many rounds as a common one.
     """
     n, width = x.shape
-    x = np.column_stack([x, np.ones(n, np.float32)]).astype(np.float32)
+    scale = (1 / np.sqrt(x.mean(axis=0) + 0.002)).astype(np.float32)
+    x = np.column_stack([x * scale, np.ones(n, np.float32)]).astype(np.float32)
+    change = change * scale[columns]
     pay = 2 * fairness / max(1, len(change))
     share = (weight / weight.sum()).astype(np.float32)
     pull = np.append(np.full(width, ridge / n), 0).astype(np.float32)
@@ -169,12 +172,12 @@ def fit(x, change, columns, label, weight, fairness=FAIRNESS, ridge=RIDGE, round
         steep = float(np.linalg.norm(v))
     w, v = np.zeros(width + 1, np.float32), np.zeros(width + 1, np.float32)
     for turn in range(rounds):
-        error = share * (1 / (1 + np.exp(-(x @ v))) - label).astype(np.float32)
+        error = share * (1 / (1 + np.exp(-np.clip(x @ v, -60, 60))) - label).astype(np.float32)
         slope = x.T @ error + pull * v
         slope[columns] += pay * (change.T @ (change @ v[columns]))
         new = v - slope / (1.1 * steep)
         v, w = new + turn / (turn + 3) * (new - w), new
-    return w[:-1].astype(np.float64), float(w[-1])
+    return (w[:-1] * scale).astype(np.float64), float(w[-1])
 
 
 def learn(documents: DataFrame, labels: DataFrame, id="doc_id", text="text", label="toxic", per_class=PER_CLASS,
