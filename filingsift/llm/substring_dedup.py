@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filingsift.llm import words as W
-from filingsift.llm.tables import Tables
+from filingsift.llm.tables import Tables, packed, unpacked
 
 WINDOW = 13
 GRAM = 4
@@ -255,13 +255,12 @@ def remove_repeats(documents: DataFrame, tables: Tables, id="doc_id", text="text
     marked = tables.write("marked", marked)
     frames = tables.write("frames", rows.join(marked, ["id", "tid"]).mapInArrow(
         _frames, "id long, tid long, at long, name long, code long, frame binary"))
-    distinct = frames.groupBy("name", "code", "frame").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    distinct = tables.write("distinct", distinct)
-    shards = max(1, distinct.count() // SHARD_FRAMES)
+    tables.drop("marked")
+    distinct = frames.groupBy("name", "code", "frame").agg(F.min("id").alias("first"))
+    shards = max(1, frames.count() // SHARD_FRAMES)
     firsts = (distinct.select(F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard"), "name", "code", "frame", "first")
               .groupBy("shard").applyInPandas(_match, "name long, code long, firsts array<long>"))
     firsts = tables.write("firsts", firsts)
-    tables.drop("distinct", "marked")
     starts = F.expr("transform(filter(sequence(0, size(firsts) - 1), i -> firsts[i] < id), i -> at + i)")
     spans = (frames.select("id", "tid", "at", "name", "code").join(firsts, ["name", "code"])
              .select("id", "tid", starts.alias("starts")).filter(F.size("starts") > 0)
@@ -277,10 +276,10 @@ def without_repeats(documents: DataFrame, id="doc_id", text="text") -> DataFrame
     """The documents with repeated passages cut from their texts; a text without any stays byte for byte."""
     tables = Tables(documents.sparkSession, "substringdedup")
     cut = (remove_repeats(documents, tables, id, text).filter("n_removed > 0")
-           .select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), F.col("kept").alias("_kept")).distinct())
-    here = (F.col(id).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_tid"))
-    return documents.join(cut, here, "left").select(
-        *[F.coalesce("_kept", F.col(c)).alias(c) if c == text else F.col(c) for c in documents.columns])
+           .select(F.col("id").alias("_cut_id"), F.col("tid").alias("_cut_tid"), F.col("kept").alias("_cut_kept")).distinct())
+    rows = packed(documents, text)
+    here = (F.col(f"row.`{id}`").cast("long") == F.col("_cut_id")) & (F.xxhash64("text") == F.col("_cut_tid"))
+    return unpacked(rows.join(cut, here, "left").withColumn("text", F.coalesce("_cut_kept", "text")), documents.columns, text)
 
 
 def op10_substring_dedup(spark, sf_dir):
