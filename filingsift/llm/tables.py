@@ -1,5 +1,6 @@
 """Intermediate tables of one job, in the shared folder, deleted as soon as nothing reads them."""
 import gc
+import time
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,7 +16,8 @@ class Tables:
     def write(self, name, df: DataFrame) -> DataFrame:
         """Replaces an earlier table of the same name once the new one is whole."""
         path = scratch_path(self.spark, f"{self.job}-{name}")
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        time.sleep(0.5)  # listeners still hold the finished query for a moment
         gc.collect()
         self.spark._jvm.System.gc()  # the cleaner removes the shuffle files of steps that nothing refers to
         old, self.paths[name] = self.paths.get(name), path
