@@ -6,7 +6,7 @@ from filingsift.catalog.joining import LABELLED_SQL, labelled
 from filingsift.catalog.registry import query
 from filingsift.catalog.views import table, view
 from filingsift.functions import text as tx
-from filingsift.operators import classify, describe, evaluate, forest, novelty, splits, svd, topics, vectors, vocab
+from filingsift.operators import classify, describe, evaluate, forest, novelty, splits, topics, vectors, vocab
 from filingsift.plans import anomaly_job, supervised_job
 from filingsift.session import materialize
 
