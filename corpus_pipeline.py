@@ -41,8 +41,8 @@ def decontamination(spark, docs, sf_dir):
 
 def pieces(spark, docs, sf_dir):
     """Training sequences: a sampled segmentation of each text, with the text that its pieces decode to."""
-    coded = piece_sampling.encode(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    return piece_sampling.decode(coded).select("doc_id", "lang", "source", "text", F.size("pieces").alias("n_pieces"), "pieces", "lossless")
+    coded = piece_sampling.encode(docs.select("doc_id", "text", "lang", "source"), decoded="decoded")
+    return coded.select("doc_id", "lang", "source", F.col("decoded").alias("text"), F.size("pieces").alias("n_pieces"), "pieces", "lossless")
 
 
 STAGES = [

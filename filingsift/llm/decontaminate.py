@@ -283,23 +283,22 @@ def is_contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def _cut(batches):
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("hit_spans").to_pylist()):
-            if spans:
-                raw = texts[i].encode()
-                edges = [0, *spans, len(raw)]
-                texts[i] = b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2])).decode()
-        where = batch.schema.get_field_index("text")
-        yield batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
+def without_hits():
+    """The text without its hit spans: the bytes between them, which begin and end at characters."""
+    edges = F.concat(F.array(F.lit(0).cast("long")), F.col("hit_spans"), F.array(F.octet_length("text").cast("long")))
+    raw = F.encode("text", "UTF-8")
+
+    def part(i):
+        a, b = F.get(edges, (2 * i).cast("int")), F.get(edges, (2 * i + 1).cast("int"))
+        return F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8")
+    parts = F.transform(F.sequence(F.lit(0), (F.size("hit_spans") / 2).cast("int")), part)
+    return F.when(F.size("hit_spans") > 0, F.array_join(parts, "")).otherwise(F.col("text"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text="text") -> DataFrame:
     """Documents without the contaminated ones, and with the remaining hits cut from the others' texts."""
     kept = scan(packed(documents, text), benchmark, ["row"]).filter(~is_contaminated())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return unpacked(kept.mapInArrow(_cut, schema), documents.columns, text)
+    return unpacked(kept.withColumn("text", without_hits()), documents.columns, text)
 
 
 def op3_benchmark_decontamination(spark, sf_dir):
