@@ -32,11 +32,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 0.5
 SEED = 20
 BLOCK_BYTES = 1 << 20
-PART_CHARS = 1 << 18  # characters whose lattices are in memory at a time (or one longer part)
+PART_CHARS = 1 << 17  # characters whose lattices are in memory at a time (or one longer part)
 _MARK = 0x2581  # stands for a space in the pieces
 _LITERAL = 0x110000  # a space mark in the text itself
 _ZIPF = 2.7
 _BASE = 0x9E3779B97F4A7C15
+_MASK = np.uint64((1 << 20) - 1)
 
 
 class Vocabulary:
@@ -73,14 +74,20 @@ class Vocabulary:
         self.hashes, self.ids = hashes[by], np.array([spelled[piece] for piece in order], np.int32)[by]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
+        self.mask = np.zeros(int(_MASK) + 1, bool)  # most runs are no piece, and most of those end here
+        self.mask[self.hashes & _MASK] = True
         self.size = np.array([len(b) for b in self.bytes])
         self.first = np.cumsum(self.size) - self.size
         self.data = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def lookup(self, hashes):
-        """Piece of each run of characters, -1 where it is none."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], -1)
+        """Piece of each run of characters, -2 where it is none."""
+        out = np.full(len(hashes), -2, np.int32)
+        maybe = np.flatnonzero(self.mask[hashes & _MASK])
+        found = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        out[maybe] = np.where(self.hashes[at] == found, self.ids[at], -2)
+        return out
 
 
 @functools.lru_cache(2)
@@ -108,38 +115,29 @@ class Lattice:
     def __init__(self, points, starts, ends, vocab, sharpness):
         n, widest = len(points), min(vocab.longest, int((ends - starts).max(initial=1)))
         self.piece = np.full((n, widest), -2, np.int32)
-        weight = np.full((n, widest), -np.inf)
         since = np.arange(n) - np.repeat(starts, ends - starts)  # characters of the part before each one
-        sums = _sums(points)
+        sums, last = _sums(points), np.arange(n)
         for size in range(1, widest + 1):
-            last = np.flatnonzero(since >= size - 1)
-            found = vocab.lookup(_run_hashes(points, last - size + 1, np.full(len(last), size), sums))
-            good = found >= 0
-            self.piece[last[good], size - 1] = found[good]
-            weight[last[good], size - 1] = vocab.log[found[good]]
-        lone = self.piece[:, 0] < 0  # no piece: its bytes
+            last = last[since[last] >= size - 1]
+            self.piece[last, size - 1] = vocab.lookup(_run_hashes(points, last - size + 1, size, sums))
+        lone = np.flatnonzero(self.piece[:, 0] < 0)  # no piece: its bytes
         self.piece[lone, 0] = -1
-        weight[lone, 0] = vocab.log[vocab.byte_ids[0]] * utf8_sizes(points[lone])
-        weight *= sharpness
-        reach = np.full(n + 1, -np.inf)  # log weight of all ways to the end of a character; the last entry: none
+        weight = np.append(np.exp(sharpness * vocab.log), [0.0, 0.0])[self.piece]
+        weight[lone, 0] = np.exp(sharpness * vocab.log[vocab.byte_ids[0]] * utf8_sizes(points[lone]))
         order = np.argsort(starts - ends, kind="stable")
         begin, size = starts[order], (ends - starts)[order]
-        self.way = np.zeros((n, widest), np.float32)
+        self.way = np.ones((n, widest), np.float32)
+        # weights of all ways to the last positions of every part, the newest first, relative to the newest
+        reach = np.zeros((len(begin), widest))
+        reach[:, 0] = 1
         for j in range(int(size.max(initial=0))):
-            at = begin[:np.searchsorted(-size, -j, "left")] + j  # the j-th character of every part that has one
-            wide = min(widest, j + 1)
-            before = np.stack([reach[at - l] if l <= j else np.zeros(len(at)) for l in range(1, wide + 1)], axis=1)
-            ways = before + weight[at, :wide]
-            top = ways.max(axis=1)
-            parts = np.exp(ways - top[:, None])
-            total = parts.sum(axis=1)
-            reach[at] = top + np.log(total)
-            way = np.cumsum(parts, axis=1) / total[:, None]
-            after = np.cumsum(parts[:, ::-1], axis=1)[:, ::-1]
-            way[:, :-1][after[:, 1:] == 0] = 1  # from the last possible piece on, whatever the rounding
-            way[:, -1] = 1
-            self.way[at, :wide], self.way[at, wide:] = way, 1
-        self.reach = reach[:n]
+            many = int(np.searchsorted(-size, -j, "left"))  # parts that have a j-th character
+            at = begin[:many] + j
+            ways = np.cumsum(reach[:many] * weight[at], axis=1)
+            total = ways[:, -1:]
+            self.way[at] = ways / total  # exactly 1 from the last possible piece on
+            reach[:many, 1:] = reach[:many, :-1] / total
+            reach[:many, 0] = 1
 
 
 def utf8_sizes(points):
@@ -232,10 +230,13 @@ def row_keys(column):
                      for k in column.to_pylist()], np.uint64)
 
 
-def encode(documents: DataFrame, key="doc_id", text="text", model=MODEL, sharpness=SHARPNESS, seed=SEED) -> DataFrame:
-    """Adds ``pieces``, a sampled segmentation of the text, and ``lossless``, whether decoding gives the text back."""
+def encode(documents: DataFrame, key="doc_id", text="text", model=MODEL, sharpness=SHARPNESS, seed=SEED, decoded=None) -> DataFrame:
+    """Adds ``pieces``, a sampled segmentation of the text, and ``lossless``, whether decoding gives the text back.
+
+    ``decoded`` names a further column for the text that the pieces decode to, made in the same pass.
+    """
     vocab = documents.sparkSession.sparkContext.broadcast(vocabulary(model))
-    names = [c for c in documents.columns if c not in ("pieces", "lossless")]
+    names = [c for c in documents.columns if c not in ("pieces", "lossless", decoded)]
     where, by = names.index(text), names.index(key)
 
     def run(batches):
@@ -253,10 +254,15 @@ def encode(documents: DataFrame, key="doc_id", text="text", model=MODEL, sharpne
                     same = [bool(s) and plain[a:b].tobytes() == data[c:d].tobytes()
                             for s, a, b, c, d in zip(same, offsets[:-1], offsets[1:], cut[:-1], cut[1:])]
                 pieces = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pieces, pa.array(same, pa.bool_())], [*names, "pieces", "lossless"])
+                out = dict(zip([*names, "pieces", "lossless"], [*batch.columns, pieces, pa.array(same, pa.bool_())]))
+                if decoded:
+                    back = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data))
+                    out[decoded] = back.cast(pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*names).schema)
-    return documents.select(*names).mapInArrow(run, f"{fields}, pieces array<int>, lossless boolean")
+    more = f", `{decoded}` string" if decoded else ""
+    return documents.select(*names).mapInArrow(run, f"{fields}, pieces array<int>, lossless boolean{more}")
 
 
 def decode(rows: DataFrame, pieces="pieces", text="text", model=MODEL) -> DataFrame:

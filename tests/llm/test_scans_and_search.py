@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from brute import ALNUM, DOCS, lower
+from brute import ALNUM, lower
 from pyspark.sql import functions as F
 
 from filingsift.llm import knn_join, license_scan, url_filter
