@@ -11,7 +11,8 @@ template lacks matches nothing. Counting those is a few numpy calls per task and
 runs on the few windows that remain.
 
 Defined results: a null or empty text has no license (null, coverage 0); a template without words is never
-found; equal coverages go to the longer template, then to the first name; a license that occurs several times is
+found; equal coverages go to the longer template, then to the match over the shortest stretch (so that a stray
+number does not turn one version into another), then to the first name; a license that occurs several times is
 reported at its first best place; repeated rows are judged one by one; other columns pass through, results
 replace clashing names.
 """
@@ -27,24 +28,96 @@ COVERAGE = 0.8
 
 #: Fixed: notices that authors put into their works, and the permission texts they stand for.
 TEMPLATES = {
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+    "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more "
+    "details.",
+    "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
     "required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
     "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
     "governing permissions and limitations under the License.",
+    "bsd-2-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list "
+    "of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This "
+    "software is provided by the copyright holders and contributors \"AS IS\" and any express or implied warranties, including, "
+    "but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no "
+    "event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or "
+    "consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or "
+    "profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or "
+    "tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the "
+    "possibility of such damage.",
+    "bsd-3-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list "
+    "of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission. This software is provided by the copyright holders and "
+    "contributors \"AS IS\" and any express or implied warranties, including, but not limited to, the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors "
+    "be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, "
+    "procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on "
+    "any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any "
+    "way out of the use of this software, even if advised of the possibility of such damage.",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-4.0-header": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-nd-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+    "International License.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-sa-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+    "International License.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nd-4.0-header": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-4.0-header": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0-header": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+    "this work.",
+    "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+    "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+    "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
     "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
     "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+    "any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more "
+    "details.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+    "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more "
+    "details.",
     "mit": "Released under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
     "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
     "whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
     "notice shall be included in all copies or substantial portions of the Software.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+    "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+    "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means.",
 }
 
 
@@ -96,6 +169,17 @@ def align(a, b):
     return sorted(pairs)
 
 
+def tight(a, pairs):
+    """The same matched words of ``a``, in places as close together as its repeated words allow."""
+    at = [i for i, _ in pairs]
+    words = [a[i] for i in at]
+    for k in range(1, len(at)):
+        at[k] = a.index(words[k], at[k - 1] + 1)
+    for k in range(len(at) - 2, -1, -1):
+        at[k] = next(i for i in range(at[k + 1] - 1, -1, -1) if a[i] == words[k])
+    return at
+
+
 def template_words(text):
     data, offsets = W.text_buffer(pa.array([text], pa.large_string()))
     return W.split_words(data, offsets, W.ALNUM_LOWER)[2]
@@ -128,13 +212,13 @@ def _best(hashes, first, templates, coverage):
         b = words.tolist()
         for i in good.tolist():
             t, left, right = own[i], begin[i], end[i]
-            pairs = align(hashes[left:right].tolist(), b)
+            a = hashes[left:right].tolist()
+            pairs = align(a, b)
             if len(pairs) < need:
                 continue
-            share = len(pairs) / length
-            old = found[t]
-            if old is None or (share, length) > old[:2]:
-                found[t] = (share, length, number, int(left - first[t] + pairs[0][0]), int(left - first[t] + pairs[-1][0]))
+            at, share, old = tight(a, pairs), len(pairs) / length, found[t]
+            if old is None or (share, length, at[0] - at[-1]) > (old[0], old[1], old[3] - old[4]):
+                found[t] = (share, length, number, int(left - first[t] + at[0]), int(left - first[t] + at[-1]))
     return found
 
 

@@ -92,6 +92,28 @@ def test_licenses_equal_naive_scan(spark):
     assert found > 20
 
 
+def test_every_notice_kind_of_the_documents_is_found(spark, sf_dir):
+    kinds = {"All rights reserved.": "all-rights-reserved", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+             "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+             "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0"}
+    for folder in (sf_dir, "/root/testdata/sf0.01"):
+        documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+        noticed = documents.filter(F.col("text").rlike(r"(?im)^.*(licen[sc]e|rights reserved|copyright).*$"))
+        assert noticed.count() and license_scan.scan(noticed).filter("license is null").count() == 0
+    rows = [(i, f"A page.\n{line}\nPage 2 of 2.") for i, line in enumerate(kinds)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.license, r.coverage) for r in got] == [(name, 1.0) for name in kinds.values()]
+
+
+def test_common_license_texts_are_told_apart(spark):
+    rows = [(name, f"Some words.\n{text}\nVersion 2 of 3 pages.") for name, text in license_scan.TEMPLATES.items()]
+    got = {r.doc_id: (r.license, r.coverage) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {name: (name, 1.0) for name in license_scan.TEMPLATES}
+    families = {"all-rights", "apache", "bsd-2", "bsd-3", "mit", "isc", "bsl", "epl", "mpl", "unlicense", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3",
+                "agpl-3", "cc0", *(f"cc-{x}-4" for x in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"))}
+    assert all(any(name.startswith(x) for name in license_scan.TEMPLATES) for x in families)
+
+
 def test_license_columns(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string").withColumn("license", F.lit("old"))
     row = license_scan.scan(docs).first()
