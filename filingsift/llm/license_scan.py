@@ -13,10 +13,12 @@ runs on the few windows that remain.
 Defined results: a null or empty text has no license (null, coverage 0); a template without words is never
 found; equal coverages go to the longer template, then to the match over the shortest stretch (so that a stray
 number does not turn one version into another), then to the first name; a license that occurs several times is
-reported at its first best place; repeated rows are judged one by one; other columns pass through, results
-replace clashing names.
+reported at its first best place; a text with several licenses has them all in ``licenses``, but a match is left
+out if a better one holds ``COVERAGE`` of its matched words (a notice of one version also resembles the others);
+repeated rows are judged one by one; other columns pass through, results replace clashing names.
 """
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -191,9 +193,9 @@ def windows(size, length):
     return [(at, min(size, at + wide)) for at in range(0, max(1, size - wide + step), step)] if size else []
 
 
-def _best(hashes, first, templates, coverage):
-    """For each text the best (coverage, template number, first and last word of the match), or None."""
-    found = [None] * (len(first) - 1)
+def _matches(hashes, first, templates, coverage):
+    """For each text its matches: (coverage, template length, template number, places of the matched words)."""
+    found = [[] for _ in first[1:]]
     for number, words in enumerate(templates):
         length = len(words)
         if not length:
@@ -214,20 +216,33 @@ def _best(hashes, first, templates, coverage):
             t, left, right = own[i], begin[i], end[i]
             a = hashes[left:right].tolist()
             pairs = align(a, b)
-            if len(pairs) < need:
-                continue
-            at, share, old = tight(a, pairs), len(pairs) / length, found[t]
-            if old is None or (share, length, at[0] - at[-1]) > (old[0], old[1], old[3] - old[4]):
-                found[t] = (share, length, number, int(left - first[t] + at[0]), int(left - first[t] + at[-1]))
+            if len(pairs) >= need:
+                found[t].append((len(pairs) / length, length, number, [int(left - first[t]) + i for i in tight(a, pairs)]))
     return found
 
 
+def _licenses(matches):
+    """The best match of each template, best first, without those whose words a better match of another explains."""
+    matches.sort(key=lambda m: (-m[0], -m[1], m[3][-1] - m[3][0], m[2], m[3][0]))
+    best, claims = {}, {}
+    for rank, (share, length, number, places) in enumerate(matches):
+        shared = Counter(c for i in places for c in claims.get(i, ()))
+        if any(n >= COVERAGE * len(places) - 1e-9 for n in shared.values()):
+            continue
+        best.setdefault(number, (share, number, places[0], places[-1]))
+        for i in places:
+            claims.setdefault(i, []).append(rank)
+    return list(best.values())
+
+
 def scan(documents: DataFrame, templates=None, text="text", coverage=COVERAGE) -> DataFrame:
-    """Adds license (null if none), coverage, first_word and last_word of the match (null if none)."""
+    """Adds license (null if none), coverage, first_word and last_word of the best match (null if none), and licenses,
+    an array of these four for every template found, best first."""
     templates = dict(sorted((templates or TEMPLATES).items()))
     names = list(templates)
     coded = [template_words(templates[name]) for name in names]
-    results = ("license", "coverage", "first_word", "last_word")
+    results = ("license", "coverage", "first_word", "last_word", "licenses")
+    entry = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
     kept = [c for c in documents.columns if c not in results]
     where = kept.index(text)
 
@@ -236,17 +251,18 @@ def scan(documents: DataFrame, templates=None, text="text", coverage=COVERAGE) -
             for batch in W.pieces(whole, kept[where]):
                 data, offsets = W.text_buffer(batch.column(where))
                 _, _, hashes, first = W.split_words(data, offsets, W.ALNUM_LOWER)
-                best = _best(hashes, first, coded, coverage)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[x[2]] if x else None for x in best], pa.string()),
-                                                  pa.array([x[0] if x else 0.0 for x in best], pa.float64()),
-                                                  pa.array([x[3] if x else None for x in best], pa.int64()),
-                                                  pa.array([x[4] if x else None for x in best], pa.int64())], [*kept, *results])
+                found = [[dict(zip(results, (names[number], share, *place)))
+                          for share, number, *place in _licenses(m)] for m in _matches(hashes, first, coded, coverage)]
+                best = [x[0] if x else {"coverage": 0.0} for x in found]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x.get(f.name) for x in best], f.type) for f in entry],
+                                                  pa.array(found, pa.list_(entry))], [*kept, *results])
 
     rows = documents.select(*kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, license string, coverage double, first_word long, last_word long")
+    found = "license string, coverage double, first_word long, last_word long"
+    return rows.mapInArrow(run, f"{fields}, {found}, licenses array<struct<{found}>>")
 
 
 def op1_license_scan(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(documents).select("doc_id", "license", "coverage", "first_word", "last_word")
+    return scan(documents).select("doc_id", "license", "coverage", "first_word", "last_word", "licenses")

@@ -114,6 +114,21 @@ def test_common_license_texts_are_told_apart(spark):
     assert all(any(name.startswith(x) for name in license_scan.TEMPLATES) for x in families)
 
 
+def test_every_license_of_a_text_is_returned(spark):
+    t = license_scan.TEMPLATES
+    filler = " ".join(f"word{i}" for i in range(400))
+    damaged = t["gpl-2.0"].replace("work", "book")
+    rows = [(0, f"{t['mit']} {filler} {t['gpl-3.0']}"), (1, f"{t['gpl-3.0']} {filler} {damaged} {filler} {t['gpl-3.0']}"),
+            (2, t["cc-by-nc-4.0"]), (3, filler), (4, f"{t['mit-text']} All rights reserved. {t['apache-2.0-header']} {filler} {t['mit-text']}")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[x.license for x in r.licenses] for r in got] == [
+        ["gpl-3.0", "mit"], ["gpl-3.0", "gpl-2.0"], ["cc-by-nc-4.0"], [], ["mit-text", "apache-2.0-header", "all-rights-reserved"]]
+    assert [tuple(x) for x in got[0].licenses] == [("gpl-3.0", 1.0, 405, 416), ("mit", 1.0, 0, 4)]
+    assert got[1].licenses[1].first_word == 412 and got[1].licenses[1].coverage == 11 / 12
+    for r in got:
+        assert (r.license, r.coverage, r.first_word, r.last_word) == (tuple(r.licenses[0]) if r.licenses else (None, 0.0, None, None))
+
+
 def test_license_columns(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string").withColumn("license", F.lit("old"))
     row = license_scan.scan(docs).first()
