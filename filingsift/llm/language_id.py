@@ -53,9 +53,10 @@ def ngram_counts(texts):
     """(text index, n-gram code, count) triples of a column of texts, and the letters that the codes count in."""
     texts = texts.cast(pa.large_string()).fill_null("")
     lowered = pc.utf8_lower(texts)
-    points = np.frombuffer(("\n".join(lowered.to_pylist()) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    # a gap before the first text too, so that no score depends on where a block begins
+    points = np.frombuffer("".join(["\n", *(text + "\n" for text in lowered.to_pylist())]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = pc.utf8_length(lowered).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    own = np.repeat(np.arange(len(lengths)), lengths)
+    own = np.concatenate([[-1], np.repeat(np.arange(len(lengths)), lengths)])
     points = np.where(_is_letter()[points], points, 0)
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 0) | (points[:-1] != 0)

@@ -48,6 +48,25 @@ def test_text_vectors_equal_the_definition():
     assert (got[1] == want).all() and not got[2].any()
 
 
+def test_language_scores_do_not_depend_on_order_or_cut(spark):
+    rng = random.Random(4)
+    texts = ["q", "", None, "12", " é!", "The ship", "x", "...das Boot", "B", prose(rng, DE, 30), "-a-", "ß"]
+    vectors = {t: language_id.text_vectors(pa.array([t], pa.string()))[0] for t in texts}
+    assert [t for t in texts if not vectors[t].any()] == ["", None, "12"]
+    for _ in range(60):
+        order = rng.sample(texts, len(texts))
+        cuts = [0, *sorted(rng.sample(range(1, len(order)), rng.randrange(4))), len(order)]
+        for a, b in zip(cuts, cuts[1:]):
+            got = language_id.text_vectors(pa.array(order[a:b], pa.string()))
+            assert all((row == vectors[t]).all() for row, t in zip(got, order[a:b]))
+    profiles = language_id.learn(docs(spark, [(i, prose(rng, EN if i % 2 else DE, 20), "en" if i % 2 else "de", "s", 0) for i in range(60)]))
+    test = docs(spark, [(i, t, None, "s", 0) for i, t in enumerate(texts)])
+    answers = [sorted((r.doc_id, r.lang_pred, round(r.score, 5)) for r in language_id.identify(rows, profiles).collect())
+               for rows in (test.coalesce(1), test.repartition(len(texts), "doc_id"), test.coalesce(1).orderBy(F.desc("doc_id")))]
+    assert answers[0] == answers[1] == answers[2] and [r[0] for r in answers[0] if r[1] == "und"] == [1, 2, 3]
+    assert {r.doc_id for r in language_id.accepted(test.coalesce(1), profiles).collect()} >= {0, 4, 6}
+
+
 def test_language_query_on_held_out_texts(spark, sf_dir):
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     got = language_id.op4_language_id(spark, sf_dir).join(truth, "doc_id").collect()
