@@ -6,7 +6,7 @@ from filingsift.catalog.joining import LABELLED_SQL, labelled
 from filingsift.catalog.registry import query
 from filingsift.catalog.views import table, view
 from filingsift.functions import text as tx
-from filingsift.operators import classify, describe, evaluate, forest, novelty, splits, topics, vectors, vocab
+from filingsift.operators import boosting, classify, describe, evaluate, forest, novelty, splits, topics, vectors, vocab
 from filingsift.plans import anomaly_job, supervised_job
 from filingsift.session import materialize
 
@@ -317,8 +317,8 @@ def i4(spark, sf):
 def i5(spark, sf):
     rows = labelled_vectors(spark, sf)
     train = splits.stratified_split(part(rows, "train").drop("split"), "vec_id", "y", 0.25, 8)
-    model, rounds, _ = classify.boosted_with_selection(part(train, "train"), part(train, "validation"), "embedding", "y")
-    return checked(classify.predict_boosted(model, part(rows, "test"), "embedding", rounds))
+    model, _, _ = boosting.fit_boosted(part(train, "train"), part(train, "validation"), "embedding", "y")
+    return checked(classify.predict(model, part(rows, "test"), "embedding"))
 
 
 @query("i6_positive_unlabelled", VECTORS + "select vec_id, y, true as in_range, true as agrees, true as scaled from lv where split = 'test'")
@@ -345,7 +345,8 @@ def i7(spark, sf):
     test = evaluate.macro_scores(scored, "y", "prediction").select("macro_f1").scalar()
     first = sweep.filter(F.col("pu_f1") == sweep.agg(F.max("pu_f1")).scalar()).agg(F.min("hidden")).scalar()
     measures = [c for c in sweep.columns if c != "hidden"]
-    return sweep.select("hidden", F.forall(F.array(*measures), lambda x: x.between(0, 1)).alias("in_range"),
+    # a point whose held-out positives have no score keeps its row, without measures
+    return sweep.select("hidden", F.forall(F.array(*measures), lambda x: x.isNull() | x.between(0, 1)).alias("in_range"),
                         (first == F.lit(hidden)).alias("best_is_first_maximum"), test.between(0, 1).alias("test_in_range"))
 
 

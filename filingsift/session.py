@@ -25,6 +25,8 @@ def build_session(app="filingsift", master=None, **conf):
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        # the points of a sweep share the cores
+        "spark.scheduler.mode": "FAIR",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
@@ -70,10 +72,20 @@ def scratch(spark):
 
 def release_scratch(spark, keep=0):
     """Delete what this process wrote below the shared folder (all but the ``keep`` oldest), once no result reads it."""
-    jvm = spark._jvm
     while len(_paths) > keep:
-        target = jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, _paths.pop())
+
+
+def drop_scratch(spark, path):
+    """Delete one path of :func:`scratch_path` before the rest."""
+    if path in _paths:
+        _paths.remove(path)
+    _delete(spark, path)
+
+
+def _delete(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name="table", partition_by=()) -> DataFrame:

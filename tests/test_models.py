@@ -191,34 +191,6 @@ def test_weighted_forest_and_report(parts):
     assert scored.filter("probability < 0 or probability > 1").count() == 0
 
 
-def test_boosted_selection(parts):
-    train, test = parts
-    split = materialize(splits.stratified_split(train, "id", "y", 0.3, 2), "boost")
-    model, rounds, curve = classify.boosted_with_selection(split.filter("split = 'train'"), split.filter("split = 'validation'"), "v", "y",
-                                                           rounds=8, depth=3)
-    values = {r["round"]: r["macro_f1"] for r in curve.collect()}
-    assert set(values) == set(range(1, 9)) and values[rounds] == max(values.values())
-    staged = classify.predict_boosted(model, test, "v", rounds)
-    score = evaluate.macro_scores(staged, "y", "prediction").first()["macro_f1"]
-    assert 0.5 < score <= 1
-    whole = classify.predict_boosted(model, test, "v", 8).select("id", "prediction", "probability")
-    spark_says = classify.predict(model, test, "v", "p2", "y2").select("id", "p2", "y2")
-    assert whole.join(spark_says, "id").filter("prediction <> y2 or abs(probability - p2) > 1e-9").count() == 0
-    only = split.filter("split = 'validation'")
-    by_hand = evaluate.macro_scores(classify.predict_boosted(model, only, "v", rounds), "y", "prediction").first()["macro_f1"]
-    assert abs(by_hand - values[rounds]) < 1e-12
-
-
-def test_boosting_grows_until_nothing_improves(parts, monkeypatch):
-    """The round count is that of one long fit, however short the first fit is."""
-    train, test = parts
-    split = materialize(splits.stratified_split(train, "id", "y", 0.3, 2), "boost")
-    halves = split.filter("split = 'train'"), split.filter("split = 'validation'")
-    _, long, _ = classify.boosted_with_selection(*halves, "v", "y", rounds=24, depth=3, patience=3, first=24)
-    _, short, _ = classify.boosted_with_selection(*halves, "v", "y", rounds=24, depth=3, patience=3, first=4)
-    assert long == short
-
-
 def test_windows_without_two_classes_keep_their_row(spark):
     rows = [(2003, "train", i % 2, [float(i % 2), 1.0]) for i in range(20)] + [(2003, "test", i % 2, [float(i % 2), 1.0]) for i in range(4)]
     rows += [(2004, "train", 0, [0.0, 1.0]), (2004, "test", 1, [0.0, 1.0]), (2005, "train", 1, [0.0, 1.0]), (2005, "train", 0, [1.0, 1.0])]
@@ -228,14 +200,6 @@ def test_windows_without_two_classes_keep_their_row(spark):
     assert got[2004]["macro_f1"] is None and (got[2004]["train_rows"], got[2004]["test_rows"]) == (1, 1) and got[2005]["test_rows"] == 0
 
 
-def test_best_round_stops_after_patience():
-    def curve(*values):
-        return [{"round": i + 1, "macro_f1": v} for i, v in enumerate(values)]
-    assert classify.best_round(curve(0.1, 0.5, 0.5, 0.4)) == 2
-    assert classify.best_round(curve(0.1, 0.5, 0.2, 0.2, 0.9), patience=2) == 2
-    assert classify.best_round(curve(0.1, 0.5, 0.2, 0.9), patience=3) == 4
-
-
 def test_positive_unlabelled_scales_up(parts):
     train, test = parts
     hidden = splits.hide_positives(train, "id", "y", 40)
