@@ -8,9 +8,8 @@ sparse rows, and products are taken row by row (Gustavson): row i of the product
 row i of A names.
 
 Neither tokenizer joins a character to a following space, so a text falls apart before each run of spaces that stands
-between two other characters, and both end a token there. Such units repeat all the time: a task encodes and aligns
-each distinct unit once, as blocks of one large matrix, and a document is a row of unit numbers. ``Units`` holds the
-units of a task and starts anew after ``MOST_UNITS``, so memory is bounded whatever the corpus's vocabulary.
+between two other characters, and both end a token there. Such units repeat all the time: each distinct unit of a block of
+texts is encoded and aligned once, as a diagonal block of one large matrix, and a document is a row of unit numbers.
 
 1. One pass over the texts writes, per document, the counts, the digest of its groups and its distinct links.
 2. Links are summed corpus-wide by pair of ids, and each pair learns whether it is the most frequent of its B id.
@@ -35,7 +34,7 @@ from filingsift.llm.tables import Tables
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_UNITS = 200_000
+JOINED = 512
 HOT_PAIRS = 1 << 18
 PAIRS_AT_ONCE = 1 << 16
 WIDTH = 1 << 32
@@ -87,22 +86,29 @@ def _spans(lengths):
     return token, np.arange(len(token))
 
 
-def align(lengths_a, lengths_b):
+KINDS = ("overlap", "ends", "group")
+
+
+def align(lengths_a, lengths_b, kinds=KINDS):
     """Links of two token sequences over the same bytes, given their tokens' byte lengths (all positive).
 
     Returns a dict of matrices (A tokens x B tokens): ``overlap`` (bytes shared), ``ends`` (1 where both end) and ``group``
     (1 where both are in one group), and the group of each A token and of each B token.
     """
     n, na, nb = int(np.sum(lengths_a)), len(lengths_a), len(lengths_b)
-    a, b = (Csr.of(*_spans(x), len(x), n) for x in (lengths_a, lengths_b))
     end_a, end_b = np.cumsum(lengths_a) - 1, np.cumsum(lengths_b) - 1
     ends = Csr.of(np.arange(na), end_a, na, n).times(Csr.of(np.arange(nb), end_b, nb, n).transposed())
     cut = np.zeros(n + 1, np.int64)
     cut[end_a[ends.entries()[0]] + 1] = 1
     group = np.cumsum(cut)  # of each byte
     in_a, in_b = group[end_a], group[end_b]
-    shared = Csr.of(np.arange(na), in_a, na, n + 1).times(Csr.of(np.arange(nb), in_b, nb, n + 1).transposed())
-    return {"overlap": a.times(b.transposed()), "ends": ends, "group": shared}, in_a, in_b
+    found = {"ends": ends}
+    if "overlap" in kinds:
+        a, b = (Csr.of(*_spans(x), len(x), n) for x in (lengths_a, lengths_b))
+        found["overlap"] = a.times(b.transposed())
+    if "group" in kinds:
+        found["group"] = Csr.of(np.arange(na), in_a, na, n + 1).times(Csr.of(np.arange(nb), in_b, nb, n + 1).transposed())
+    return found, in_a, in_b
 
 
 def byte_alphabet():
@@ -131,11 +137,45 @@ class Pair:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
         if any(b" " in piece.lstrip(b" ") for piece in self.bytes_b):
             raise ValueError("a piece goes on after a word: texts cannot be cut before spaces")
+        self.sizes = [np.array([len(x) for x in of], np.int64) for of in (self.bytes_a, self.bytes_b)]
+        self.flat = [np.frombuffer(b"".join(of), np.uint8) for of in (self.bytes_a, self.bytes_b)]
+        self.starts = [np.cumsum(x) - x for x in self.sizes]
+        self.digits = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
-    def encode(self, units):
+    def encode(self, texts):
         """Ids by A and by B of texts that each begin with the space that B adds itself."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        return a, self.b.encode([u[1:] for u in units], num_threads=1)
+        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x, np.int64) for x in a], [np.array(x, np.int64) for x in self.b.encode([t[1:] for t in texts], num_threads=1)]
+
+    def spell(self, side, ids):
+        """The bytes of tokens, one after the other."""
+        size = self.sizes[side][ids]
+        begin = np.cumsum(size) - size
+        return self.flat[side][np.repeat(self.starts[side][ids] - begin, size) + np.arange(size.sum())]
+
+    def encode_units(self, data, bounds, joined):
+        """(ids, tokens in each unit) by A and by B; none for a unit that its tokens do not spell.
+
+        The first ``joined`` units can follow each other in a text and are encoded ``JOINED`` at a time.
+        """
+        n = len(bounds) - 1
+        cuts = [*range(0, joined, JOINED), *range(joined, n), n]
+        while True:
+            texts = [data[bounds[i]:bounds[j]] for i, j in zip(cuts, cuts[1:])]
+            found, again = ([], []), []
+            for i, j, text, *ids in zip(cuts, cuts[1:], texts, *self.encode([t.tobytes().decode() for t in texts])):
+                ends = [np.cumsum(self.sizes[side][x]) for side, x in enumerate(ids)]
+                want = bounds[i + 1:j + 1] - bounds[i]
+                place = [np.searchsorted(e, want) for e in ends]
+                good = all(len(e) and e[-1] == len(text) and (e[p] == want).all() and (self.spell(side, x) == text).all()
+                           for side, (e, p, x) in enumerate(zip(ends, place, ids)))
+                if not good and j - i > 1:
+                    again.append((i, j))
+                for side, (x, p) in enumerate(zip(ids, place)):
+                    found[side].append((x, np.diff(p + 1, prepend=0)) if good else (x[:0], np.zeros(j - i, np.int64)))
+            if not again:
+                return [[np.concatenate(x) for x in zip(*of)] if of else (np.zeros(0, np.int64),) * 2 for of in found]
+            cuts = sorted({*cuts, *(k for i, j in again for k in range(i, j))})
 
 
 @functools.lru_cache(maxsize=1)
@@ -143,6 +183,11 @@ def pair(path_a=BYTE_BPE, path_b=PIECE_BPE):
     return Pair(path_a, path_b)
 
 
+def _solid(last, last2):
+    """Whether a character that ends in these two bytes is known to be no white space of any kind."""
+    return ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (last2 >= 0xC3) & (last2 <= 0xDF))
+
+
 def unit_starts(data, offsets):
     """Where units begin in texts that each have a space in front.
 
@@ -153,8 +198,7 @@ def unit_starts(data, offsets):
     space = data == 0x20
     before, before2 = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     before[1:], before2[2:] = data[:-1], data[:-2]
-    begins = space & (((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (before2 >= 0xC3) & (before2 <= 0xDF)))
-    place = np.flatnonzero(begins)
+    place = np.flatnonzero(space & _solid(before, before2))
     solid = np.append(np.flatnonzero(~space), n)  # the next character that is no space must lie in the same text
     following = solid[np.searchsorted(solid, place)]
     place = place[following < offsets[1:][np.searchsorted(offsets, place, "right") - 1]]
@@ -162,48 +206,50 @@ def unit_starts(data, offsets):
 
 
 class Units:
-    """What is known of each distinct unit: token counts, groups as text, and links as pair numbers."""
-
-    def __init__(self, tokenizers):
-        self.tokenizers, self.number = tokenizers, {}
-        self.n_a, self.n_b, self.n_groups, self.groups, self.links, self.good = [], [], [], [], [], []
-
-    def find(self, units):
-        """Numbers of the units (bytes)."""
-        new = [u for u in units if u not in self.number]
-        if len(self.number) + len(new) > MOST_UNITS and self.number:
-            self.__init__(self.tokenizers)
-            new = units
-        if new:
-            self._learn(new)
-        return np.array([self.number[u] for u in units], np.int64)
-
-    def _learn(self, new):
-        t = self.tokenizers
-        a, b = t.encode([u.decode() for u in new])
-        good = [b"".join(map(t.bytes_a.__getitem__, x)) == u == b"".join(map(t.bytes_b.__getitem__, y)) for u, x, y in zip(new, a, b)]
-        a, b = ([x if ok else [] for x, ok in zip(ids, good)] for ids in (a, b))
-        sizes_a, sizes_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
-        matrices, in_a, in_b = align(*(np.array([len(of[i]) for i in flat], np.int64) for of, flat in ((t.bytes_a, flat_a), (t.bytes_b, flat_b))))
-        row, column, _ = matrices["ends"].entries()
-        code = flat_a[row] * WIDTH + flat_b[column]
-        unit = np.searchsorted(np.cumsum(sizes_a), row, "right")
-        links = np.split(code, np.searchsorted(unit, np.arange(1, len(new))))
-        at_a = at_b = 0
-        for u, ok, ids_a, ids_b, link in zip(new, good, a, b, links):
-            self.number[u] = len(self.n_a)
-            self.n_a.append(len(ids_a))
-            self.n_b.append(len(ids_b))
-            self.good.append(ok)
-            self.links.append(link)
-            groups = {}
-            for side, ids, of, at in ((0, ids_a, in_a, at_a), (1, ids_b, in_b, at_b)):
-                for i, g in zip(ids, of[at:at + len(ids)].tolist()):
-                    groups.setdefault(g, ([], []))[side].append(str(i))
-            self.n_groups.append(len(groups))
-            self.groups.append(";".join(f"{','.join(x)}|{','.join(y)}" for x, y in groups.values()))
-            at_a, at_b = at_a + len(ids_a), at_b + len(ids_b)
+    """What is known of each distinct unit of a block: token counts, groups as text, links as pair numbers.
+
+    ``spelled`` is an Arrow array of the distinct units; numbers of units are places in it.
+    """
+
+    def __init__(self, tokenizers, spelled):
+        n = len(spelled)
+        data, bounds = self._buffers(spelled)
+        before = np.zeros(n + 1, np.int64)
+        np.cumsum(np.bincount(np.searchsorted(bounds, np.flatnonzero(data != 0x20), "right") - 1, minlength=n), out=before[1:])
+        last, last2 = data[bounds[1:] - 1], data[np.maximum(bounds[1:] - 2, 0)]
+        joins = (np.diff(before) > 0) & _solid(last, last2) & (np.diff(bounds) > 1)
+        joins[np.searchsorted(bounds, np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)), "right") - 1] = False
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        (a, self.n_a), (b, self.n_b) = tokenizers.encode_units(*self._buffers(spelled.take(pa.array(order))), int(joins.sum()))
+        found, in_a, in_b = align(tokenizers.sizes[0][a], tokenizers.sizes[1][b], ("ends",))
+        row, column, _ = found["ends"].entries()
+        unit_a, unit_b = (np.repeat(np.arange(n), x) for x in (self.n_a, self.n_b))
+        self.links = a[row] * WIDTH + b[column]
+        self.n_links = np.bincount(unit_a[row], minlength=n)
+        # a token is written with what follows it: more of its side, the other side, or the next group
+        group, side = np.concatenate([in_a, in_b]), np.repeat([0, 1], [len(a), len(b)])
+        written = np.lexsort((side, group))
+        group, side, ids = group[written], side[written], np.concatenate([a, b])[written]
+        ends = np.ones(len(ids), bool)
+        ends[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
+        mark = np.where(ends, np.where(side == 0, 1, 2), 0).tolist()
+        digits, marks = tokenizers.digits, (b",", b"|", b";")
+        parts = [digits[i] + marks[m] for i, m in zip(ids.tolist(), mark)]
+        cut = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
+        self.groups = [b"".join(parts[i:j]) for i, j in zip(cut, cut[1:])]
+        fresh = np.ones(len(in_a), bool)
+        fresh[1:] = in_a[1:] != in_a[:-1]
+        self.n_groups = np.bincount(unit_a[fresh], minlength=n)
+        self.good = self.n_a > 0
+        self.first_link = np.cumsum(self.n_links) - self.n_links
+        self.place = np.empty(n, np.int64)
+        self.place[order] = np.arange(n)
+
+    @staticmethod
+    def _buffers(spelled):
+        _, bounds, data = spelled.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[spelled.offset:spelled.offset + len(spelled) + 1]
+        return np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data else np.zeros(0, np.uint8), bounds - bounds[0]
 
 
 def _prefixed(batch):
@@ -219,24 +265,25 @@ def _prefixed(batch):
 
 def _code(path_a, path_b):
     def run(batches):
-        units = Units(pair(path_a, path_b))
+        tokenizers = pair(path_a, path_b)
         for whole in batches:
             for batch in W.pieces(whole, "text", W.TEXTS // 2):
                 data, offsets = _prefixed(batch)
                 starts = unit_starts(data, offsets)
+                n, first = batch.num_rows, np.searchsorted(starts, offsets)
                 bounds = np.append(starts, len(data))
                 spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
                 coded = spelled.dictionary_encode()
-                number = units.find(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-                first = np.searchsorted(starts, offsets)
-                n = batch.num_rows
+                units = Units(tokenizers, coded.dictionary)
+                number = units.place[coded.indices.to_numpy()]
                 own = np.repeat(np.arange(n), np.diff(first))
-                total = lambda values: np.bincount(own, np.array(values, np.float64)[number], n).astype(np.int64)
+                total = lambda values: np.bincount(own, values[number], n).astype(np.int64)
                 whole_text = (total(units.good) == np.diff(first)) & (np.diff(offsets) > 1)
-                use = whole_text[own]
-                sizes = np.array([len(x) for x in units.links], np.int64)[number] * use
-                links = np.concatenate([units.links[i] for i in number[use].tolist()] or [np.zeros(0, np.int64)])
-                of = np.repeat(own, sizes)
+                used = number[whole_text[own]]
+                sizes = units.n_links[used]
+                begin = np.cumsum(sizes) - sizes
+                links = units.links[np.repeat(units.first_link[used] - begin, sizes) + np.arange(sizes.sum())]
+                of = np.repeat(own[whole_text[own]], sizes)
                 order = np.lexsort((links, of))
                 links, of = links[order], of[order]
                 fresh = np.ones(len(of), bool)
@@ -244,10 +291,9 @@ def _code(path_a, path_b):
                 at = np.flatnonzero(fresh)
                 times = np.diff(np.append(at, len(of)))
                 cut = pa.array(np.searchsorted(of[at], np.arange(n + 1)), pa.int32())
-                digests = []
-                for i, ok in enumerate(whole_text.tolist()):
-                    mine = number[first[i]:first[i + 1]].tolist() if ok else ()
-                    digests.append(hashlib.sha256(";".join([units.groups[u] for u in mine]).encode()).hexdigest() if ok else "")
+                place, digests = number.tolist(), []
+                for ok, i, j in zip(whole_text.tolist(), first[:-1].tolist(), first[1:].tolist()):
+                    digests.append(hashlib.sha256(b"".join([units.groups[u] for u in place[i:j]])[:-1]).hexdigest() if ok else "")
                 columns = [pa.array(total(x) * whole_text) for x in (units.n_a, units.n_b, units.n_groups)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), *columns, pa.array(np.bincount(of, minlength=n).astype(np.int64)), pa.array(digests, pa.string()),
@@ -345,14 +391,13 @@ def token_links(documents: DataFrame, id="doc_id", text="text", kind="overlap",
             for i in range(whole.num_rows):
                 text_here = " " + (whole.column("text")[i].as_py() or "")
                 (a,), (b,) = tokenizers.encode([text_here])
-                bytes_a, bytes_b = [tokenizers.bytes_a[t] for t in a], [tokenizers.bytes_b[t] for t in b]
-                if len(text_here) == 1 or not b"".join(bytes_a) == text_here.encode() == b"".join(bytes_b):
+                if len(text_here) == 1 or any(tokenizers.spell(side, x).tobytes() != text_here.encode() for side, x in enumerate((a, b))):
                     continue
-                matrices, _, _ = align(np.array([len(t) for t in bytes_a]), np.array([len(t) for t in bytes_b]))
+                matrices, _, _ = align(tokenizers.sizes[0][a], tokenizers.sizes[1][b], (kind,))
                 row, column, value = matrices[kind].entries()
                 yield pa.RecordBatch.from_arrays(
                     [whole.column("id").take(pa.array(np.full(len(row), i))), pa.array(row), pa.array(column),
-                     pa.array(np.array(a, np.int64)[row]), pa.array(np.array(b, np.int64)[column]), pa.array(value)],
+                     pa.array(a[row]), pa.array(b[column]), pa.array(value)],
                     ["id", "a_place", "b_place", "a_id", "b_id", "value"])
     return documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
         run, "id long, a_place long, b_place long, a_id long, b_id long, value long")

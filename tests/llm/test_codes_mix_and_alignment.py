@@ -279,12 +279,20 @@ def test_alignment_of_given_documents(spark, sf_dir):
     assert {r["doc_id"]: tuple(r[c] for c in NAMES) for r in got} == want and len(got) == len(rows)
 
 
-def test_units_start_anew(spark, monkeypatch):
-    monkeypatch.setattr(token_alignment, "MOST_UNITS", 5)
-    units = token_alignment.Units(token_alignment.pair())
-    first = [units.groups[i] for i in units.find([b" a", b" bc", b" def"])]
-    units.find([b" x%d" % i for i in range(4)])
-    assert [units.groups[i] for i in units.find([b" a", b" bc", b" def"])] == first
+def test_units_that_do_not_join_are_encoded_alone(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(token_alignment, "JOINED", 3)
+    pair = token_alignment.pair()
+    spelled = [b" a", b" \xe2\x96\x81", b" bc", b" x\xc2\xa0", b"   ", b" def", b" ", "  é".encode(), b" q"]
+    units = token_alignment.Units(pair, pa.array(spelled, pa.large_binary()))
+    for u, place in zip(spelled, units.place.tolist()):
+        (a,), (b,) = pair.encode([u.decode()])
+        same = pair.spell(0, a).tobytes() == pair.spell(1, b).tobytes() == u
+        assert (units.n_a[place], units.n_b[place]) == ((len(a), len(b)) if same else (0, 0)) and units.good[place] == same
+    # a joined run that one unit spoils is encoded again unit by unit
+    bounds = np.array([0, 2, 6, 8])
+    ids, sizes = pair.encode_units(np.frombuffer(b" a \xe2\x96\x81 b", np.uint8), bounds, 3)[0]
+    assert sizes.tolist() == [1, 0, 1] and len(ids) == 2
 
 
 def test_row_products():
