@@ -6,7 +6,7 @@ from filingsift.catalog.joining import LABELLED_SQL, labelled
 from filingsift.catalog.registry import query
 from filingsift.catalog.views import table, view
 from filingsift.functions import text as tx
-from filingsift.operators import boosting, classify, describe, evaluate, forest, novelty, splits, topics, vectors, vocab
+from filingsift.operators import boosting, classify, describe, encoding, evaluate, forest, novelty, splits, topics, vectors, vocab
 from filingsift.plans import anomaly_job, supervised_job
 from filingsift.session import materialize
 
@@ -397,6 +397,17 @@ def i11(spark, sf):
     return rounded(pooled.select("label", F.posexplode("embedding").alias("dim", "value")), "value")
 
 
+@query("i11_masked_token_pooling", """
+with u as (select label, vec_id % 5 as chunk, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as dim from embeddings where vec_id % 4 <> 0),
+c as (select label, chunk, dim, avg(cast(v as double)) as v from u group by 1, 2, 3)
+select label, cast(dim as int) as dim, round(avg(v), 6) as value from c group by 1, 2""")
+def i11_masked(spark, sf):
+    """Vectors as tokens of chunks of a document, every fourth of them padding: unmasked tokens to chunks, chunks to documents."""
+    tokens = table(spark, sf, "embeddings").withColumn("chunk", F.col("vec_id") % 5).withColumn("mask", (F.col("vec_id") % 4 != 0).cast("int"))
+    pooled = vectors.pool_tokens(tokens, "label", "chunk", "embedding")
+    return rounded(pooled.select("label", F.posexplode("embedding").alias("dim", "value")), "value")
+
+
 @query("i12_validate_embeddings", """
 select (select count(*) from embeddings) as vectors, 0 as non_finite, (select min(len(embedding)) from embeddings) as min_dim,
   (select max(len(embedding)) from embeddings) as max_dim, (select count(*) from documents) as keys,
@@ -416,8 +427,8 @@ def i12_splits(spark, sf):
 
 
 def encoded(spark, sf):
-    docs = view(spark, sf, "v3").select("doc_id", "filing_date", "fraudulent", vectors.hashed_vector("mda", 32).alias("embedding"))
-    return docs
+    """Vectors of all texts by a small encoder that tasks build for themselves."""
+    return encoding.encode_documents(view(spark, sf, "v3"), "doc_id", "mda", encoding.word_md5_encoder(32), element="float64")
 
 
 @query("i13_encoded_documents", r"""
@@ -465,7 +476,8 @@ s as (select window_end, count(*) filter (y <> window_end + 3) as train_rows, co
 select window_end, train_rows, test_rows, case when classes > 1 and test_rows > 0 then test_rows end as evaluated,
   case when classes > 1 and test_rows > 0 then true end as in_range from s""", ["v3"])
 def i15(spark, sf):
-    windows = splits.expanding_windows(materialize(encoded(spark, sf), "encoded"), "filing_date")
+    rows = encoded(spark, sf).join(view(spark, sf, "v3").select("doc_id", "filing_date", "fraudulent"), "doc_id")
+    windows = splits.expanding_windows(materialize(rows, "encoded"), "filing_date")
     out = classify.expanding_evaluation(windows, "embedding", "fraudulent")
     scores = F.array("accuracy", "macro_precision", "macro_recall", "macro_f1")
     return out.select("window_end", "train_rows", "test_rows", F.col("n").alias("evaluated"),

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 from filingsift.catalog.registry import query
 from filingsift.catalog.views import table, view
 from filingsift.functions import fields, text as tx
-from filingsift.operators import dedup, describe, evaluate, joins, sections
+from filingsift.operators import dedup, describe, evaluate, joins, row_dedup, sections
 from filingsift.plans import corpus
-from filingsift.session import materialize
+from filingsift.session import materialize, scratch_path
 
 # the filing id stands for the address of the filing
 IDENTITY = ["filing_id", "cik", "name", "city", "state", "sic", "incorp_state", "filing_type", "filing_date", "reporting_date"]
@@ -251,6 +251,14 @@ def d2_share(spark, sf):
     return dedup.duplicate_share(table(spark, sf, "documents"), ["text"]).withColumn("percent", F.round("percent", 6))
 
 
+@query("d3_distinct_rows_in_place", "select distinct lang, source, n_chars, md5(text) as digest from documents")
+def d3_places(spark, sf):
+    """The same for a stored table: duplicates are found by key and place, and dropped where they lie."""
+    path = scratch_path(spark, "rows")
+    table(spark, sf, "documents").select("lang", "source", "n_chars", "text").write.parquet(path)
+    return row_dedup.drop_repeated_rows(spark, path).withColumn("digest", F.md5("text")).drop("text")
+
+
 @query("d3_drop_exact_duplicates", "select distinct lang, source, n_chars, md5(text) as digest from documents")
 def d3(spark, sf):
     docs = table(spark, sf, "documents").select("lang", "source", "n_chars", "text")

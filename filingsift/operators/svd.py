@@ -32,9 +32,14 @@ class SvdModel:
 
     @staticmethod
     def load(spark, path):
-        rows = spark.read.parquet(path).orderBy("i").collect()
-        return SvdModel(np.array([r["component"] for r in rows]), np.array([r["singular_value"] for r in rows]),
-                        rows[0]["explained"])
+        stored = spark.read.parquet(path)
+        return restored(stored, stored.first()["explained"])
+
+
+def restored(components: DataFrame, explained) -> SvdModel:
+    """The model of a stored table (i, component, singular_value), one row per component."""
+    rows = components.orderBy("i").collect()
+    return SvdModel(np.array([r["component"] for r in rows]), np.array([r["singular_value"] for r in rows]), explained)
 
 
 def _sum_blocks(keys, frame):

@@ -234,10 +234,7 @@ def test_topic_vectors_sum_to_one(spark, sf_dir):
     assert len(scores) == 4 and all(-1 <= r["coherence"] <= 1 + 1e-9 for r in scores)
 
 
-def test_encoding_and_pooling(spark):
-    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "id int, t string")
-    out = {r["id"]: r["embedding"] for r in vectors.encode_documents(docs, "t", vectors.hashing_encoder(8), batch=2).collect()}
-    assert out[1] == out[3] and len(out[2]) == 8 and abs(sum(x * x for x in out[1]) - 1) < 1e-6
+def test_pooling(spark):
     tokens = [(1, 0, [1.0, 0.0], 1), (1, 0, [3.0, 0.0], 1), (1, 0, [9.0, 9.0], 0), (1, 1, [0.0, 4.0], 1)]
     df = spark.createDataFrame(tokens, "doc int, chunk int, v array<double>, mask int")
     assert vectors.pool_tokens(df, "doc", "chunk", "v").first()["embedding"] == [1.0, 2.0]
