@@ -31,7 +31,7 @@ from filingsift.llm import words as W
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 0.5
 SEED = 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21
 PART_CHARS = 1 << 17  # characters whose lattices are in memory at a time (or one longer part)
 _MARK = 0x2581  # stands for a space in the pieces
 _LITERAL = 0x110000  # a space mark in the text itself
@@ -177,6 +177,7 @@ def encode_block(texts, keys, vocab, sharpness=SHARPNESS, seed=SEED):
     group = (np.cumsum(size) - size) // PART_CHARS  # parts whose lattices are built together
     by_group = np.argsort(group[part], kind="stable")
     bounds = np.searchsorted(group[part][by_group], np.arange(group[-1] + 2))
+    offset, left = np.zeros(len(starts), np.int64), ends.copy()
     for g in range(group[-1] + 1):
         parts = np.flatnonzero(group == g)
         if not len(parts):
@@ -185,9 +186,7 @@ def encode_block(texts, keys, vocab, sharpness=SHARPNESS, seed=SEED):
         spelled = points[np.arange(size[parts].sum()) + np.repeat(starts[pick[parts]] - base, size[parts])]
         lattice = Lattice(spelled, base, base + size[parts], vocab, sharpness)
         live = by_group[bounds[g]:bounds[g + 1]]
-        offset = np.zeros(len(starts), np.int64)
         offset[live] = base[part[live] - parts[0]] - starts[live]
-        left = ends.copy()
         while len(live):
             last = left[live] - 1
             draw = _uniform(keys[own[last]], last - first[own[last]], seed)
