@@ -8,7 +8,8 @@ need only meet the windows of the same anchor:
 
 1. Count each anchor's documents (one row per document and anchor).
 2. Cut the documents into frames: the words of consecutive windows with the same shared anchor. An anchor
-   in over ``HOT`` documents gets a frame for each window, named by the window, so that no group is large.
+   in over ``HOT`` documents, or of over ``HOT_WINDOWS`` windows, gets a frame for each window, named by the
+   window, so that no group is large.
 3. The distinct frames of a shard of names are its references. Their suffix automaton keeps, for each state,
    the smallest document id; streaming the frames gives matching statistics, and for each window the first
    document that has it.
@@ -32,8 +33,10 @@ from filingsift.llm.tables import Tables, packed, unpacked
 WINDOW = 13
 GRAM = 4
 HOT = 2000
+HOT_WINDOWS = 4 * HOT
 FRAME_WINDOWS = 64
-SHARD_FRAMES = 4000
+PIECE = 1 << 20
+SHARD_FRAMES = 2000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -55,7 +58,7 @@ def window_anchors(hashes, own):
 
 def _anchors(batches):
     for whole in batches:
-        for batch in W.pieces(whole, "text", W.TEXTS // 2):
+        for batch in W.pieces(whole, "text", PIECE):
             data, offsets = W.text_buffer(batch.column("text"))
             _, _, hashes, first = W.split_words(data, offsets, W.SPACED)
             own = W.owners(first)
@@ -63,15 +66,17 @@ def _anchors(batches):
             own = own[at]
             change = np.ones(len(at), bool)
             change[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
+            windows = np.diff(np.append(np.flatnonzero(change), len(at)))
             anchor, own = anchor[change], own[change]
             order = np.lexsort((anchor, own))
-            anchor, own = anchor[order], own[order]
+            anchor, own, windows = anchor[order], own[order], windows[order]
             fresh = np.ones(len(own), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
             pick = pa.array(own[fresh])
+            windows = np.add.reduceat(windows, np.flatnonzero(fresh)) if len(windows) else windows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pick), batch.column("tid").take(pick), pa.array(anchor[fresh].view(np.int64))],
-                ["id", "tid", "anchor"])
+                [batch.column("id").take(pick), batch.column("tid").take(pick), pa.array(anchor[fresh].view(np.int64)), pa.array(windows, pa.int32())],
+                ["id", "tid", "anchor", "windows"])
 
 
 def _spaced(data, starts, ends):
@@ -103,7 +108,7 @@ def _in_rows(values, rows, anchors, of):
 
 def _frames(batches):
     for whole in batches:
-        for batch in W.pieces(whole, "text", W.TEXTS // 2):
+        for batch in W.pieces(whole, "text", PIECE):
             data, offsets = W.text_buffer(batch.column("text"))
             starts, ends, hashes, first = W.split_words(data, offsets, W.SPACED)
             own = W.owners(first)
@@ -222,7 +227,7 @@ def _match(key, frame):
 
 def _finish(batches):
     for whole in batches:
-        for batch in W.pieces(whole, "text"):
+        for batch in W.pieces(whole, "text", PIECE):
             data, offsets = W.text_buffer(batch.column("text"))
             starts, ends, _, first = W.split_words(data, offsets, W.SPACED)
             at, row = _lists(batch.column("starts"))
@@ -246,10 +251,10 @@ def remove_repeats(documents: DataFrame, tables: Tables, id="doc_id", text="text
     """One row per document: id, tid (a hash of the text), n_words, n_removed and kept (its words left, joined by
     one space)."""
     rows = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    anchors = rows.mapInArrow(_anchors, "id long, tid long, anchor long").filter("id is not null")
-    shared = (anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-              .select("anchor", (F.col("n") > HOT).alias("is_hot")))
-    marked = (anchors.join(shared, "anchor").groupBy("id", "tid")
+    anchors = rows.mapInArrow(_anchors, "id long, tid long, anchor long, windows int").filter("id is not null")
+    shared = (anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("windows").alias("windows")).filter("n > 1")
+              .select("anchor", ((F.col("n") > HOT) | (F.col("windows") > HOT_WINDOWS)).alias("is_hot")))
+    marked = (anchors.drop("windows").join(shared, "anchor").groupBy("id", "tid")
               .agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("anchors"),
                    F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")))
     marked = tables.write("marked", marked)

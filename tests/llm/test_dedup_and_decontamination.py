@@ -214,3 +214,28 @@ def test_fm_index_counts_and_locates():
 def test_query_digests(spark, sf_dir):
     row = decontaminate.op3_benchmark_decontamination(spark, sf_dir).filter("n_items = 0").first()
     assert row.items_sha256 == hashlib.sha256(b"").hexdigest() and not row.contaminated
+
+
+def test_an_anchor_of_many_windows_is_cut_per_window(spark, monkeypatch):
+    """A few long documents whose windows share an anchor: no name holds more frames than the bound."""
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 40)
+    rng = random.Random(7)
+    rows = [(i, " ".join(w for _ in range(60) for w in ("common", "four", "word", "run", *(rng.choice("abc") for _ in range(4))))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    frames, cut = [], substring_dedup.Tables.write
+
+    def seen(self, name, table):
+        out = cut(self, name, table)
+        if name == "frames":
+            frames.append(out.groupBy("name").agg(F.sum(F.size(F.split(F.decode("frame", "UTF-8"), " ")) - 12).alias("windows")).agg(F.max("windows")).first()[0])
+        return out
+    monkeypatch.setattr(substring_dedup.Tables, "write", seen)
+    out = {r["id"]: r["kept"] for r in substring_dedup.remove_repeats(df, Tables(spark, "t10hot")).collect()}
+    assert 0 < frames[0] <= 40
+    first = {}
+    for i, text in rows:
+        words, gone = text.split(), set()
+        for j in range(len(words) - 12):
+            if first.setdefault(tuple(words[j:j + 13]), i) < i:
+                gone |= set(range(j, j + 13))
+        assert out[i] == " ".join(w for j, w in enumerate(words) if j not in gone)
