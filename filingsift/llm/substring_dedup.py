@@ -33,7 +33,7 @@ from filingsift.llm.tables import Tables, packed, unpacked
 WINDOW = 13
 GRAM = 4
 HOT = 2000
-HOT_WINDOWS = 4 * HOT
+HOT_WINDOWS = 16 * HOT
 FRAME_WINDOWS = 64
 PIECE = 1 << 20
 SHARD_FRAMES = 2000
@@ -75,8 +75,8 @@ def _anchors(batches):
             pick = pa.array(own[fresh])
             windows = np.add.reduceat(windows, np.flatnonzero(fresh)) if len(windows) else windows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pick), batch.column("tid").take(pick), pa.array(anchor[fresh].view(np.int64)), pa.array(windows, pa.int32())],
-                ["id", "tid", "anchor", "windows"])
+                [batch.column("rid").take(pick), pa.array(anchor[fresh].view(np.int64)), pa.array(windows, pa.int32())],
+                ["rid", "anchor", "windows"])
 
 
 def _spaced(data, starts, ends):
@@ -251,14 +251,16 @@ def remove_repeats(documents: DataFrame, tables: Tables, id="doc_id", text="text
     """One row per document: id, tid (a hash of the text), n_words, n_removed and kept (its words left, joined by
     one space)."""
     rows = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    anchors = rows.mapInArrow(_anchors, "id long, tid long, anchor long, windows int").filter("id is not null")
+    # a row goes by one number here; two rows that shared it would only get each other's frames as well
+    named = rows.withColumn("rid", F.xxhash64("id", "tid"))
+    anchors = named.filter("id is not null").select("rid", "text").mapInArrow(_anchors, "rid long, anchor long, windows int")
     shared = (anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("windows").alias("windows")).filter("n > 1")
               .select("anchor", ((F.col("n") > HOT) | (F.col("windows") > HOT_WINDOWS)).alias("is_hot")))
-    marked = (anchors.drop("windows").join(shared, "anchor").groupBy("id", "tid")
+    marked = (anchors.drop("windows").join(shared, "anchor").groupBy("rid")
               .agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("anchors"),
                    F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")))
     marked = tables.write("marked", marked)
-    frames = tables.write("frames", rows.join(marked, ["id", "tid"]).mapInArrow(
+    frames = tables.write("frames", named.filter("id is not null").join(marked, "rid").mapInArrow(
         _frames, "id long, tid long, at long, name long, code long, frame binary"))
     tables.drop("marked")
     distinct = frames.groupBy("name", "code", "frame").agg(F.min("id").alias("first"))
