@@ -9,6 +9,6 @@ def load():
     global _loaded
     if not _loaded:
         from filingsift.catalog import (cleaning, evaluation, features, joining, reports, sections,  # noqa: F401
-                                        sources, splitting, states)
+                                        sketches, sources, splitting, states)
         _loaded = True
     return QUERIES, ORACLES
