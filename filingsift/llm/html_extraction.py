@@ -9,8 +9,12 @@ Labelled pages are a few written out here, which cover layouts with and without
 ``LABELLED`` pages of the corpus, chosen by a hash, whose markup says what is the article. From each of those a
 second copy hides that markup, so that the field also learns from the texts themselves.
 
+Tags are read by the rules of HTML: a quote counts only after an equals sign, and one that is never closed ends with
+its tag. A page is read in time proportional to its length, whatever it leaves open.
+
 Defined results: a null or empty page, and one without a main block, give an empty text; markup that ends early
-is read as far as it goes; a block of any length stays whole; repeated rows are judged one by one; other columns
+is read as far as it goes; a block of any length stays whole; formulas, drawings' labels and literal examples are
+text; the words of a button or of a notice for readers without scripts are not, and a button is a space; repeated rows are judged one by one; other columns
 play no part.
 """
 import re
@@ -21,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LABELLED = 300
-HASHES = 1 << 12
 ROUNDS = 120
 RIDGE = 0.05
 
 #: Fixed: elements that begin and end a block, elements without content, elements whose content is no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
                        "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search "
-                       "section select summary table tbody td tfoot th thead tr ul".split())
+                       "section select summary table tbody td tfoot th thead tr ul xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp svg math template".split())
+RAW_TAGS = frozenset("script style textarea title iframe noembed noframes noscript template".split())
+#: Fixed: other elements that a block's features may name as ancestors; the rest count as one.
+INLINE_TAGS = frozenset("a abbr audio b bdi bdo button canvas cite code data del dfn em font i ins kbd label map mark math meter object "
+                        "output picture progress q ruby s samp small span strong sub sup svg time u var video".split())
 #: Fixed: a start tag of one of the first ends open elements of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -50,9 +56,12 @@ HINTS = {
 }
 _HINT_OF = {word: name for name, words in HINTS.items() for word in words.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)"""
+                    r"""((?>[\s/]++|[^\s/>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 _NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+_KNOWN = BLOCK_TAGS | INLINE_TAGS
+_LISTS = ("ul", "ol", "dl", "table", "select", "menu")
 
 
 class Blocks:
@@ -66,7 +75,7 @@ class Blocks:
 
 def _traits(tag, attributes):
     """What an element adds to the traits of everything inside it."""
-    found = {"in:" + tag}
+    found = {"in:" + (tag if tag in _KNOWN else "other")}
     if attributes and "=" in attributes:
         for name, *values in _NAMED.findall(attributes):
             for word in _WORD.findall("".join(values).lower()):
@@ -79,32 +88,44 @@ def _traits(tag, attributes):
 def read_blocks(html):
     """The leaf blocks of a page, in page order."""
     blocks = Blocks()
-    stack = [("", frozenset())]
-    parts, linked, link, at, end = [], 0, 0, 0, len(html)
+    # of each open element: its name, the traits inside it, the place of the innermost block element, the links around
+    stack, places = [("", frozenset(), 0, 0)], {}
+    parts, linked, at, end, unclosed = [], 0, 0, len(html), set()
 
     def close():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tags = [t for t, _ in stack if t in BLOCK_TAGS]
                 blocks.texts.append(text)
-                blocks.tags.append(tags[-1] if tags else "")
+                blocks.tags.append(stack[stack[-1][2]][0])
                 blocks.traits.append(stack[-1][1])
                 blocks.links.append(min(1.0, linked / len(text)))
             parts.clear()
         linked = 0
 
-    def pop(names, limit):
-        """End the innermost open element of the given names, unless one of ``limit`` comes first."""
-        nonlocal link
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                link -= sum(t == "a" for t, _ in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in limit:
-                return
+    def innermost(names):
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
+    def pop(place):
+        """End the element at a place and all inside it; the page itself, at 0, stays."""
+        while place and len(stack) > place:
+            places[stack.pop()[0]].pop()
+
+    def content(tag):
+        """The text up to the end tag of a raw element, or None if it is never closed."""
+        nonlocal at
+        finish = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
+        if finish is None:
+            unclosed.add(tag)
+            return None
+        begin, at = at, finish.end()
+        return html[begin:finish.start()]
+
+    def add(text):
+        nonlocal linked
+        parts.append(text)
+        linked += len(text) if stack[-1][3] else 0
 
     while at < end:
         mark = html.find("<", at)
@@ -112,9 +133,7 @@ def read_blocks(html):
             mark = end
         if mark > at:
             text = html[at:mark]
-            text = unescape(text) if "&" in text else text
-            parts.append(text)
-            linked += len(text) if link else 0
+            add(unescape(text) if "&" in text else text)
         if mark == end:
             break
         token = _TOKEN.match(html, mark)
@@ -133,22 +152,33 @@ def read_blocks(html):
         if tag in BLOCK_TAGS:
             close()
         if slash:
-            pop({tag}, () if tag in BLOCK_TAGS else BLOCK_TAGS)
+            place = innermost((tag,))
+            pop(place if tag in BLOCK_TAGS or place > stack[-1][2] else 0)
             continue
         if tag in RAW_TAGS:
-            if attributes.endswith("/"):
-                continue
-            finish = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-            at = finish.end() if finish else end
+            if not attributes.endswith("/") and content(tag) is None:
+                at = end
+            continue
+        if tag == "button" and content(tag) is not None:
+            parts.append(" ")
             continue
         if tag in ENDS_PARAGRAPH:
-            pop({"p"}, BLOCK_TAGS - {"p"})
+            place = innermost(("p",))
+            pop(place if place == stack[-1][2] else 0)
         if tag in CLOSES:
-            pop(CLOSES[tag], {"ul", "ol", "dl", "table", "select", "menu"})
+            place = innermost(CLOSES[tag])
+            pop(place if place > innermost(_LISTS) else 0)
         if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        link += tag == "a"
-        stack.append((tag, stack[-1][1] | _traits(tag, attributes)))
+        _, traits, block, links = stack[-1]
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, traits | _traits(tag, attributes), len(stack) if tag in BLOCK_TAGS else block, links + (tag == "a")))
+        if tag == "xmp":
+            text = content(tag)
+            add(html[at:] if text is None else text)
+            at = end if text is None else at
+            close()
+            pop(len(stack) - 1)
     close()
     return blocks
 
@@ -176,18 +206,20 @@ def features(blocks, hidden=False):
     return out
 
 
-def _code(name, cache={}):  # noqa: B006 - the names are a small closed set
-    if name not in cache:
-        h = 2166136261
-        for c in name.encode():
-            h = (h ^ c) * 16777619 & 0xFFFFFFFF
-        cache[name] = h % HASHES
-    return cache[name]
+def _names():
+    """Every feature name that :func:`features` can give."""
+    tags, hints = sorted(BLOCK_TAGS | {""}), sorted(HINTS)
+    return ["bias", "sign", "first", "last", "stop:False", "stop:True", *(f"words:{i}" for i in range(7)), *(f"link:{i}" for i in range(4)),
+            *(f"commas:{i}" for i in range(3)), *(f"tag:{t}" for t in tags), *(f"in:{t}" for t in sorted(_KNOWN | {"other"})),
+            *(f"hint:{h}" for h in hints), *(f"hint:{h}&tag:{t}" for h in hints for t in tags)]
+
+
+_PLACE = {name: i for i, name in enumerate(_names())}
 
 
 def coded(lists):
     """Flat feature codes and where each block's begin (one more entry)."""
-    flat = [_code(name) for names in lists for name in names]
+    flat = [_PLACE[name] for names in lists for name in names]
     return np.array(flat, np.int64), np.concatenate([[0], np.cumsum([len(names) for names in lists])]).astype(np.int64)
 
 
@@ -195,7 +227,7 @@ class Field:
     """Weights of features by label (0 other, 1 main), of neighbouring labels, and of the first label."""
 
     def __init__(self):
-        self.state, self.pair, self.start = np.zeros((HASHES, 2)), np.zeros((2, 2)), np.zeros(2)
+        self.state, self.pair, self.start = np.zeros((len(_PLACE), 2)), np.zeros((2, 2)), np.zeros(2)
 
     def scores(self, codes, first):
         if len(first) < 2:
@@ -264,7 +296,7 @@ def train(examples, rounds=ROUNDS, ridge=RIDGE):
         error = gold - np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None])
         state = np.zeros_like(field.state)
         for y in range(2):
-            state[:, y] = np.bincount(codes, weights=error[block_of, y], minlength=HASHES)
+            state[:, y] = np.bincount(codes, weights=error[block_of, y], minlength=len(_PLACE))
         slope = np.concatenate([(state - ridge * field.state).ravel(), (pair - ridge * field.pair).ravel(),
                                 error[pages[:-1]].sum(axis=0) - ridge * field.start])
         moment = 0.1 * slope if moment is None else 0.9 * moment + 0.1 * slope

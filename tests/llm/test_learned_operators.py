@@ -225,8 +225,57 @@ def test_written_layouts(field, layout):
     assert np.mean(got == np.array(main)) > 0.9
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<p class="x>Hello', ["Hello"]), ("<p title=it's>Hello</p>", ["Hello"]), ("<p <b>x", ["x"]), ('<p title="a > b">x', ["x"]),
+    ("<p>Energy <math><mi>E</mi>=<mi>mc</mi></math> is</p>", ["Energy E=mc is"]), ("a<button>Share</button>b", ["a b"]), ("<button>x", ["x"]),
+    ("<xmp><b>x</b> &amp; y</xmp>z", ["<b>x</b> &amp; y", "z"]), ("<p>a <svg><title>i</title><text>label</text></svg>", ["a label"]),
+    ("<noscript>Enable scripts</noscript>ok", ["ok"]), ("<!-->a<!-- x --!>b", ["ab"]), ("<a href=/a/>link</a> t", ["link t"]),
+    ("<script>var a = '</p>';</script >x", ["x"]), ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]), ("<p>a<div>b</p>c", ["a", "b", "c"])])
+def test_markup_is_read_as_a_browser_reads_it(html, want):
+    assert html_extraction.read_blocks(html).texts == want
+
+
+@pytest.mark.parametrize("piece", ["<b>x<p>y</p>", "<b></i>", "<button>x", "<zz%d>q", "<p title='>a", "<div><p><i>", "<li><a>x"])
+def test_long_pages_take_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        html = "".join(piece % i if "%" in piece else piece for i in range(n))
+        start = time.perf_counter()
+        html_extraction.read_blocks(html)
+        return time.perf_counter() - start
+    seconds(1000)
+    assert seconds(160000) < 40 * seconds(10000) + 1  # a quadratic reader takes 256 times
+
+
+def test_every_feature_has_its_own_place():
+    assert len(html_extraction._PLACE) == len(html_extraction._names())
+    blocks = html_extraction.read_blocks(PAGE + "<unknown class='comments ad'><section class=sidebar>Some · text</section>")
+    assert len(html_extraction.coded(html_extraction.features(blocks))[1]) == len(blocks.texts) + 1
+
+
+def test_a_page_of_a_million_characters(spark, field):
+    html = "<nav><a>Menu</a></nav><article><h1>Title</h1><p>" + "word " * 300000 + "</p></article>"
+    got = html_extraction.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), field).first()
+    assert got.text == "Title\n" + ("word " * 300000).strip()
+
+
+def test_held_out_pages(spark):
+    """Trained without every fifth page, the field finds the articles of those."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    held = F.pmod(F.xxhash64("html"), F.lit(5)) == 0
+    field = html_extraction.learn(pages.filter(~held))
+    rows = pages.filter(held).collect()
+    found = {r.page_id: r.text for r in html_extraction.extract(pages.filter(held), field, ("page_id",)).collect()}
+    right = 0
+    for r in rows:
+        blocks = html_extraction.read_blocks(r.html)
+        right += found[r.page_id] == "\n".join(t for t, x in zip(blocks.texts, blocks.traits) if "in:article" in x)
+    assert len(rows) > 20 and right >= 0.95 * len(rows)
+
+
 def test_pages_of_the_corpus(spark):
-    """Held-out pages: the article's blocks, found by another parser."""
+    """The article's blocks of given pages, found by another parser."""
     import re
     from html import unescape
     from html.parser import HTMLParser
