@@ -37,6 +37,7 @@ HOT_WINDOWS = 16 * HOT
 FRAME_WINDOWS = 64
 PIECE = 1 << 20
 SHARD_FRAMES = 2000
+COMBINED = 1 << 24
 _NONE = np.iinfo(np.int64).max
 
 
@@ -216,6 +217,23 @@ class SuffixAutomaton:
         return out
 
 
+def _combined(batches):
+    """Equal frames of up to about ``COMBINED`` bytes as one row with their smallest id, before they are sent."""
+    def merged(held):
+        table = pa.Table.from_batches(held).group_by(["name", "code", "frame"], use_threads=False).aggregate([("id", "min")])
+        return table.select(["name", "code", "frame", "id_min"]).rename_columns(["name", "code", "frame", "first"]).to_batches(4096)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= COMBINED:
+            yield from merged(held)
+            held, size = [], 0
+    if held:
+        yield from merged(held)
+
+
 def _match(key, frame):
     automaton, texts = SuffixAutomaton(), [f.split(b" ") for f in frame["frame"]]
     for words, owner in zip(texts, frame["first"].tolist()):
@@ -263,10 +281,12 @@ def remove_repeats(documents: DataFrame, tables: Tables, id="doc_id", text="text
     frames = tables.write("frames", named.filter("id is not null").join(marked, "rid").mapInArrow(
         _frames, "id long, tid long, at long, name long, code long, frame binary"))
     tables.drop("marked")
-    distinct = frames.groupBy("name", "code", "frame").agg(F.min("id").alias("first"))
     shards = max(1, frames.count() // SHARD_FRAMES)
-    firsts = (distinct.select(F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard"), "name", "code", "frame", "first")
-              .groupBy("shard").applyInPandas(_match, "name long, code long, firsts array<long>"))
+    # frames travel once: the partitioning by shard also serves the grouping by frame
+    sent = (frames.select("id", "name", "code", "frame").mapInArrow(_combined, "name long, code long, frame binary, first long")
+            .withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards))).repartition("shard"))
+    distinct = sent.groupBy("shard", "name", "code", "frame").agg(F.min("first").alias("first"))
+    firsts = distinct.groupBy("shard").applyInPandas(_match, "name long, code long, firsts array<long>")
     firsts = tables.write("firsts", firsts)
     starts = F.expr("transform(filter(sequence(0, size(firsts) - 1), i -> firsts[i] < id), i -> at + i)")
     spans = (frames.select("id", "tid", "at", "name", "code").join(firsts, ["name", "code"])

@@ -239,3 +239,32 @@ def test_an_anchor_of_many_windows_is_cut_per_window(spark, monkeypatch):
             if first.setdefault(tuple(words[j:j + 13]), i) < i:
                 gone |= set(range(j, j + 13))
         assert out[i] == " ".join(w for j, w in enumerate(words) if j not in gone)
+
+
+def test_frames_are_combined_before_they_are_sent_and_sent_once(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    from filingsift.llm import substring_dedup as S
+    from filingsift.llm.tables import Tables
+    rng = np.random.default_rng(2)
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(rng.integers(0, 99, 500)), "name": pa.array(rng.integers(0, 3, 500)), "code": pa.array(rng.integers(0, 4, 500)),
+                                           "frame": pa.array([b"x" * int(n) for n in rng.integers(1, 4, 500)], pa.binary())}) for _ in range(5)]
+    want = {}
+    for b in batches:
+        for r in b.to_pylist():
+            key = (r["name"], r["code"], r["frame"])
+            want[key] = min(want.get(key, 99), r["id"])
+    rows = [r for b in S._combined(batches) for r in b.to_pylist()]
+    assert len(rows) == len(want) and {(r["name"], r["code"], r["frame"]): r["first"] for r in rows} == want
+    assert not list(S._combined([]))
+
+    plans = {}
+
+    class Seen(Tables):
+        def write(self, name, df):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().write(name, df)
+    docs = spark.createDataFrame([(i, " ".join(str(w % 50) for w in range(i, i + 40))) for i in range(60)], "doc_id long, text string")
+    assert S.remove_repeats(docs, Seen(spark, "sentonce")).count() == 60
+    assert plans["firsts"].count("Exchange") == 1
