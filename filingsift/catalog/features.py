@@ -468,6 +468,26 @@ def i14_vectors(spark, sf):
     return record.select("experiment", "n_samples", "n_fraud", F.round("fraud_ratio", 6).alias("fraud_ratio"), in_range(record).alias("in_range"))
 
 
+def planted(rows, far=6.0):
+    """Ready vectors with known anomalies: in the test part, those of every twentieth id lie ``far`` times as far out."""
+    out = (F.col("split") == "test") & (F.col("vec_id") % 20 == 0)
+    return rows.select("vec_id", "split", out.cast("int").alias("is_planted"), F.when(out, F.transform("embedding", lambda x: x * F.lit(far)))
+                       .otherwise(F.transform("embedding", lambda x: x * F.lit(1.0))).alias("embedding"))
+
+
+def planted_found(scored, least=0.95):
+    """Rows, planted rows, and whether the scores put these before the others, as scores without information cannot."""
+    found = evaluate.roc_auc(scored, "is_planted", "anomaly_score").select((F.col("roc_auc") >= least).alias("ranked_first"))
+    counts = scored.agg(F.count(F.lit(1)).alias("n_samples"), F.sum("is_planted").cast("long").alias("n_planted"))
+    return counts.withColumn("ranked_first", found.scalar())
+
+
+@query("i14_planted_anomalies", VECTORS + """
+select count(*) as n_samples, cast(count(*) filter (vec_id % 20 = 0) as bigint) as n_planted, true as ranked_first from lv where split = 'test'""")
+def i14_planted(spark, sf):
+    return planted_found(anomaly_job.score_vectors(planted(labelled_vectors(spark, sf)), "vec_id", "embedding", "is_planted"))
+
+
 @query("i15_expanding_evaluation", """
 , w as (select fraudulent, year(filing_date) as y, cast(e as int) as window_end from v3, range(2003, 2015) r(e)
   where year(filing_date) between 2003 and e or year(filing_date) = e + 3),

@@ -12,7 +12,7 @@ from filingsift.catalog.views import TABLES
 
 # queries that fit models when they are built; the longest ones run with SLOW_TESTS=1
 MODELS = {"i1_topic_vectors", "i2_topic_count_sweep", "i4_weighted_forest", "i5_boosted_trees", "i6_positive_unlabelled", "i7_hidden_positive_sweep",
-          "i8_truncated_svd", "i9_isolation_forest", "i10_anomaly_scores", "i14_text_anomaly_job", "i14_vector_anomaly_job", "i15_expanding_evaluation",
+          "i8_truncated_svd", "i9_isolation_forest", "i10_anomaly_scores", "i14_text_anomaly_job", "i14_vector_anomaly_job", "i14_planted_anomalies", "i15_expanding_evaluation",
           "supervised_topic_job", "supervised_tabular_job"}
 SLOW = set() if os.environ.get("SLOW_TESTS") else {"i2_topic_count_sweep", "i7_hidden_positive_sweep", "i14_text_anomaly_job", "supervised_topic_job",
                                                     "supervised_tabular_job"}

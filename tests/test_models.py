@@ -263,3 +263,12 @@ def test_text_job_end_to_end(spark, sf_dir):
     assert scored.count() == wanted
     report = anomaly_job.report(scored, "doc_id", "fraudulent", "x", ks=(5,)).first()
     assert 0 <= report["roc_auc"] <= 1 and report["n_samples"] == wanted
+
+
+def test_planted_anomalies_are_found_and_noise_finds_none(spark):
+    from filingsift.catalog.features import labelled_vectors, planted, planted_found
+    rows = planted(labelled_vectors(spark, "/root/testdata/sf0.01"))
+    scored = anomaly_job.score_vectors(rows, "vec_id", "embedding", "is_planted", trees=50)
+    assert planted_found(scored).first().ranked_first
+    noise = scored.withColumn("anomaly_score", F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000)
+    assert planted_found(noise).first().ranked_first is False
