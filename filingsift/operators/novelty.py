@@ -10,16 +10,18 @@ Texts with such a term therefore take a second path: a first match, taken from t
 each term, gives a lower bound; frequent terms whose joint contribution cannot reach that bound are left
 out of the join, because a better match must share one of the other terms; candidates that cannot reach
 the bound even with the full contribution of the left-out terms are dropped, and the rest are completed
-with those terms. The bound is proven, so the result equals the exhaustive comparison.
+with those terms. That contribution is at most the sum over the terms of the text's weight times the
+largest weight any text gives the term, and at most the length of the left-out part of the text's vector,
+since the other vector has length one; the smaller of the two counts. Both bounds are proven, so the result
+equals the exhaustive comparison.
 """
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingsift.functions import text as tx
-from filingsift.functions.keys import unroll
 from filingsift.operators.dedup import require_unique
 from filingsift.operators.joins import previous_filings
-from filingsift.operators.vocab import idf
+from filingsift.operators.vocab import idf, term_counts
 from filingsift.session import materialize
 from filingsift.sources.tables import spread
 
@@ -41,9 +43,10 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
 
 
 def _term_table(texts: DataFrame) -> DataFrame:
-    tokens = texts.withColumn("_tokens", tx.term_tokens("chunk_text"))
-    return (unroll(tokens, ["filing_id", "rep", "rep_number", "copies"], tx.unigrams_and_bigrams("_tokens"), "term")
-            .groupBy("filing_id", "rep", "rep_number", "copies", "term").agg(F.count(F.lit(1)).alias("tf")))
+    """Terms of each text with their counts: a text is one row, so nothing is shuffled."""
+    keys = F.struct("filing_id", "rep", "rep_number", "copies").alias("_text")
+    tokens = texts.select(keys, tx.term_tokens("chunk_text").alias("_tokens"))
+    return term_counts(tokens, "_text", tx.unigrams_and_bigrams("_tokens")).select("_text.*", "term", "tf")
 
 
 def reference_weights(chunks: DataFrame):
@@ -63,12 +66,20 @@ def reference_weights(chunks: DataFrame):
     stats = terms.groupBy("filing_id", "term").agg(F.sum("copies").alias("df"))
     idfs = (stats.join(sizes, "filing_id")
             .select(F.col("filing_id").alias("ref"), "term", "df", idf(F.col("n_chunks"), F.col("df")).alias("idf")))
+    # a text is compared with the filing before its own and serves as reference for the filing after it; both roles
+    # meet the weights of their reference filing in one join
     used = pairs.select("ref").distinct()
+    roles = (terms.join(used.withColumnRenamed("ref", "filing_id"), "filing_id", "left_semi")
+             .select(F.col("filing_id").alias("ref"), F.lit(None).cast(terms.schema["filing_id"].dataType).alias("filing_id"),
+                     "rep", "rep_number", "term", "tf")
+             .unionByName(terms.join(pairs, "filing_id").select("ref", "filing_id", "rep", "rep_number", "term", "tf")))
     weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
-    past = (terms.withColumnRenamed("filing_id", "ref").join(used, "ref", "left_semi")
-            .join(idfs, ["ref", "term"]).select("ref", "rep", "rep_number", "term", weight.alias("w")))
-    now = (terms.join(pairs, "filing_id").join(idfs, ["ref", "term"])
-           .select("ref", "filing_id", "rep", "term", weight.alias("w"), "df"))
+    weighted = materialize(roles.join(idfs, ["ref", "term"])
+                           .select("ref", "filing_id", "rep", "rep_number", "term", weight.alias("w"), "df",
+                                   F.when(F.col("filing_id").isNull(), "past").otherwise("now").alias("role")),
+                           "weights", partition_by=["role"])
+    past = weighted.filter("role = 'past'").select("ref", "rep", "rep_number", "term", "w")
+    now = weighted.filter("role = 'now'").select("ref", "filing_id", "rep", "term", "w", "df")
     return texts, refs, past, now
 
 
@@ -89,13 +100,11 @@ def best_matches(past: DataFrame, now: DataFrame, frequent=FREQUENT) -> DataFram
 
     On equal similarity (to 12 decimals) the text that comes first in its filing wins.
     """
-    now = materialize(now, "now")
     sizes = materialize(lengths(now, peak=F.max("df")), "lengths")
     hard = sizes.filter(F.col("peak") > frequent).select("ref", "rep")
     if hard.isEmpty():
         scored = _sums(now, past, sizes)
     else:
-        past = materialize(past, "past")
         easy = now.join(hard, ["ref", "rep"], "left_anti")
         scored = _sums(easy, past, sizes).unionByName(
             _bounded_sums(unit(now.join(hard, ["ref", "rep"], "left_semi")), unit(past), frequent))
@@ -120,6 +129,18 @@ def _bounded_sums(now: DataFrame, past: DataFrame, frequent) -> DataFrame:
     """The same for unit vectors and pairs that may be a best match; pairs proven not to be are missing."""
     past = materialize(past.select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("match_number"), "term",
                                    F.col("w").alias("p")), "unit-past")
+    able, left_out = candidates(now, past, frequent)
+    completed = _dots(left_out, past, able.select("ref", "rep", "match"))
+    return (able.join(completed, ["ref", "rep", "match"], "left")
+            .select("ref", "rep", "match", "match_number", (F.col("part") + F.coalesce("dot", F.lit(0.0))).alias("dot")))
+
+
+def candidates(now: DataFrame, past: DataFrame, frequent=FREQUENT):
+    """Pairs of unit vectors that may be a best match, and what was left out of the join that found them.
+
+    ``past`` is (ref, match, match_number, term, p). Returns (able, left_out): able = (ref, rep, match, match_number,
+    part) with the sum over the joined terms, left_out = (ref, rep, term, w).
+    """
     top = past.groupBy("ref", "term").agg(F.max(F.struct("p", "match")).alias("_top"))
     top = top.select("ref", "term", F.col("_top.p").alias("pmax"), F.col("_top.match").alias("champion"))
     now = materialize(now.join(top, ["ref", "term"])
@@ -130,18 +151,21 @@ def _bounded_sums(now: DataFrame, past: DataFrame, frequent) -> DataFrame:
     bound = _dots(now, past, lead).select("ref", "rep", F.col("dot").alias("bound"))
     # the most frequent terms first; leave them out while together they stay below the bound
     vector = Window.partitionBy("ref", "rep")
-    spent = F.sum("ub").over(vector.orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0))
-    split = (now.join(bound, ["ref", "rep"]).withColumn("_spent", spent)
-             .withColumn("left_out", (F.col("_spent") < F.col("bound") - SLACK) & (F.col("df") > frequent))
-             .withColumn("rest", F.coalesce(F.sum(F.when(F.col("left_out"), F.col("ub"))).over(vector), F.lit(0.0))))
+    so_far = vector.orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
+    square = F.col("w") * F.col("w")
+    spent = F.least(F.sum("ub").over(so_far), F.sqrt(F.sum(square).over(so_far)))
+    left_out = (F.col("_spent") < F.col("bound") - SLACK) & (F.col("df") > frequent)
+
+    def over_left_out(value):
+        return F.coalesce(F.sum(F.when(F.col("left_out"), value)).over(vector), F.lit(0.0))
+    split = (now.join(bound, ["ref", "rep"]).withColumn("_spent", spent).withColumn("left_out", left_out)
+             .withColumn("rest", F.least(over_left_out(F.col("ub")), F.sqrt(over_left_out(square)))))
     split = materialize(split.select("ref", "rep", "term", "w", "bound", "rest", "left_out"), "split")
     partial = (split.filter("not left_out").join(past, ["ref", "term"]).groupBy("ref", "rep", "match", "match_number")
                .agg(F.sum(F.col("w") * F.col("p")).alias("part"), F.first("bound").alias("bound"), F.first("rest").alias("rest")))
     able = materialize(partial.filter(F.col("part") + F.col("rest") >= F.col("bound") - SLACK)
                        .select("ref", "rep", "match", "match_number", "part"), "able")
-    completed = _dots(split.filter("left_out"), past, able.select("ref", "rep", "match"))
-    return (able.join(completed, ["ref", "rep", "match"], "left")
-            .select("ref", "rep", "match", "match_number", (F.col("part") + F.coalesce("dot", F.lit(0.0))).alias("dot")))
+    return able, split.filter("left_out").select("ref", "rep", "term", "w")
 
 
 def _dots(now: DataFrame, past: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -183,6 +183,24 @@ def test_bounded_search_is_exhaustive(spark, frequent):
     assert got == brute_matches(spark, novelty.unit(past), novelty.unit(now))
 
 
+def test_bounds_keep_few_candidates(spark):
+    """Texts that share a frequent vocabulary and differ in rare words: the search completes few of the pairs that share a word."""
+    rng = np.random.default_rng(5)
+
+    def text(i):
+        return " ".join([*rng.choice([f"common{j}" for j in range(12)], size=4), *[f"rare{i}_{j}" for j in range(3)]])
+    first = [text(i) for i in range(300)]
+    rows = [("a", "a1", 2004, i, t) for i, t in enumerate(first)] + [("a", "a2", 2005, i, first[i] + " added") for i in range(0, 300, 3)]
+    _, _, past, now = novelty.reference_weights(chunk_rows(spark, rows))
+    past, now = materialize(novelty.unit(past)), materialize(novelty.unit(now))
+    held = past.select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("match_number"), "term", F.col("w").alias("p"))
+    able, left_out = novelty.candidates(now, held, 20)
+    sharing = now.join(held, ["ref", "term"]).select("rep", "match").distinct().count()
+    assert left_out.count() > 0 and 100 <= able.count() <= 200 and sharing > 15_000
+    found = {(r["rep"], r["match"]) for r in able.collect()}
+    assert found >= {(k[1], v) for k, v in brute_matches(spark, past, now).items()}
+
+
 def test_weighted_forest_and_report(parts):
     train, test = parts
     model = classify.fit_random_forest(train, "v", "y", trees=20, depth=5)
