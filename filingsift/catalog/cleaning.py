@@ -208,11 +208,11 @@ def b19(spark, sf):
 select v1.filing_id, cast(case when n.slot >= 0 then n.slot end as bigint) as slot, cast(coalesce(n.slot >= 0, false) as int) as ones
 from v1 left join n on v1.sic = n.sic""", ["v1"])
 def b19_sparse(spark, sf):
-    from pyspark.ml.functions import vector_to_array
     coded = vectors.one_hot_sparse(v1(spark, sf).select("filing_id", "sic"), "sic", "v")
-    a = coded.select("filing_id", vector_to_array("v").alias("a"))
-    return a.select("filing_id", F.when(F.array_contains("a", 1.0), F.array_position("a", 1.0) - 1).alias("slot"),
-                    F.aggregate("a", F.lit(0.0), lambda s, x: s + x).cast("int").alias("ones"))
+    # the stored places and values of the sparse vector: a dense array would be as wide as there are levels
+    a = coded.select("filing_id", F.unwrap_udt("v").alias("a"))
+    return a.select("filing_id", F.get("a.indices", F.lit(0)).cast("long").alias("slot"),
+                    F.aggregate("a.values", F.lit(0.0), lambda s, x: s + x).cast("int").alias("ones"))
 
 
 @query("b20_drop_leakage", "select filing_id, city, filing_type, late from (select *, cast(filing_type = '10-K405' as int) as late from v1)",

@@ -193,6 +193,15 @@ def test_histogram_puts_the_maximum_into_the_last_bin(spark):
     assert [(r["low"], r["n"]) for r in flat] == [(2.5, 0), (3.0, 2)]
 
 
+def test_sparse_one_hot_visits_no_place_that_a_row_leaves_empty(spark, monkeypatch):
+    from pyspark.ml.feature import VectorSlicer
+    monkeypatch.setattr(VectorSlicer, "_transform", lambda *_: pytest.fail("slicing walks over all levels for every row"))
+    out = vectors.one_hot_sparse(frame(spark, [("b",), ("a",), (None,), ("c",), ("b",)], "x string"), "x", "v")
+    assert out.columns == ["x", "v"]
+    found = {(r["x"], r["v"].size, tuple(r["v"].indices), tuple(r["v"].values)) for r in out.collect()}
+    assert found == {("a", 2, (), ()), ("b", 2, (0,), (1.0,)), ("c", 2, (1,), (1.0,)), (None, 2, (), ())}
+
+
 def test_one_hot_drops_first_level_and_nulls(spark):
     out = vectors.one_hot(frame(spark, [("b",), ("a",), (None,), ("c",)], "x string"), ["x"])
     assert sorted(out.columns) == ["x_b", "x_c"]
