@@ -45,8 +45,7 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
 def _term_table(texts: DataFrame) -> DataFrame:
     """Terms of each text with their counts: a text is one row, so nothing is shuffled."""
     keys = F.struct("filing_id", "rep", "rep_number", "copies").alias("_text")
-    tokens = texts.select(keys, tx.term_tokens("chunk_text").alias("_tokens"))
-    return term_counts(tokens, "_text", tx.unigrams_and_bigrams("_tokens")).select("_text.*", "term", "tf")
+    return term_counts(texts.select(keys, "chunk_text"), "_text", tx.term_tokens("chunk_text"), pairs=True).select("_text.*", "term", "tf")
 
 
 def reference_weights(chunks: DataFrame):

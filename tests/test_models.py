@@ -98,6 +98,27 @@ def test_tfidf_weights_by_hand(spark):
     assert "plum apple" not in {t for _, t in got}
 
 
+@pytest.mark.parametrize("block", [1, 3, 1 << 20])
+def test_term_totals_are_those_of_the_counts_and_leave_a_task_once(spark, monkeypatch, block):
+    from collections import Counter
+    monkeypatch.setattr(vocab, "BLOCK_WORDS", block)
+    texts = ["b a b", "", None, "a", "\u00e9 b a b a", "c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    words = F.split("t", " ")
+    each = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            w = t.split(" ")
+            each[i] = Counter(w + [" ".join(p) for p in zip(w, w[1:])])
+    counts = {(r["id"], r["term"]): r["tf"] for r in vocab.term_counts(docs, "id", words, pairs=True).collect()}
+    assert counts == {(i, t): n for i, c in each.items() for t, n in c.items()}
+    totals = {r["term"]: (r["df"], r["cf"]) for r in vocab.term_totals(docs, words, pairs=True).collect()}
+    assert totals == {t: (sum(t in c for c in each.values()), sum(c[t] for c in each.values())) for t in set().union(*each.values())}
+    # no table of all terms of a task before they are dealt by term
+    plan = vocab.term_totals(docs, words)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.index("Exchange"):]
+
+
 def test_tfidf_vocabulary_limits(spark):
     docs = spark.createDataFrame([(i, "common " + ("often " if i < 4 else "") + f"w{i}") for i in range(10)], "id int, t string")
     model = vocab.fit_tfidf(docs, "id", "t", ["common"], min_df=2, max_df=0.95)
