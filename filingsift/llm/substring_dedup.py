@@ -6,10 +6,10 @@ of every shard. Instead each window is named by the smallest hash among its ``GR
 Equal windows have equal anchors, so windows whose anchor is in a single document cannot repeat, and the rest
 need only meet the windows of the same anchor:
 
-1. Count each anchor's documents (one row per document and anchor).
+1. Count each anchor's documents, and how many different runs of its windows they have (one row per document and anchor).
 2. Cut the documents into frames: the words of consecutive windows with the same shared anchor. An anchor
-   in over ``HOT`` documents, or of over ``HOT_WINDOWS`` windows, gets a frame for each window, named by the
-   window, so that no group is large.
+   with over ``HOT`` different runs, or over ``HOT_WINDOWS`` windows in them, gets a frame for each window, named
+   by the window, so that no group is large. Copies of a run are one frame in a group, however many there are.
 3. The distinct frames of a shard of names are its references. Their suffix automaton keeps, for each state,
    the smallest document id; streaming the frames gives matching statistics, and for each window the first
    document that has it.
@@ -25,7 +25,7 @@ other's words; an empty table gives an empty result; other columns play no part.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from filingsift.llm import words as W
 from filingsift.llm.tables import Tables, packed, unpacked
@@ -67,17 +67,29 @@ def _anchors(batches):
             own = own[at]
             change = np.ones(len(at), bool)
             change[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
-            windows = np.diff(np.append(np.flatnonzero(change), len(at)))
+            begin = np.flatnonzero(change)
+            windows = np.diff(np.append(begin, len(at)))
+            code = _codes(hashes, at[begin], windows)
             anchor, own = anchor[change], own[change]
             order = np.lexsort((anchor, own))
-            anchor, own, windows = anchor[order], own[order], windows[order]
+            anchor, own, windows, code = anchor[order], own[order], windows[order], code[order]
             fresh = np.ones(len(own), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
             pick = pa.array(own[fresh])
-            windows = np.add.reduceat(windows, np.flatnonzero(fresh)) if len(windows) else windows
+            if len(windows):
+                begin = np.flatnonzero(fresh)
+                windows, code = np.add.reduceat(windows, begin), np.add.reduceat(code, begin)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid").take(pick), pa.array(anchor[fresh].view(np.int64)), pa.array(windows, pa.int32())],
-                ["rid", "anchor", "windows"])
+                [batch.column("rid").take(pick), pa.array(anchor[fresh].view(np.int64)), pa.array(windows, pa.int32()),
+                 pa.array((code >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                ["rid", "anchor", "windows", "runs"])
+
+
+def _codes(hashes, word, windows):
+    """A hash of the words of each run of windows, which starts at a word."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(hashes) * W.powers(W._BASE2, len(hashes)))])
+    back = W.powers(pow(W._BASE2, -1, 1 << 64), len(hashes))[word]
+    return W.mix((sums[word + windows + WINDOW - 1] - sums[word]) * back + windows.astype(np.uint64))
 
 
 def _spaced(data, starts, ends):
@@ -132,9 +144,7 @@ def _frames(batches):
             word = at[begin]
             left, right = place[word], place[word + windows + WINDOW - 1] - 1
             pieces = [text[a:b] for a, b in zip(left.tolist(), right.tolist())]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(hashes) * W.powers(W._BASE2, len(hashes)))])
-            back = W.powers(pow(W._BASE2, -1, 1 << 64), len(hashes))[word]
-            code = W.mix((sums[word + windows + WINDOW - 1] - sums[word]) * back + windows.astype(np.uint64))
+            code = _codes(hashes, word, windows)
             pick = pa.array(row[begin])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pick), batch.column("tid").take(pick), pa.array(word - first[row[begin]]),
@@ -271,10 +281,14 @@ def remove_repeats(documents: DataFrame, tables: Tables, id="doc_id", text="text
     rows = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tid"), F.col(text).alias("text"))
     # a row goes by one number here; two rows that shared it would only get each other's frames as well
     named = rows.withColumn("rid", F.xxhash64("id", "tid"))
-    anchors = named.filter("id is not null").select("rid", "text").mapInArrow(_anchors, "rid long, anchor long, windows int")
-    shared = (anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("windows").alias("windows")).filter("n > 1")
-              .select("anchor", ((F.col("n") > HOT) | (F.col("windows") > HOT_WINDOWS)).alias("is_hot")))
-    marked = (anchors.drop("windows").join(shared, "anchor").groupBy("rid")
+    anchors = named.filter("id is not null").select("rid", "text").mapInArrow(_anchors, "rid long, anchor long, windows int, runs int")
+    # one exchange: the documents of an anchor are counted and marked where they meet, equal ones of them once
+    group = Window.partitionBy("anchor")
+    counted = (anchors.withColumn("kind", F.dense_rank().over(group.orderBy("runs")))
+               .select("rid", "anchor", F.count("*").over(group).alias("n"), F.max("kind").over(group).alias("kinds"),
+                       F.max("windows").over(group).alias("most")).filter("n > 1"))
+    is_hot = (F.col("kinds") > HOT) | (F.col("kinds") * F.col("most") > HOT_WINDOWS)
+    marked = (counted.select("rid", "anchor", is_hot.alias("is_hot")).groupBy("rid")
               .agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("anchors"),
                    F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")))
     marked = tables.write("marked", marked)

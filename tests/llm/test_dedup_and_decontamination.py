@@ -216,6 +216,25 @@ def test_query_digests(spark, sf_dir):
     assert row.items_sha256 == hashlib.sha256(b"").hexdigest() and not row.contaminated
 
 
+def test_copies_of_a_passage_are_not_cut_per_window(spark, monkeypatch):
+    """However many documents hold the same passage, its inside is one run of windows for each anchor."""
+    monkeypatch.setattr(substring_dedup, "HOT", 30)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(20)) + " " + passage + " " + " ".join(f"v{i}_{j}" for j in range(20))) for i in range(40)]
+    frames, cut = [], substring_dedup.Tables.write
+
+    def seen(self, name, table):
+        out = cut(self, name, table)
+        if name == "frames":
+            frames.append(out.count())
+        return out
+    monkeypatch.setattr(substring_dedup.Tables, "write", seen)
+    out = {r["id"]: r["kept"] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), Tables(spark, "t10copies")).collect()}
+    assert out == {i: t if i == 0 else t.replace(passage + " ", "") for i, t in rows}
+    # fewer than the 48 windows inside the passage
+    assert frames[0] < 40 * 40
+
+
 def test_an_anchor_of_many_windows_is_cut_per_window(spark, monkeypatch):
     """A few long documents whose windows share an anchor: no name holds more frames than the bound."""
     monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 40)
