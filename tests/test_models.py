@@ -239,6 +239,20 @@ def test_windows_without_two_classes_keep_their_row(spark):
     assert got[2004]["macro_f1"] is None and (got[2004]["train_rows"], got[2004]["test_rows"]) == (1, 1) and got[2005]["test_rows"] == 0
 
 
+def test_windows_are_fitted_at_the_same_time(spark, monkeypatch):
+    import threading
+    meeting, fit = threading.Barrier(2, timeout=60), classify.fit_random_forest
+
+    def together(*args, **options):
+        meeting.wait()
+        return fit(*args, **options)
+    monkeypatch.setattr(classify, "fit_random_forest", together)
+    rows = [(end, split, [float(y), float(i)], y) for end in (2003, 2004) for split in ("train", "test") for i in range(8) for y in (0, 1)]
+    windows = spark.createDataFrame(rows, "window_end int, split string, x array<double>, y int")
+    out = classify.expanding_evaluation(windows, "x", "y", trees=5).collect()
+    assert {r["window_end"]: (r["n"], r["macro_f1"]) for r in out} == {2003: (16, 1.0), 2004: (16, 1.0)}
+
+
 def test_positive_unlabelled_scales_up(parts):
     train, test = parts
     hidden = splits.hide_positives(train, "id", "y", 40)
