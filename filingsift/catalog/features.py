@@ -134,26 +134,27 @@ def chunk_table(spark, sf):
 select 'past' as side, ref, count(*) as terms, round(sum(p), 5) as total from past where ref in (select ref from ref where ref is not null) group by ref
 union all select 'now' as side, ref, count(*) as terms, round(sum(w), 5) as total from now group by ref""", ["v5"])
 def h16(spark, sf):
-    texts, _, past, now = novelty.reference_weights(chunk_table(spark, sf))
-    # identical texts of a filing share one vector; the copies are counted back in
-    copies = texts.select("filing_id", "rep", "copies")
+    chunks = chunk_table(spark, sf)
+
+    def totals(some, pairs):
+        texts, _, past, now = novelty.reference_weights(some, pairs)
+        # identical texts of a filing share one vector; the copies are counted back in
+        copies = texts.select("filing_id", "rep", "copies")
 
-    def total(side, rows):
-        return (rows.join(copies, ["filing_id", "rep"]).groupBy("ref").agg(F.sum("copies").alias("terms"), F.round(F.sum(F.col("w") * F.col("copies")), 5).alias("total"))
-                .select(F.lit(side).alias("side"), "ref", "terms", "total"))
-    return total("past", novelty.unit(past).withColumn("filing_id", F.col("ref"))).unionByName(total("now", novelty.unit(now)))
+        def total(side, rows):
+            return (rows.join(copies, ["filing_id", "rep"]).groupBy("ref").agg(F.sum("copies").alias("terms"), F.round(F.sum(F.col("w") * F.col("copies")), 5).alias("total"))
+                    .select(F.lit(side).alias("side"), "ref", "terms", "total"))
+        return total("past", novelty.unit(past).withColumn("filing_id", F.col("ref"))).unionByName(total("now", novelty.unit(now)))
+    return novelty.in_rounds(chunks, novelty.references(chunks), totals)
 
 
 @query("c11_best_match", SCORES + """
 select chunk_id, match as matched_chunk_id, round(s, 6) as similarity from best where r = 1""", ["v5"])
 def c11(spark, sf):
     chunks = chunk_table(spark, sf)
-    texts, refs, past, now = novelty.reference_weights(chunks)
-    matches = novelty.best_matches(past, now)
-    members = chunks.select("filing_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_key")).join(
-        texts.select("filing_id", "text_key", "rep"), ["filing_id", "text_key"]).join(
-        refs.select("filing_id", F.col("reference_filing_id").alias("ref")), "filing_id")
-    return members.join(matches, ["ref", "rep"]).select(
+    matches = novelty.in_rounds(chunks, novelty.references(chunks), novelty.text_matches)
+    members = chunks.select("filing_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_key"))
+    return members.join(matches, ["filing_id", "text_key"]).select(
         "chunk_id", F.col("match").alias("matched_chunk_id"), F.round(F.least("similarity", F.lit(1.0)), 6).alias("similarity"))
 
 
@@ -172,7 +173,7 @@ select company, filing_id, filing_date, count(*) as total_chunks, count(max_simi
   round(avg(novelty_score), 6) as mean_novelty, """ + ", ".join(
     f"count(*) filter (boilerplate_category = '{c}') as {c}" for c in novelty.CATEGORIES) + " from result group by 1, 2, 3", ["v5"])
 def e26(spark, sf):
-    scores = materialize(novelty.score_chunks(chunk_table(spark, sf)), "scores")
+    scores = materialize(novelty.score_chunks(chunk_table(spark, sf)).drop("chunk_text", "matched_chunk_text"), "scores")
     return rounded(describe.novelty_summary(scores), "mean_similarity", "mean_novelty")
 
 

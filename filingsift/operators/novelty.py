@@ -15,6 +15,8 @@ largest weight any text gives the term, and at most the length of the left-out p
 since the other vector has length one; the smaller of the two counts. Both bounds are proven, so the result
 equals the exhaustive comparison.
 """
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +24,16 @@ from filingsift.functions import text as tx
 from filingsift.operators.dedup import require_unique
 from filingsift.operators.joins import previous_filings
 from filingsift.operators.vocab import idf, term_counts
-from filingsift.session import materialize
-from filingsift.sources.tables import spread
+from filingsift.session import materialize, release_since, scratch_mark
 
 SCORED_CATEGORIES = ["potential_boilerplate", "modified_disclosure", "potential_novel_disclosure"]
 CATEGORIES = ["no_history"] + SCORED_CATEGORIES
 SLACK = 1e-9
 # a term held by more texts of one filing than this is joined only where the bound demands it
 FREQUENT = 512
+# characters of a filing and its predecessor that are searched at a time, all pairs of a round together
+ROUND_CHARS = 1 << 27
+BUCKETS = 1024
 
 
 def distinct_texts(chunks: DataFrame) -> DataFrame:
@@ -48,37 +52,90 @@ def _term_table(texts: DataFrame) -> DataFrame:
     return term_counts(texts.select(keys, "chunk_text"), "_text", tx.term_tokens("chunk_text"), pairs=True).select("_text.*", "term", "tf")
 
 
-def reference_weights(chunks: DataFrame):
+def references(chunks: DataFrame) -> DataFrame:
+    """Every filing with the one before it."""
+    return materialize(previous_filings(chunks.select("company", "filing_id", "filing_date")), "references")
+
+
+def in_rounds(chunks: DataFrame, refs: DataFrame, work, most=None) -> DataFrame:
+    """``work(chunks, refs)`` for some filings and their predecessors at a time, the results as one written table.
+
+    A pair of a filing and its predecessor needs no other filing, so what a pair leaves on disk while it is searched
+    can go before the next ones begin: a round holds pairs of about ``most`` characters (a larger pair is a round of
+    its own), and its weights and shuffles are dropped once its result is written. A company that fits a quarter of a
+    round stays together, so that its filings are read once.
+    """
+    spark = chunks.sparkSession
+    most = ROUND_CHARS if most is None else most
+    sizes = materialize(chunks.groupBy("filing_id").agg(F.sum(F.coalesce(F.length("chunk_text"), F.lit(0))).alias("chars")), "sizes")
+    pairs = (refs.filter("reference_filing_id is not null").join(sizes, "filing_id")
+             .join(sizes.select(F.col("filing_id").alias("reference_filing_id"), F.col("chars").alias("_before")), "reference_filing_id")
+             .withColumn("_chars", F.col("chars") + F.col("_before")).drop("chars", "_before"))
+    whole = pairs.groupBy(F.xxhash64("company").alias("_company")).agg(F.sum("_chars").alias("_whole"))
+    bucket = F.pmod(F.when(F.col("_whole") <= most / 4, F.col("_company")).otherwise(F.xxhash64("_company", "reference_filing_id")), F.lit(BUCKETS))
+    pairs = materialize(pairs.withColumn("_company", F.xxhash64("company")).join(whole, "_company")
+                        .withColumn("_bucket", bucket).drop("_company", "_whole"), "pairs")
+    # at most BUCKETS rows
+    held = [(r["n"], r["_bucket"]) for r in pairs.groupBy("_bucket").agg(F.sum("_chars").alias("n")).collect()]
+    rounds = _packed(held, most)
+    results = []
+    for buckets in rounds or [None]:
+        before = scratch_mark()
+        if len(rounds) <= 1:
+            some, mine = chunks, refs
+        else:
+            mine = materialize(pairs.filter(F.col("_bucket").isin(buckets)).select(*refs.columns), "round-pairs")
+            filings = mine.select("filing_id").unionByName(mine.select(F.col("reference_filing_id").alias("filing_id"))).distinct()
+            some = chunks.join(materialize(filings, "round-filings"), "filing_id", "left_semi")
+        results.append(materialize(work(some, mine), "round"))
+        release_since(spark, before, keep=1)
+    return reduce(DataFrame.unionByName, results)
+
+
+def _packed(held, most):
+    """Buckets of sizes up to ``most`` in all, first fit, the largest first."""
+    rounds = []
+    for n, b in sorted(held, reverse=True):
+        for r in rounds:
+            if r[0] + n <= most:
+                r[0] += n
+                r[1].append(b)
+                break
+        else:
+            rounds.append([n, [b]])
+    return [r[1] for r in rounds]
+
+
+def reference_weights(chunks: DataFrame, refs: DataFrame | None = None):
     """TF-IDF weights of reference texts and of the texts compared with them, not yet scaled.
 
     Returns (texts, filing references, past, now): past = (ref, rep, rep_number, term, w), now = (ref,
     filing_id, rep, term, w, df). Terms the reference filing does not know are absent from ``now``. A filing
     has one successor, so (ref, rep) names a text on either side; lengths are divided out later, see
-    :func:`lengths`.
+    :func:`lengths`. ``refs`` limits the work to its pairs, whose filings ``chunks`` must hold whole.
     """
-    texts = materialize(distinct_texts(chunks), "texts")
-    refs = materialize(previous_filings(chunks.select("company", "filing_id", "filing_date")), "references")
+    refs = references(chunks) if refs is None else refs
+    whole = distinct_texts(chunks)
+    # the keys stay, the texts pass by once on their way to the terms
+    texts = materialize(whole.drop("chunk_text"), "texts")
     pairs = refs.filter("reference_filing_id is not null").select(
         "filing_id", F.col("reference_filing_id").alias("ref"))
-    terms = materialize(_term_table(spread(texts, "rep")), "terms")
-    sizes = texts.groupBy("filing_id").agg(F.sum("copies").alias("n_chunks"))
-    stats = terms.groupBy("filing_id", "term").agg(F.sum("copies").alias("df"))
-    idfs = (stats.join(sizes, "filing_id")
-            .select(F.col("filing_id").alias("ref"), "term", "df", idf(F.col("n_chunks"), F.col("df")).alias("idf")))
-    # a text is compared with the filing before its own and serves as reference for the filing after it; both roles
-    # meet the weights of their reference filing in one join
+    sizes = texts.groupBy(F.col("filing_id").alias("ref")).agg(F.sum("copies").alias("n_chunks"))
+    # a text is compared with the filing before its own and serves as reference for the filing after it; written, so
+    # that its size is known before the terms are
     used = pairs.select("ref").distinct()
-    roles = (terms.join(used.withColumnRenamed("ref", "filing_id"), "filing_id", "left_semi")
-             .select(F.col("filing_id").alias("ref"), F.lit(None).cast(terms.schema["filing_id"].dataType).alias("filing_id"),
-                     "rep", "rep_number", "term", "tf")
-             .unionByName(terms.join(pairs, "filing_id").select("ref", "filing_id", "rep", "rep_number", "term", "tf")))
-    weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
-    weighted = materialize(roles.join(idfs, ["ref", "term"])
-                           .select("ref", "filing_id", "rep", "rep_number", "term", weight.alias("w"), "df",
-                                   F.when(F.col("filing_id").isNull(), "past").otherwise("now").alias("role")),
-                           "weights", partition_by=["role"])
-    past = weighted.filter("role = 'past'").select("ref", "rep", "rep_number", "term", "w")
-    now = weighted.filter("role = 'now'").select("ref", "filing_id", "rep", "term", "w", "df")
+    roles = materialize(used.select(F.col("ref").alias("filing_id"), "ref", F.lit(True).alias("is_past"))
+                        .unionByName(pairs.select("filing_id", "ref", F.lit(False).alias("is_past"))).join(sizes, "ref"), "roles")
+    rows = _term_table(whole).join(roles, "filing_id")
+    # both roles meet in the one shuffle that counts the reference texts of each term
+    of_term = Window.partitionBy("ref", "term")
+    known = (rows.withColumn("df", F.sum(F.when(F.col("is_past"), F.col("copies"))).over(of_term))
+             .filter("df is not null"))
+    weight = (F.lit(1.0) + F.log("tf")) * idf(F.col("n_chunks"), F.col("df"))
+    weighted = materialize(known.select("ref", F.when(~F.col("is_past"), F.col("filing_id")).alias("filing_id"), "rep", "rep_number", "term",
+                                        weight.alias("w"), "df", "is_past"), "weights")
+    past = weighted.filter("is_past").select("ref", "rep", "rep_number", "term", "w")
+    now = weighted.filter("not is_past").select("ref", "filing_id", "rep", "term", "w", "df")
     return texts, refs, past, now
 
 
@@ -182,36 +239,44 @@ def category(similarity, high=0.80, low=0.40) -> Column:
             .otherwise("potential_novel_disclosure"))
 
 
+def text_matches(chunks: DataFrame, refs: DataFrame, frequent=FREQUENT) -> DataFrame:
+    """Best match of every distinct text of a filing that shares a term with its reference filing: (filing_id, text_key,
+    rep, match, similarity)."""
+    texts, _, past, now = reference_weights(chunks, refs)
+    return (texts.select("filing_id", "text_key", "rep")
+            .join(refs.select("filing_id", F.col("reference_filing_id").alias("ref")), "filing_id")
+            .join(best_matches(past, now, frequent), ["ref", "rep"]).drop("ref"))
+
+
 def score_chunks(chunks: DataFrame, high=0.80, low=0.40, frequent=FREQUENT) -> DataFrame:
     """Every chunk with its reference filing, best match, similarity, novelty and category."""
     if not 0 <= low < high <= 1:
         raise ValueError("Invalid similarity thresholds.")
     require_unique(chunks, ["filing_id", "chunk_id"])
-    texts, refs, past, now = reference_weights(chunks)
-    matches = best_matches(past, now, frequent)
+    refs = references(chunks)
+    found = in_rounds(chunks, refs, lambda some, pairs: text_matches(some, pairs, frequent))
     # a chunk id is unique within its filing only, so every join carries the filing it belongs to
-    by_text = (texts.select("filing_id", "text_key", "rep")
-               .join(refs.select("filing_id", F.col("reference_filing_id").alias("ref")), "filing_id")
-               .join(matches.select("ref", "rep", "match", F.least(F.greatest("similarity", F.lit(0.0)), F.lit(1.0)).alias("s")),
-                     ["ref", "rep"], "left")
-               .join(texts.select(F.col("filing_id").alias("ref"), F.col("rep").alias("match"), F.col("chunk_text").alias("matched_chunk_text")),
-                     ["ref", "match"], "left")
-               .drop("rep", "ref"))
-    rows = (chunks.withColumn("text_key", F.sha2("chunk_text", 256))
-            .join(refs.select("filing_id", "reference_filing_id", "reference_filing_date"), "filing_id")
-            .join(by_text, ["filing_id", "text_key"], "left").drop("text_key"))
+    texts = distinct_texts(chunks)
+    best = found.select("filing_id", "text_key", "match", F.least(F.greatest("similarity", F.lit(0.0)), F.lit(1.0)).alias("s"))
+    keyed = chunks.withColumn("text_key", F.sha2("chunk_text", 256)).join(
+        refs.select("filing_id", "reference_filing_id", "reference_filing_date"), "filing_id")
+    matched = keyed.join(best, ["filing_id", "text_key"], "left").drop("text_key")
+    if matched.count() != chunks.count():
+        raise ValueError("novelty scoring lost or added rows")
+    # the matched texts are fetched as the result is read, so a result without them moves none
+    rows = matched.join(texts.select(F.col("filing_id").alias("reference_filing_id"), F.col("rep").alias("match"),
+                                     F.col("chunk_text").alias("matched_chunk_text")), ["reference_filing_id", "match"], "left")
     known = F.col("reference_filing_id").isNotNull()
     shared = F.coalesce(F.col("s") > 0, F.lit(False))
     scored = rows.withColumn("max_similarity", F.when(known, F.when(shared, F.col("s")).otherwise(0.0)))
-    result = (scored.withColumns({
+    return (scored.withColumns({
         "matched_chunk_id": F.when(known & shared, F.col("match")),
         "matched_chunk_text": F.when(known & shared, F.col("matched_chunk_text")),
         "novelty_score": F.lit(1.0) - F.col("max_similarity"),
         "boilerplate_category": F.when(known, category("max_similarity", high, low)).otherwise("no_history"),
         "scoring_status": F.when(~known, "no_history").when(shared, "scored").otherwise("no_shared_terms"),
         "high_threshold": F.lit(high), "low_threshold": F.lit(low),
-        "scoring_method": F.lit("historical_tfidf_cosine_v1")}).drop("match", "s"))
-    result = materialize(result, "novelty")
-    if result.count() != chunks.count():
-        raise ValueError("novelty scoring lost or added rows")
-    return result
+        "scoring_method": F.lit("historical_tfidf_cosine_v1")})
+        .select("filing_id", *[c for c in chunks.columns if c != "filing_id"], "reference_filing_id", "reference_filing_date", "matched_chunk_text",
+                "max_similarity", "matched_chunk_id", "novelty_score", "boilerplate_category", "scoring_status", "high_threshold",
+                "low_threshold", "scoring_method"))

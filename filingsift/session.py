@@ -3,6 +3,7 @@
 A cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is unset (tests, a
 laptop) a temporary folder of this process takes its place.
 """
+import gc
 import os
 import tempfile
 import uuid
@@ -83,6 +84,19 @@ def drop_scratch(spark, path):
     _delete(spark, path)
 
 
+def scratch_mark():
+    """A point in time for :func:`release_since`."""
+    return len(_paths)
+
+
+def release_since(spark, mark, keep=0):
+    """Delete what was written since ``mark`` but the ``keep`` youngest tables, and the shuffles nothing refers to any more."""
+    while len(_paths) > mark + keep:
+        _delete(spark, _paths.pop(mark))
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _delete(spark, path):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -325,3 +325,38 @@ def test_planted_anomalies_are_found_and_noise_finds_none(spark):
     assert planted_found(scored).first().ranked_first
     noise = scored.withColumn("anomaly_score", F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000)
     assert planted_found(noise).first().ranked_first is False
+
+
+def test_novelty_leaves_one_round_on_disk_at_a_time(spark, monkeypatch):
+    """Pairs of filings are searched in rounds: same results, and no round's weights outlive it."""
+    from filingsift import session
+    rng = np.random.default_rng(3)
+    rows = [(c, f"{c}{y}", y, i, " ".join(rng.choice([f"w{j}" for j in range(30)], size=8))) for c in "abc" for y in range(2001, 2007)
+            for i in range(6)]
+    chunks = materialize(chunk_rows(spark, rows), "chunks")
+
+    def scored():
+        out = novelty.score_chunks(chunks)
+        return sorted((r["filing_id"], r["chunk_id"], r["reference_filing_id"], r["matched_chunk_id"], r["matched_chunk_text"], r["scoring_status"],
+                       round(r["max_similarity"] or 0, 9)) for r in out.collect())
+    monkeypatch.setattr(novelty, "ROUND_CHARS", 10 ** 9)
+    whole = scored()
+    seen, weigh = [], novelty.reference_weights
+
+    def weighed(some, refs):
+        seen.append((some.select("filing_id").distinct().count(), sum("weights-" in p for p in session._paths)))
+        return weigh(some, refs)
+    monkeypatch.setattr(novelty, "reference_weights", weighed)
+    monkeypatch.setattr(novelty, "ROUND_CHARS", 1200)
+    before = sum("weights-" in p for p in session._paths)
+    assert scored() == whole and len(whole) == 108
+    assert len(seen) > 4 and max(n for n, _ in seen) < 18 and {n for _, n in seen} == {before}
+    plan = novelty.score_chunks(chunks).drop("chunk_text", "matched_chunk_text")._jdf.queryExecution().executedPlan().toString()
+    assert "first(chunk_text" not in plan
+
+
+def test_rounds_hold_every_bucket_once():
+    held = [(7, 0), (5, 1), (5, 2), (3, 3), (30, 4), (1, 5)]
+    rounds = novelty._packed(held, 10)
+    assert sorted(b for r in rounds for b in r) == list(range(6)) and [4] in rounds
+    assert all(len(r) == 1 or sum(dict((b, n) for n, b in held)[b] for b in r) <= 10 for r in rounds)
