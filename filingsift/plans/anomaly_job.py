@@ -16,7 +16,7 @@ def text_vectors(train: DataFrame, rest: DataFrame, id_col, text, components=300
     of all n-grams, several times the corpus, is never written.
     """
     def rows_of(docs):
-        return vocab.sparse_rows(vocab.weigh(vocab.tfidf_counts(docs, id_col, text, stop_words), model, id_col), id_col)
+        return vocab.sparse_documents(docs, id_col, text, model, stop_words)
     model = vocab.fit_tfidf(train, id_col, text, stop_words, **vocabulary)
     n_terms = model.vocabulary.count()
     train_rows = materialize(rows_of(train), "rows")

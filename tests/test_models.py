@@ -360,3 +360,21 @@ def test_rounds_hold_every_bucket_once():
     rounds = novelty._packed(held, 10)
     assert sorted(b for r in rounds for b in r) == list(range(6)) and [4] in rounds
     assert all(len(r) == 1 or sum(dict((b, n) for n, b in held)[b] for b in r) <= 10 for r in rounds)
+
+
+@pytest.mark.parametrize("block", [2, 1 << 20])
+def test_sparse_documents_are_those_of_the_long_tables(spark, monkeypatch, block):
+    """Repeated ids are one document, texts without a known term have no row, and no term is shuffled."""
+    monkeypatch.setattr(vocab, "BLOCK_WORDS", block)
+    texts = ["apple pear apple pear", None, "", "unseen words", "plum", "pear pear plum été", "apple plum", "apple plum"]
+    docs = spark.createDataFrame([(min(i, 6), t) for i, t in enumerate(texts)], "id int, t string").coalesce(1)
+    model = vocab.fit_tfidf(docs, "id", "t", ["unseen"], min_df=1, max_df=1.0, max_terms=6)
+
+    def told(rows):
+        return {r["id"]: [(i, round(w, 12)) for i, w in zip(r["indices"], r["weights"])] for r in rows.collect()}
+    short = vocab.sparse_documents(docs, "id", "t", model, ["unseen"])
+    assert told(short) == told(vocab.sparse_rows(vocab.weigh(vocab.tfidf_counts(docs, "id", "t", ["unseen"]), model, "id"), "id"))
+    assert short.schema.simpleString() == "struct<id:int,indices:array<int>,weights:array<double>>"
+    spread = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(4)
+    plan = vocab.sparse_documents(spread, "id", "t", model, ["unseen"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning(_id") == 1
