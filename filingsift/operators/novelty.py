@@ -34,6 +34,8 @@ FREQUENT = 512
 # characters of a filing and its predecessor that are searched at a time, all pairs of a round together
 ROUND_CHARS = 1 << 27
 BUCKETS = 1024
+# pairs of a text and a text of its reference filing whose sums may lie on disk at a time
+ROUND_PAIRS = 1 << 24
 
 
 def distinct_texts(chunks: DataFrame) -> DataFrame:
@@ -154,16 +156,37 @@ def unit(weights: DataFrame) -> DataFrame:
 def best_matches(past: DataFrame, now: DataFrame, frequent=FREQUENT) -> DataFrame:
     """Exact best match of every ``now`` vector: (ref, rep, match, similarity).
 
-    On equal similarity (to 12 decimals) the text that comes first in its filing wins.
+    On equal similarity (to 12 decimals) the text that comes first in its filing wins. A text needs no other text of
+    its filing, so they are searched in slices of about ``ROUND_PAIRS`` pairs with the texts of their reference filing,
+    and the sums of a slice go before the next begins.
     """
     sizes = materialize(lengths(now, peak=F.max("df")), "lengths")
-    hard = sizes.filter(F.col("peak") > frequent).select("ref", "rep")
-    if hard.isEmpty():
+    held = past.select("ref", "rep").distinct().groupBy("ref").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = sizes.join(held, "ref").agg(F.sum("_n")).first()[0] or 0
+    unit_past = None
+    if not sizes.filter(F.col("peak") > frequent).isEmpty():
+        unit_past = materialize(unit(past).select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("match_number"), "term",
+                                                  F.col("w").alias("p")), "unit-past")
+    slices = max(1, -(-pairs // ROUND_PAIRS))
+    if slices == 1:
+        return _best(past, unit_past, now, sizes, frequent)
+    results = []
+    for k in range(slices):
+        before, mine = scratch_mark(), F.pmod(F.xxhash64("ref", "rep"), F.lit(slices)) == k
+        results.append(materialize(_best(past, unit_past, now.filter(mine), sizes.filter(mine), frequent), "best"))
+        release_since(now.sparkSession, before, keep=1)
+    return reduce(DataFrame.unionByName, results)
+
+
+def _best(past: DataFrame, unit_past: DataFrame | None, now: DataFrame, sizes: DataFrame, frequent) -> DataFrame:
+    """Best match of some ``now`` vectors; without ``unit_past`` none of them holds a frequent term."""
+    if unit_past is None:
         scored = _sums(now, past, sizes)
     else:
+        hard = sizes.filter(F.col("peak") > frequent).select("ref", "rep")
         easy = now.join(hard, ["ref", "rep"], "left_anti")
         scored = _sums(easy, past, sizes).unionByName(
-            _bounded_sums(unit(now.join(hard, ["ref", "rep"], "left_semi")), unit(past), frequent))
+            _bounded_sums(unit(now.join(hard, ["ref", "rep"], "left_semi")), unit_past, frequent))
     best = scored.groupBy("ref", "rep").agg(
         F.min_by(F.struct("match", "dot"), F.struct((-F.round("dot", 12)).alias("neg"), "match_number", "match")).alias("b"))
     return best.select("ref", "rep", F.col("b.match").alias("match"), F.col("b.dot").alias("similarity"))
@@ -183,8 +206,6 @@ def _sums(now: DataFrame, past: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _bounded_sums(now: DataFrame, past: DataFrame, frequent) -> DataFrame:
     """The same for unit vectors and pairs that may be a best match; pairs proven not to be are missing."""
-    past = materialize(past.select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("match_number"), "term",
-                                   F.col("w").alias("p")), "unit-past")
     able, left_out = candidates(now, past, frequent)
     completed = _dots(left_out, past, able.select("ref", "rep", "match"))
     return (able.join(completed, ["ref", "rep", "match"], "left")

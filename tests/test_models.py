@@ -378,3 +378,23 @@ def test_sparse_documents_are_those_of_the_long_tables(spark, monkeypatch, block
     spread = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(4)
     plan = vocab.sparse_documents(spread, "id", "t", model, ["unseen"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning(_id") == 1
+
+
+@pytest.mark.parametrize("frequent", [3, 10 ** 9])
+def test_slices_of_texts_have_the_same_matches(spark, monkeypatch, frequent):
+    """What a slice of a filing's texts leaves on disk is gone before the next, and no match changes."""
+    from filingsift import session
+    rng = np.random.default_rng(17)
+    rows = [("a", f"a{y}", y, i, " ".join(rng.choice([f"w{j}" for j in range(20)], size=rng.integers(2, 9)))) for y in (2004, 2005) for i in range(40)]
+    _, _, past, now = novelty.reference_weights(chunk_rows(spark, rows))
+    past, now = materialize(past), materialize(now)
+    seen, best = [], novelty._best
+
+    def one(*args):
+        seen.append(sum(name in p for p in session._paths for name in ("bounds-", "split-", "able-")))
+        return best(*args)
+    monkeypatch.setattr(novelty, "_best", one)
+    monkeypatch.setattr(novelty, "ROUND_PAIRS", 300)
+    got = {(r["ref"], r["rep"]): r["match"] for r in novelty.best_matches(past, now, frequent).collect()}
+    assert len(seen) > 3 and len(set(seen)) == 1 and len(got) > 30
+    assert got == brute_matches(spark, novelty.unit(past), novelty.unit(now))
