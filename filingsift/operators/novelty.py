@@ -4,38 +4,50 @@ Every chunk is compared with all chunks of the previous filing by the cosine of
 are fitted on that previous filing alone. All models are fitted in one grouped job keyed by the
 reference filing.
 
-Similarities are sums over shared terms, so only chunks that share a term ever meet, and identical texts
-of a filing are searched once. In a very large filing frequent terms would still pair almost everything.
-Texts with such a term therefore take a second path: a first match, taken from the strongest holder of
-each term, gives a lower bound; frequent terms whose joint contribution cannot reach that bound are left
-out of the join, because a better match must share one of the other terms; candidates that cannot reach
-the bound even with the full contribution of the left-out terms are dropped, and the rest are completed
-with those terms. That contribution is at most the sum over the terms of the text's weight times the
+Similarities are sums over shared terms. Identical texts of a filing are searched once. Terms are spelled out until one task has
+numbered and weighed a bucket of them for a filing and its predecessor; from then on a text is a row of numbers. Blocks of texts
+are compared with blocks of the reference filing in one task each, all pairs of them: terms that many texts have as a product of
+matrices, the others pair by pair of the texts that share them. What a task holds is bounded by its blocks, the result is that
+of the exhaustive comparison, and only a text's best match in a block leaves the task.
+
+:func:`candidates` finds the pairs that may be a best match by joins alone: frequent terms whose joint contribution cannot reach a
+lower bound are left out of the join. That contribution is at most the sum over the terms of the text's weight times the
 largest weight any text gives the term, and at most the length of the left-out part of the text's vector,
-since the other vector has length one; the smaller of the two counts. Both bounds are proven, so the result
-equals the exhaustive comparison.
+since the other vector has length one; the smaller of the two counts.
 """
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filingsift.functions import text as tx
+from filingsift.operators import vocab
 from filingsift.operators.dedup import require_unique
 from filingsift.operators.joins import previous_filings
-from filingsift.operators.vocab import idf, term_counts
 from filingsift.session import materialize, release_since, scratch_mark
 
 SCORED_CATEGORIES = ["potential_boilerplate", "modified_disclosure", "potential_novel_disclosure"]
 CATEGORIES = ["no_history"] + SCORED_CATEGORIES
 SLACK = 1e-9
-# a term held by more texts of one filing than this is joined only where the bound demands it
-FREQUENT = 512
+# a term held by more texts of a block than this is multiplied as a column of a matrix
+FREQUENT = 256
 # characters of a filing and its predecessor that are searched at a time, all pairs of a round together
-ROUND_CHARS = 1 << 27
+ROUND_CHARS = 1 << 28
 BUCKETS = 1024
-# pairs of a text and a text of its reference filing whose sums may lie on disk at a time
-ROUND_PAIRS = 1 << 24
+# pairs of a text and a text of its reference filing whose blocks may lie on disk at a time
+ROUND_PAIRS = 1 << 29
+# characters of texts whose terms one task weighs, about four to a term
+BUCKET_CHARS = 1 << 23
+# texts of a filing, and of its reference filing, that one task compares
+NOW_TEXTS, PAST_TEXTS = 4096, 4096
+# rows of products, columns of matrices and single products at a time
+TILE, COLUMNS, PRODUCTS = 256, 512, 1 << 17
+TEXT = ["filing_id", "rep", "rep_number", "copies"]
 
 
 def distinct_texts(chunks: DataFrame) -> DataFrame:
@@ -48,12 +60,6 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
                     F.col("_first.chunk_number").alias("rep_number"), "chunk_text"))
 
 
-def _term_table(texts: DataFrame) -> DataFrame:
-    """Terms of each text with their counts: a text is one row, so nothing is shuffled."""
-    keys = F.struct("filing_id", "rep", "rep_number", "copies").alias("_text")
-    return term_counts(texts.select(keys, "chunk_text"), "_text", tx.term_tokens("chunk_text"), pairs=True).select("_text.*", "term", "tf")
-
-
 def references(chunks: DataFrame) -> DataFrame:
     """Every filing with the one before it."""
     return materialize(previous_filings(chunks.select("company", "filing_id", "filing_date")), "references")
@@ -108,37 +114,143 @@ def _packed(held, most):
     return [r[1] for r in rounds]
 
 
-def reference_weights(chunks: DataFrame, refs: DataFrame | None = None):
+class Weights(tuple):
+    """(texts, filing references, past, now); ``packed`` holds the rows that past and now are read from."""
+    def __new__(cls, tables, packed):
+        made = super().__new__(cls, tables)
+        made.packed = packed
+        return made
+
+
+def reference_weights(chunks: DataFrame, refs: DataFrame | None = None) -> Weights:
     """TF-IDF weights of reference texts and of the texts compared with them, not yet scaled.
 
     Returns (texts, filing references, past, now): past = (ref, rep, rep_number, term, w), now = (ref,
     filing_id, rep, term, w, df). Terms the reference filing does not know are absent from ``now``. A filing
     has one successor, so (ref, rep) names a text on either side; lengths are divided out later, see
-    :func:`lengths`. ``refs`` limits the work to its pairs, whose filings ``chunks`` must hold whole.
+    :func:`unit`. A term is a number, the same for both sides of a reference filing. ``refs`` limits the work to its
+    pairs, whose filings ``chunks`` must hold whole.
+
+    Terms travel packed, a row per text and bucket of terms: one task sees a bucket of a reference filing and of the filing compared
+    with it, counts the reference texts of each term and weighs both sides.
     """
     refs = references(chunks) if refs is None else refs
-    whole = distinct_texts(chunks)
-    # the keys stay, the texts pass by once on their way to the terms
-    texts = materialize(whole.drop("chunk_text"), "texts")
+    texts = materialize(distinct_texts(chunks), "texts")
     pairs = refs.filter("reference_filing_id is not null").select(
         "filing_id", F.col("reference_filing_id").alias("ref"))
-    sizes = texts.groupBy(F.col("filing_id").alias("ref")).agg(F.sum("copies").alias("n_chunks"))
-    # a text is compared with the filing before its own and serves as reference for the filing after it; written, so
-    # that its size is known before the terms are
-    used = pairs.select("ref").distinct()
-    roles = materialize(used.select(F.col("ref").alias("filing_id"), "ref", F.lit(True).alias("is_past"))
-                        .unionByName(pairs.select("filing_id", "ref", F.lit(False).alias("is_past"))).join(sizes, "ref"), "roles")
-    rows = _term_table(whole).join(roles, "filing_id")
-    # both roles meet in the one shuffle that counts the reference texts of each term
-    of_term = Window.partitionBy("ref", "term")
-    known = (rows.withColumn("df", F.sum(F.when(F.col("is_past"), F.col("copies"))).over(of_term))
-             .filter("df is not null"))
-    weight = (F.lit(1.0) + F.log("tf")) * idf(F.col("n_chunks"), F.col("df"))
-    weighted = materialize(known.select("ref", F.when(~F.col("is_past"), F.col("filing_id")).alias("filing_id"), "rep", "rep_number", "term",
-                                        weight.alias("w"), "df", "is_past"), "weights")
-    past = weighted.filter("is_past").select("ref", "rep", "rep_number", "term", "w")
-    now = weighted.filter("not is_past").select("ref", "filing_id", "rep", "term", "w", "df")
-    return texts, refs, past, now
+    sizes = texts.groupBy("filing_id").agg(F.sum("copies").alias("n_chunks"), F.coalesce(F.sum(F.length("chunk_text")), F.lit(0)).alias("chars"))
+    # a text is compared with the filing before its own and serves as reference for the filing after it
+    known = pairs.join(sizes.select(F.col("filing_id").alias("ref"), "n_chunks", F.col("chars").alias("_before")), "ref").join(
+        sizes.select("filing_id", "chars"), "filing_id")
+    of_ref = known.groupBy("ref").agg(F.first("n_chunks").alias("n_chunks"), (F.first("_before") + F.sum("chars")).alias("chars"))
+    of_ref = materialize(of_ref.withColumn("buckets", F.greatest(F.ceil(F.col("chars") / BUCKET_CHARS), F.lit(1)).cast("int")), "reference-sizes")
+    roles = of_ref.select(F.col("ref").alias("filing_id"), "ref", F.lit(True).alias("is_past"), "buckets", "n_chunks").unionByName(
+        pairs.join(of_ref.drop("chars"), "ref").withColumn("is_past", F.lit(False)))
+    roles = roles.groupBy("filing_id").agg(F.collect_list(F.struct("ref", "is_past", "buckets", "n_chunks")).alias("_roles"))
+    groups, chars = (n or 0 for n in of_ref.agg(F.sum("buckets"), F.sum("chars")).first())
+    tasks = _tasks(chunks, groups, chars / BUCKET_CHARS)
+    # dealt anew, as adaptive execution would give few tasks what is long work in small bytes
+    dealt = texts.join(roles, "filing_id").select("_roles", *TEXT, "chunk_text").repartition(tasks, "filing_id", "rep")
+    counted = _packed_terms(dealt.select("_roles", *TEXT, tx.term_tokens("chunk_text").alias("_terms")))
+    kept = ["ref", "is_past", *TEXT]
+    schema = T.StructType([*[counted.schema[c] for c in kept], T.StructField("square", T.DoubleType()),
+                           *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("term", "df", "alone")],
+                           *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("w", "alone_w")]])
+    packed = materialize(counted.repartition(tasks, "ref", "bucket").groupBy("ref", "bucket").applyInArrow(_weighed(kept), schema), "weights")
+
+    def long(rows, columns, **of):
+        return rows.select(*columns, F.inline(F.arrays_zip(*[F.col(c).alias(n) for n, c in of.items()])))
+    reference, names = packed.filter("is_past"), ["ref", "rep", "rep_number"]
+    past = long(reference, names, term="term", w="w").unionByName(long(reference, names, term="alone", w="alone_w"))
+    now = long(packed.filter("not is_past"), ["ref", "filing_id", "rep"], term="term", w="w", df="df")
+    return Weights((texts.drop("chunk_text"), refs, past, now.select("ref", "filing_id", "rep", "term", "w", "df")), packed)
+
+
+def _tasks(df, groups, whole):
+    """Partitions for groups that hold the work of ``whole`` full ones, few of which should share one."""
+    return int(max(1, min(2 * groups, 2 * df.sparkSession.sparkContext.defaultParallelism + 2 * whole)))
+
+
+def _packed_terms(texts: DataFrame) -> DataFrame:
+    """Terms of every text and how often it has them, as bytes: a row for each role of the text and each bucket of terms of the
+    reference filing. Counted inside each row, as :func:`filingsift.operators.vocab.term_counts` does."""
+    role = texts.schema["_roles"].dataType.elementType
+    schema = T.StructType([role["ref"], role["is_past"], role["n_chunks"], T.StructField("bucket", T.IntegerType()), *[texts.schema[c] for c in TEXT],
+                           *[T.StructField(c, T.BinaryType()) for c in ("letters", "sizes", "tf")]])
+
+    def cut(values, edges):
+        """Bytes of numbers or letters between edges, without a copy."""
+        return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype("int64")), pa.py_buffer(values)]).cast(pa.binary())
+
+    def count(batches):
+        for batch, first, words, row in vocab._blocks(batches):
+            known, code, row = vocab._coded(words, row, True)
+            code, row, n = vocab._runs(code, row)
+            if not len(code):
+                continue
+            roles = batch.column("_roles").slice(first, row[-1] + 1)
+            parent, each = np.repeat(np.arange(len(roles)), pc.list_value_length(roles).to_numpy(zero_copy_only=False)), roles.flatten()
+            ends = np.searchsorted(row, np.arange(len(roles) + 1))
+            lengths = ends[parent + 1] - ends[parent]
+            entry = np.arange(lengths.sum()) + np.repeat(ends[parent] - np.cumsum(lengths) + lengths, lengths)
+            buckets = each.field("buckets").to_numpy(zero_copy_only=False)
+            most, of = int(buckets.max()), np.repeat(np.arange(len(parent)), lengths)
+            place = of * most
+            if most > 1:
+                place += (_term_hash(known, code)[entry] % buckets[of].astype("uint64")).astype("int64")
+                order = np.argsort(place, kind="stable")
+                entry, place = entry[order], place[order]
+            edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)) if len(place) else np.zeros(1, "int64")
+            terms = vocab._spelled(known, code).cast(pa.large_string()).take(pa.array(entry))
+            offsets = np.frombuffer(terms.buffers()[1], "int64")[terms.offset:terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, "int64")
+            mine, bucket = np.divmod(place[edges[:-1]], most)
+            at = pa.array(first + parent[mine])
+            yield pa.RecordBatch.from_arrays(
+                [*[each.field(c).take(pa.array(mine)) for c in ("ref", "is_past", "n_chunks")], pa.array(bucket, pa.int32()),
+                 *[batch.column(c).take(at) for c in TEXT], cut(terms.buffers()[2] or b"", offsets[edges]),
+                 cut(np.diff(offsets).astype("int32"), 4 * edges), cut(n[entry].astype("int32"), 4 * edges)], [f.name for f in schema])
+    return texts.mapInArrow(count, schema)
+
+
+def _term_hash(words, code):
+    """A hash of terms by their words, the same in every task."""
+    n = max(1, len(words))
+    of_word = pd.util.hash_array(np.append(words.to_numpy(zero_copy_only=False).astype(object), "")[:max(1, len(words))])
+    with np.errstate(over="ignore"):
+        before = np.where(code >= n, of_word[np.maximum(code // n - 1, 0)], np.uint64(0))
+        mixed = (of_word[code % n] + np.uint64(0x9E3779B97F4A7C15) * before) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed >> np.uint64(17)
+
+
+def _weighed(kept):
+    """Weights of the terms of a bucket: those both sides have, with their number of reference texts, and those only reference texts have."""
+    def weigh(table: pa.Table) -> pa.Table:
+        tf, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), "int32") for c in ("tf", "sizes"))
+        letters = b"".join(table.column("letters").to_pylist())
+        edges = np.append(0, np.cumsum(sizes, dtype="int64"))
+        terms = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(letters)]).dictionary_encode()
+        code, n_terms = terms.indices.to_numpy(zero_copy_only=False).astype("int64"), len(terms.dictionary)
+        row = np.repeat(np.arange(table.num_rows), pc.binary_length(table.column("tf")).to_numpy().astype("int64") // 4)
+        of_past = table.column("is_past").to_numpy()[row]
+        copies = table.column("copies").to_numpy()[row].astype("float64")
+        df = np.bincount(code[of_past], copies[of_past], n_terms)
+        both = (df > 0) & (np.bincount(code[~of_past], minlength=n_terms) > 0)
+        w = (1.0 + np.log(tf)) * (np.log((1.0 + table.column("n_chunks")[0].as_py()) / (1.0 + df)) + 1.0)[code]
+        number = code + (table.column("bucket")[0].as_py() << 32)
+        shared, alone = both[code], of_past & ~both[code]
+        some = np.flatnonzero(np.bincount(row, shared | alone, table.num_rows))
+        place = np.zeros(table.num_rows, dtype="int64")
+        place[some] = np.arange(len(some))
+
+        def lists(values, which, kind):
+            offsets = np.append(0, np.cumsum(np.bincount(place[row[which]], minlength=len(some))))
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[which], kind))
+        square = np.bincount(row, np.where(shared | alone, w * w, 0.0), table.num_rows)[some]
+        columns = [table.column(c).take(pa.array(some)) for c in kept]
+        return pa.table([*columns, pa.array(square), lists(number, shared, pa.int64()), lists(df[code].astype("int64"), shared, pa.int64()),
+                         lists(number, alone, pa.int64()), lists(w, shared, pa.float64()), lists(w, alone, pa.float64())],
+                        names=[*kept, "square", "term", "df", "alone", "w", "alone_w"])
+    return weigh
 
 
 def lengths(weights: DataFrame, **extra) -> DataFrame:
@@ -148,68 +260,161 @@ def lengths(weights: DataFrame, **extra) -> DataFrame:
 
 
 def unit(weights: DataFrame) -> DataFrame:
-    """Weights divided by the length of their vector."""
+    """Weights divided by the length of their vector, those of long tables or of the rows of :class:`Weights`."""
+    if "square" in weights.columns:
+        whole = F.sqrt(F.sum("square").over(Window.partitionBy("ref", "is_past", "rep")))
+        scaled = {c: F.transform(c, lambda x: x / F.col("_length")) for c in ("w", "alone_w")}
+        return weights.withColumn("_length", whole).withColumns(scaled).drop("_length", "square")
     return (weights.join(lengths(weights), ["ref", "rep"])
             .withColumn("w", F.col("w") / F.col("length")).drop("length"))
 
 
-def best_matches(past: DataFrame, now: DataFrame, frequent=FREQUENT) -> DataFrame:
+def pack(past: DataFrame, now: DataFrame) -> DataFrame:
+    """Long weights as one row per text: (ref, is_past, rep, rep_number, square, term, w)."""
+    def rows(weights, is_past, *number):
+        made = weights.groupBy("ref", "rep", *number).agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.collect_list(F.struct("term", "w")).alias("_held"))
+        return made.withColumns({"is_past": F.lit(is_past), "term": F.col("_held.term"), "w": F.col("_held.w")}).drop("_held")
+    return rows(past, True, "rep_number").unionByName(rows(now, False), allowMissingColumns=True)
+
+
+def best_matches(past: DataFrame, now: DataFrame, frequent=FREQUENT, packed: DataFrame | None = None) -> DataFrame:
     """Exact best match of every ``now`` vector: (ref, rep, match, similarity).
 
-    On equal similarity (to 12 decimals) the text that comes first in its filing wins. A text needs no other text of
-    its filing, so they are searched in slices of about ``ROUND_PAIRS`` pairs with the texts of their reference filing,
-    and the sums of a slice go before the next begins.
+    On equal similarity (to 12 decimals) the text that comes first in its filing wins. ``packed`` are the rows that past and now
+    are read from, where the caller has them. Texts are compared in blocks, a block with each block of its reference filing; a text needs
+    no other text of its filing, so blocks of about ``ROUND_PAIRS`` pairs are dealt out at a time and go before the next.
     """
-    sizes = materialize(lengths(now, peak=F.max("df")), "lengths")
-    held = past.select("ref", "rep").distinct().groupBy("ref").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = sizes.join(held, "ref").agg(F.sum("_n")).first()[0] or 0
-    unit_past = None
-    if not sizes.filter(F.col("peak") > frequent).isEmpty():
-        unit_past = materialize(unit(past).select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("match_number"), "term",
-                                                  F.col("w").alias("p")), "unit-past")
+    packed = materialize(pack(past, now), "packed") if packed is None else packed
+    # a row without a shared term still counts for the length of its text
+    packed = packed.filter("rep is not null").select("ref", "is_past", "rep", "rep_number", "square", "term", "w")
+    sizes = (packed.select("ref", "is_past", "rep").distinct().groupBy("ref")
+             .agg(F.count_if("is_past").alias("n_past"), F.count_if(~F.col("is_past")).alias("n_now")).filter("n_past > 0 and n_now > 0"))
+    sizes = materialize(sizes, "sizes")
+    pairs = sizes.agg(F.sum(F.col("n_past") * F.col("n_now"))).first()[0] or 0
     slices = max(1, -(-pairs // ROUND_PAIRS))
     if slices == 1:
-        return _best(past, unit_past, now, sizes, frequent)
+        return _best(packed, sizes, frequent, 0, 1)
     results = []
     for k in range(slices):
-        before, mine = scratch_mark(), F.pmod(F.xxhash64("ref", "rep"), F.lit(slices)) == k
-        results.append(materialize(_best(past, unit_past, now.filter(mine), sizes.filter(mine), frequent), "best"))
-        release_since(now.sparkSession, before, keep=1)
+        before = scratch_mark()
+        results.append(materialize(_best(packed, sizes, frequent, k, slices), "best"))
+        release_since(packed.sparkSession, before, keep=1)
     return reduce(DataFrame.unionByName, results)
 
 
-def _best(past: DataFrame, unit_past: DataFrame | None, now: DataFrame, sizes: DataFrame, frequent) -> DataFrame:
-    """Best match of some ``now`` vectors; without ``unit_past`` none of them holds a frequent term."""
-    if unit_past is None:
-        scored = _sums(now, past, sizes)
-    else:
-        hard = sizes.filter(F.col("peak") > frequent).select("ref", "rep")
-        easy = now.join(hard, ["ref", "rep"], "left_anti")
-        scored = _sums(easy, past, sizes).unionByName(
-            _bounded_sums(unit(now.join(hard, ["ref", "rep"], "left_semi")), unit_past, frequent))
+def _best(packed: DataFrame, sizes: DataFrame, frequent, k, slices) -> DataFrame:
+    """Best match of the ``now`` vectors of slice ``k`` of ``slices``."""
+    blocks = sizes.select("ref", F.ceil(F.col("n_past") / PAST_TEXTS).cast("int").alias("_pasts"),
+                          F.ceil(F.col("n_now") / (slices * NOW_TEXTS)).cast("int").alias("_nows"))
+    rows = packed.join(blocks, "ref")
+    sliced = F.pmod(F.xxhash64("ref", "rep"), F.lit(slices)) == k
+    past, now = F.pmod(F.xxhash64("rep"), "_pasts").cast("int"), F.pmod(F.xxhash64("rep", F.lit("now")), "_nows").cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = rows.filter("is_past").withColumns({"_past": past, "_now": every("_nows")}).unionByName(
+        rows.filter(~F.col("is_past") & sliced).withColumns({"_now": now, "_past": every("_pasts")})).drop("_pasts", "_nows")
+    groups, pairs = (n or 0 for n in sizes.join(blocks, "ref").agg(F.sum(F.col("_pasts") * F.col("_nows")), F.sum(F.col("n_past") * F.col("n_now"))).first())
+    tasks = _tasks(packed, groups, pairs / (slices * NOW_TEXTS * PAST_TEXTS))
+    kind = packed.schema["rep"].dataType
+    schema = T.StructType([packed.schema["ref"], packed.schema["rep"], T.StructField("match", kind),
+                           T.StructField("match_number", packed.schema["rep_number"].dataType), T.StructField("dot", T.DoubleType())])
+    scored = (dealt.repartition(tasks, "ref", "_now", "_past").groupBy("ref", "_now", "_past")
+              .applyInArrow(_compared(frequent), schema))
     best = scored.groupBy("ref", "rep").agg(
         F.min_by(F.struct("match", "dot"), F.struct((-F.round("dot", 12)).alias("neg"), "match_number", "match")).alias("b"))
     return best.select("ref", "rep", F.col("b.match").alias("match"), F.col("b.dot").alias("similarity"))
 
 
-def _sums(now: DataFrame, past: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Cosine of every pair that shares a term: (ref, rep, match, match_number, dot)."""
-    held = past.select("ref", F.col("rep").alias("match"), F.col("rep_number").alias("match_number"), "term",
-                       F.col("w").alias("p"))
-    products = (now.select("ref", "rep", "term", "w").join(held, ["ref", "term"])
-                .groupBy("ref", "rep", "match", "match_number").agg(F.sum(F.col("w") * F.col("p")).alias("product")))
-    past_sizes = lengths(past).select("ref", F.col("rep").alias("match"), F.col("length").alias("past_length"))
-    return (products.join(sizes.select("ref", "rep", "length"), ["ref", "rep"]).join(past_sizes, ["ref", "match"])
-            .select("ref", "rep", "match", "match_number",
-                    (F.col("product") / (F.col("length") * F.col("past_length"))).alias("dot")))
-
-
-def _bounded_sums(now: DataFrame, past: DataFrame, frequent) -> DataFrame:
-    """The same for unit vectors and pairs that may be a best match; pairs proven not to be are missing."""
-    able, left_out = candidates(now, past, frequent)
-    completed = _dots(left_out, past, able.select("ref", "rep", "match"))
-    return (able.join(completed, ["ref", "rep", "match"], "left")
-            .select("ref", "rep", "match", "match_number", (F.col("part") + F.coalesce("dot", F.lit(0.0))).alias("dot")))
+class _Texts:
+    """The vectors of one side of a block, scaled to length one: entries (row, term, value) in any order."""
+
+    def __init__(self, table: pa.Table):
+        rep = table.column("rep").combine_chunks().dictionary_encode()
+        text, self.rep = rep.indices.to_numpy(zero_copy_only=False).astype("int64"), rep.dictionary
+        number = table.column("rep_number").combine_chunks()
+        self.number = number.take(pa.array(np.unique(text, return_index=True)[1]))
+        size = np.sqrt(np.bincount(text, table.column("square").to_numpy(), len(self.rep)))
+        terms, w = (table.column(c).combine_chunks() for c in ("term", "w"))
+        self.row = np.repeat(text, pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        self.term, self.w = terms.flatten().to_numpy(), w.flatten().to_numpy() / size[self.row]
+
+    def in_order(self):
+        """The rows by number and name, as ties are decided."""
+        order = pc.sort_indices(pa.table([self.number, self.rep], names=["number", "rep"]), [("number", "ascending"), ("rep", "ascending")],
+                                null_placement="at_start").to_numpy()
+        place = np.empty(len(order), dtype="int64")
+        place[order] = np.arange(len(order))
+        self.rep, self.number, self.row = self.rep.take(pa.array(order)), self.number.take(pa.array(order)), place[self.row]
+        return self
+
+    def only(self, kept):
+        return self.row[kept], self.term[kept], self.w[kept]
+
+
+def _products(now: _Texts, past: _Texts, frequent):
+    """Cosines of all pairs. Terms that more than ``frequent`` past texts have are multiplied as matrices, the others pair by pair."""
+    names, place = np.unique(np.append(now.term, past.term), return_inverse=True)
+    now.term, past.term = place[:len(now.term)], place[len(now.term):]
+    held = np.bincount(past.term, minlength=len(names))
+    common = (held > 0) & (np.bincount(now.term, minlength=len(names)) > 0)
+    dense = np.flatnonzero(common & (held > frequent))
+    dots = np.zeros((len(now.rep), len(past.rep)))
+    column = np.full(len(names), -1)
+    column[dense] = np.arange(len(dense))
+    for first in range(0, len(dense), COLUMNS):
+        width, sides = min(COLUMNS, len(dense) - first), []
+        for side in (now, past):
+            at = column[side.term] - first
+            mine = (at >= 0) & (at < width)
+            matrix = np.zeros((len(side.rep), width))
+            matrix[side.row[mine], at[mine]] = side.w[mine]
+            sides.append(matrix)
+        for a in range(0, len(dots), TILE):
+            dots[a:a + TILE] += sides[0][a:a + TILE] @ sides[1].T
+    rare = common & (held <= frequent)
+    row, term, w = now.only(rare[now.term])
+    to, name, p = past.only(rare[past.term])
+    order = np.argsort(name, kind="stable")
+    to, p = to[order], p[order]
+    start = np.append(0, np.cumsum(np.bincount(name, minlength=len(names))))
+    order = np.argsort(row, kind="stable")
+    row, term, w = row[order], term[order], w[order]
+    many = start[term + 1] - start[term]
+    ends, first, flat = np.cumsum(many), 0, dots.reshape(-1)
+    while first < len(row):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PRODUCTS, "right")))
+        n = many[first:last]
+        at = np.arange(n.sum()) + np.repeat(start[term[first:last]] - np.cumsum(n) + n, n)
+        np.add.at(flat, np.repeat(row[first:last] * len(past.rep), n) + to[at], np.repeat(w[first:last], n) * p[at])
+        first = last
+    return dots
+
+
+def _compared(frequent):
+    """Best match of every text of a block among the texts of a block of its reference filing."""
+    def compare(table: pa.Table) -> pa.Table:
+        is_past = table.column("is_past").combine_chunks()
+        past, now = _Texts(table.filter(is_past)), _Texts(table.filter(pc.invert(is_past)))
+        past.in_order()
+        found = [[], [], []]
+        dots = _products(now, past, frequent) if len(now.rep) and len(past.rep) else np.zeros((0, 1))
+        for a in range(0, len(dots), TILE):
+            part = dots[a:a + TILE]
+            most = part.max(axis=1)
+            row, match = np.nonzero((part >= (most - SLACK)[:, None]) & (part > 0))
+            dot = part[row, match]
+            order = np.lexsort((match, -np.round(dot, 12), row))
+            best = order[np.unique(row[order], return_index=True)[1]]
+            for column, values in zip(found, (row[best] + a, match[best], dot[best])):
+                column.append(values)
+        row, match, dot = (np.concatenate(c) if c else np.zeros(0, "int64") for c in found)
+        ref = table.column("ref").combine_chunks().take(pa.array(np.zeros(len(row), "int64")))
+        match = pa.array(match, pa.int64())
+        return pa.table([ref, now.rep.take(pa.array(row, pa.int64())), past.rep.take(match), past.number.take(match), pa.array(dot, pa.float64())],
+                        names=["ref", "rep", "match", "match_number", "dot"])
+    return compare
 
 
 def candidates(now: DataFrame, past: DataFrame, frequent=FREQUENT):
@@ -263,10 +468,11 @@ def category(similarity, high=0.80, low=0.40) -> Column:
 def text_matches(chunks: DataFrame, refs: DataFrame, frequent=FREQUENT) -> DataFrame:
     """Best match of every distinct text of a filing that shares a term with its reference filing: (filing_id, text_key,
     rep, match, similarity)."""
-    texts, _, past, now = reference_weights(chunks, refs)
+    weighed = reference_weights(chunks, refs)
+    texts, _, past, now = weighed
     return (texts.select("filing_id", "text_key", "rep")
             .join(refs.select("filing_id", F.col("reference_filing_id").alias("ref")), "filing_id")
-            .join(best_matches(past, now, frequent), ["ref", "rep"]).drop("ref"))
+            .join(best_matches(past, now, frequent, weighed.packed), ["ref", "rep"]).drop("ref"))
 
 
 def score_chunks(chunks: DataFrame, high=0.80, low=0.40, frequent=FREQUENT) -> DataFrame:
