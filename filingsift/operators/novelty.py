@@ -156,7 +156,7 @@ def reference_weights(chunks: DataFrame, refs: DataFrame | None = None) -> Weigh
     schema = T.StructType([*[counted.schema[c] for c in kept], T.StructField("square", T.DoubleType()),
                            *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("term", "df", "alone")],
                            *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("w", "alone_w")]])
-    packed = materialize(counted.repartition(tasks, "ref", "bucket").groupBy("ref", "bucket").applyInArrow(_weighed(kept), schema), "weights")
+    packed = materialize(counted.repartition(tasks, "ref", "bucket").groupBy("ref", "bucket").applyInArrow(lambda table: _weighed(table, kept), _spelled_out(schema)), "weights")
 
     def long(rows, columns, **of):
         return rows.select(*columns, F.inline(F.arrays_zip(*[F.col(c).alias(n) for n, c in of.items()])))
@@ -178,38 +178,47 @@ def _packed_terms(texts: DataFrame) -> DataFrame:
     schema = T.StructType([role["ref"], role["is_past"], role["n_chunks"], T.StructField("bucket", T.IntegerType()), *[texts.schema[c] for c in TEXT],
                            *[T.StructField(c, T.BinaryType()) for c in ("letters", "sizes", "tf")]])
 
-    def cut(values, edges):
-        """Bytes of numbers or letters between edges, without a copy."""
-        return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype("int64")), pa.py_buffer(values)]).cast(pa.binary())
-
-    def count(batches):
-        for batch, first, words, row in vocab._blocks(batches):
-            known, code, row = vocab._coded(words, row, True)
-            code, row, n = vocab._runs(code, row)
-            if not len(code):
-                continue
-            roles = batch.column("_roles").slice(first, row[-1] + 1)
-            parent, each = np.repeat(np.arange(len(roles)), pc.list_value_length(roles).to_numpy(zero_copy_only=False)), roles.flatten()
-            ends = np.searchsorted(row, np.arange(len(roles) + 1))
-            lengths = ends[parent + 1] - ends[parent]
-            entry = np.arange(lengths.sum()) + np.repeat(ends[parent] - np.cumsum(lengths) + lengths, lengths)
-            buckets = each.field("buckets").to_numpy(zero_copy_only=False)
-            most, of = int(buckets.max()), np.repeat(np.arange(len(parent)), lengths)
-            place = of * most
-            if most > 1:
-                place += (_term_hash(known, code)[entry] % buckets[of].astype("uint64")).astype("int64")
-                order = np.argsort(place, kind="stable")
-                entry, place = entry[order], place[order]
-            edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)) if len(place) else np.zeros(1, "int64")
-            terms = vocab._spelled(known, code).cast(pa.large_string()).take(pa.array(entry))
-            offsets = np.frombuffer(terms.buffers()[1], "int64")[terms.offset:terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, "int64")
-            mine, bucket = np.divmod(place[edges[:-1]], most)
-            at = pa.array(first + parent[mine])
-            yield pa.RecordBatch.from_arrays(
-                [*[each.field(c).take(pa.array(mine)) for c in ("ref", "is_past", "n_chunks")], pa.array(bucket, pa.int32()),
-                 *[batch.column(c).take(at) for c in TEXT], cut(terms.buffers()[2] or b"", offsets[edges]),
-                 cut(np.diff(offsets).astype("int32"), 4 * edges), cut(n[entry].astype("int32"), 4 * edges)], [f.name for f in schema])
-    return texts.mapInArrow(count, schema)
+    names = [f.name for f in schema]
+    # tasks find what they run by its name
+    return texts.mapInArrow(lambda batches: _counted(batches, names), _spelled_out(schema))
+
+
+def _spelled_out(schema):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _cut(values, edges):
+    """Bytes of numbers or letters between edges, without a copy."""
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype("int64")), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _counted(batches, names):
+    for batch, first, words, row in vocab._blocks(batches):
+        known, code, row = vocab._coded(words, row, True)
+        code, row, n = vocab._runs(code, row)
+        if not len(code):
+            continue
+        roles = batch.column("_roles").slice(first, row[-1] + 1)
+        parent, each = np.repeat(np.arange(len(roles)), pc.list_value_length(roles).to_numpy(zero_copy_only=False)), roles.flatten()
+        ends = np.searchsorted(row, np.arange(len(roles) + 1))
+        lengths = ends[parent + 1] - ends[parent]
+        entry = np.arange(lengths.sum()) + np.repeat(ends[parent] - np.cumsum(lengths) + lengths, lengths)
+        buckets = each.field("buckets").to_numpy(zero_copy_only=False)
+        most, of = int(buckets.max()), np.repeat(np.arange(len(parent)), lengths)
+        place = of * most
+        if most > 1:
+            place += (_term_hash(known, code)[entry] % buckets[of].astype("uint64")).astype("int64")
+            order = np.argsort(place, kind="stable")
+            entry, place = entry[order], place[order]
+        edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)) if len(place) else np.zeros(1, "int64")
+        terms = vocab._spelled(known, code).cast(pa.large_string()).take(pa.array(entry))
+        offsets = np.frombuffer(terms.buffers()[1], "int64")[terms.offset:terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, "int64")
+        mine, bucket = np.divmod(place[edges[:-1]], most)
+        at = pa.array(first + parent[mine])
+        yield pa.RecordBatch.from_arrays(
+            [*[each.field(c).take(pa.array(mine)) for c in ("ref", "is_past", "n_chunks")], pa.array(bucket, pa.int32()),
+             *[batch.column(c).take(at) for c in TEXT], _cut(terms.buffers()[2] or b"", offsets[edges]),
+             _cut(np.diff(offsets).astype("int32"), 4 * edges), _cut(n[entry].astype("int32"), 4 * edges)], names)
 
 
 def _term_hash(words, code):
@@ -222,35 +231,33 @@ def _term_hash(words, code):
     return mixed >> np.uint64(17)
 
 
-def _weighed(kept):
+def _weighed(table: pa.Table, kept) -> pa.Table:
     """Weights of the terms of a bucket: those both sides have, with their number of reference texts, and those only reference texts have."""
-    def weigh(table: pa.Table) -> pa.Table:
-        tf, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), "int32") for c in ("tf", "sizes"))
-        letters = b"".join(table.column("letters").to_pylist())
-        edges = np.append(0, np.cumsum(sizes, dtype="int64"))
-        terms = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(letters)]).dictionary_encode()
-        code, n_terms = terms.indices.to_numpy(zero_copy_only=False).astype("int64"), len(terms.dictionary)
-        row = np.repeat(np.arange(table.num_rows), pc.binary_length(table.column("tf")).to_numpy().astype("int64") // 4)
-        of_past = table.column("is_past").to_numpy()[row]
-        copies = table.column("copies").to_numpy()[row].astype("float64")
-        df = np.bincount(code[of_past], copies[of_past], n_terms)
-        both = (df > 0) & (np.bincount(code[~of_past], minlength=n_terms) > 0)
-        w = (1.0 + np.log(tf)) * (np.log((1.0 + table.column("n_chunks")[0].as_py()) / (1.0 + df)) + 1.0)[code]
-        number = code + (table.column("bucket")[0].as_py() << 32)
-        shared, alone = both[code], of_past & ~both[code]
-        some = np.flatnonzero(np.bincount(row, shared | alone, table.num_rows))
-        place = np.zeros(table.num_rows, dtype="int64")
-        place[some] = np.arange(len(some))
-
-        def lists(values, which, kind):
-            offsets = np.append(0, np.cumsum(np.bincount(place[row[which]], minlength=len(some))))
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[which], kind))
-        square = np.bincount(row, np.where(shared | alone, w * w, 0.0), table.num_rows)[some]
-        columns = [table.column(c).take(pa.array(some)) for c in kept]
-        return pa.table([*columns, pa.array(square), lists(number, shared, pa.int64()), lists(df[code].astype("int64"), shared, pa.int64()),
-                         lists(number, alone, pa.int64()), lists(w, shared, pa.float64()), lists(w, alone, pa.float64())],
-                        names=[*kept, "square", "term", "df", "alone", "w", "alone_w"])
-    return weigh
+    tf, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), "int32") for c in ("tf", "sizes"))
+    letters = b"".join(table.column("letters").to_pylist())
+    edges = np.append(0, np.cumsum(sizes, dtype="int64"))
+    terms = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(letters)]).dictionary_encode()
+    code, n_terms = terms.indices.to_numpy(zero_copy_only=False).astype("int64"), len(terms.dictionary)
+    row = np.repeat(np.arange(table.num_rows), pc.binary_length(table.column("tf")).to_numpy().astype("int64") // 4)
+    of_past = table.column("is_past").to_numpy()[row]
+    copies = table.column("copies").to_numpy()[row].astype("float64")
+    df = np.bincount(code[of_past], copies[of_past], n_terms)
+    both = (df > 0) & (np.bincount(code[~of_past], minlength=n_terms) > 0)
+    w = (1.0 + np.log(tf)) * (np.log((1.0 + table.column("n_chunks")[0].as_py()) / (1.0 + df)) + 1.0)[code]
+    number = code + (table.column("bucket")[0].as_py() << 32)
+    shared, alone = both[code], of_past & ~both[code]
+    some = np.flatnonzero(np.bincount(row, shared | alone, table.num_rows))
+    place = np.zeros(table.num_rows, dtype="int64")
+    place[some] = np.arange(len(some))
+
+    def lists(values, which, kind):
+        offsets = np.append(0, np.cumsum(np.bincount(place[row[which]], minlength=len(some))))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[which], kind))
+    square = np.bincount(row, np.where(shared | alone, w * w, 0.0), table.num_rows)[some]
+    columns = [table.column(c).take(pa.array(some)) for c in kept]
+    return pa.table([*columns, pa.array(square), lists(number, shared, pa.int64()), lists(df[code].astype("int64"), shared, pa.int64()),
+                     lists(number, alone, pa.int64()), lists(w, shared, pa.float64()), lists(w, alone, pa.float64())],
+                    names=[*kept, "square", "term", "df", "alone", "w", "alone_w"])
 
 
 def lengths(weights: DataFrame, **extra) -> DataFrame:
@@ -320,7 +327,7 @@ def _best(packed: DataFrame, sizes: DataFrame, frequent, k, slices) -> DataFrame
     schema = T.StructType([packed.schema["ref"], packed.schema["rep"], T.StructField("match", kind),
                            T.StructField("match_number", packed.schema["rep_number"].dataType), T.StructField("dot", T.DoubleType())])
     scored = (dealt.repartition(tasks, "ref", "_now", "_past").groupBy("ref", "_now", "_past")
-              .applyInArrow(_compared(frequent), schema))
+              .applyInArrow(lambda table: _compared(table, frequent), _spelled_out(schema)))
     best = scored.groupBy("ref", "rep").agg(
         F.min_by(F.struct("match", "dot"), F.struct((-F.round("dot", 12)).alias("neg"), "match_number", "match")).alias("b"))
     return best.select("ref", "rep", F.col("b.match").alias("match"), F.col("b.dot").alias("similarity"))
@@ -392,29 +399,27 @@ def _products(now: _Texts, past: _Texts, frequent):
     return dots
 
 
-def _compared(frequent):
+def _compared(table: pa.Table, frequent) -> pa.Table:
     """Best match of every text of a block among the texts of a block of its reference filing."""
-    def compare(table: pa.Table) -> pa.Table:
-        is_past = table.column("is_past").combine_chunks()
-        past, now = _Texts(table.filter(is_past)), _Texts(table.filter(pc.invert(is_past)))
-        past.in_order()
-        found = [[], [], []]
-        dots = _products(now, past, frequent) if len(now.rep) and len(past.rep) else np.zeros((0, 1))
-        for a in range(0, len(dots), TILE):
-            part = dots[a:a + TILE]
-            most = part.max(axis=1)
-            row, match = np.nonzero((part >= (most - SLACK)[:, None]) & (part > 0))
-            dot = part[row, match]
-            order = np.lexsort((match, -np.round(dot, 12), row))
-            best = order[np.unique(row[order], return_index=True)[1]]
-            for column, values in zip(found, (row[best] + a, match[best], dot[best])):
-                column.append(values)
-        row, match, dot = (np.concatenate(c) if c else np.zeros(0, "int64") for c in found)
-        ref = table.column("ref").combine_chunks().take(pa.array(np.zeros(len(row), "int64")))
-        match = pa.array(match, pa.int64())
-        return pa.table([ref, now.rep.take(pa.array(row, pa.int64())), past.rep.take(match), past.number.take(match), pa.array(dot, pa.float64())],
-                        names=["ref", "rep", "match", "match_number", "dot"])
-    return compare
+    is_past = table.column("is_past").combine_chunks()
+    past, now = _Texts(table.filter(is_past)), _Texts(table.filter(pc.invert(is_past)))
+    past.in_order()
+    found = [[], [], []]
+    dots = _products(now, past, frequent) if len(now.rep) and len(past.rep) else np.zeros((0, 1))
+    for a in range(0, len(dots), TILE):
+        part = dots[a:a + TILE]
+        most = part.max(axis=1)
+        row, match = np.nonzero((part >= (most - SLACK)[:, None]) & (part > 0))
+        dot = part[row, match]
+        order = np.lexsort((match, -np.round(dot, 12), row))
+        best = order[np.unique(row[order], return_index=True)[1]]
+        for column, values in zip(found, (row[best] + a, match[best], dot[best])):
+            column.append(values)
+    row, match, dot = (np.concatenate(c) if c else np.zeros(0, "int64") for c in found)
+    ref = table.column("ref").combine_chunks().take(pa.array(np.zeros(len(row), "int64")))
+    match = pa.array(match, pa.int64())
+    return pa.table([ref, now.rep.take(pa.array(row, pa.int64())), past.rep.take(match), past.number.take(match), pa.array(dot, pa.float64())],
+                    names=["ref", "rep", "match", "match_number", "dot"])
 
 
 def candidates(now: DataFrame, past: DataFrame, frequent=FREQUENT):
